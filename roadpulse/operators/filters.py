@@ -46,19 +46,26 @@ def facts(history: DataFrame, predictions: DataFrame, today: str) -> DataFrame:
     return past.unionByName(future)
 
 
-def position_within(df: DataFrame, keys: list[str], order: str, alias: str, width: int) -> DataFrame:
+def range_sizes(df: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
+    """Rows of each key per range of `width` order values."""
+    return df.groupBy(*keys, F.floor(F.col(order) / width).alias("_range")).agg(F.count("*").alias("_size"))
+
+
+def position_within(
+    df: DataFrame, keys: list[str], order: str, alias: str, width: int, sizes: DataFrame | None = None
+) -> DataFrame:
     """0-based position of each row in its key's order of `order`, a whole number unique within the key.
 
     A key is cut into ranges of `width` order values: rows are ranked inside a range and the ranges' sizes give
     the offset, so no task sorts more than `width` rows of one key, however many it has.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order) / width))
-    sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_size"))
+    sizes = range_sizes(df, keys, order, width) if sizes is None else sizes
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
     inside = Window.partitionBy(*keys, "_range").orderBy(order)
     return (
-        ranged.withColumn("_rank", F.row_number().over(inside))
+        df.withColumn("_range", F.floor(F.col(order) / width))
+        .withColumn("_rank", F.row_number().over(inside))
         .join(offsets, [*keys, "_range"])
         .withColumn(alias, (F.col("_before") + F.col("_rank") - 1).cast("bigint"))
         .drop("_range", "_rank", "_before")

@@ -13,6 +13,13 @@ from roadpulse.schemas import FEATURES
 KEYS = ["station_id", "target"]
 
 
+def over_tasks(df: DataFrame, *columns: str) -> DataFrame:
+    """Keyed fits are heavy in time and light in bytes, so their partitions must not be merged by size."""
+    spark = df.sparkSession
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *columns)
+
+
 def bounded_points(rows: DataFrame, group: list[str], budget: int = 200_000, bins: int = 32) -> DataFrame:
     """Rows as weighted points, a set per key whose size has a bound.
 
@@ -51,7 +58,8 @@ def score(
     sizes = queries.groupBy(*KEYS).agg(portions)
     cut = queries.join(sizes, KEYS).withColumn("_portion", F.pmod(F.hash(*spread), F.col("_portions"))).drop("_portions")
     copied = models.join(sizes, KEYS).withColumn("_portion", F.explode(F.sequence(F.lit(0), F.col("_portions") - 1)))
-    both = cut.groupBy(*KEYS, "_portion").cogroup(copied.drop("_portions").groupBy(*KEYS, "_portion"))
+    keys = [*KEYS, "_portion"]
+    both = over_tasks(cut, *keys).groupBy(*keys).cogroup(over_tasks(copied.drop("_portions"), *keys).groupBy(*keys))
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:

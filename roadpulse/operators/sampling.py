@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.hashing import stable_hash
-from roadpulse.operators.filters import position_within
+from roadpulse.operators.filters import position_within, range_sizes
 
 
 def holdout(df: DataFrame, seed: int = 101, parts: int = 5) -> DataFrame:
@@ -32,22 +32,28 @@ def balanced_resample(df: DataFrame, keys: list[str], seed: int = 101, width: in
     Each row makes one draw, `draw_id`. The draw meets its row on (key, class, position), so a large class
     spreads over as many tasks as it has rows.
     """
-    sizes = class_counts(df, keys)
+    sizes = range_sizes(df, [*keys, "label"], "obs_id", width)
+    counted = sizes.groupBy(*keys, "label").agg(F.sum("_size").alias("n_rows"))
     # Four levels at most, so the list of a key is short.
-    classes = sizes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("label", "n_rows"))).alias("_classes"))
-    pick = stable_hash(f"class{seed}", F.col("target"), F.col("obs_id")) % F.size("_classes")
+    classes = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("label", "n_rows"))).alias("_classes"))
+    # Hashed before the join, in the tasks that read the rows.
+    throws = df.select(
+        *keys,
+        "obs_id",
+        stable_hash(f"class{seed}", F.col("target"), F.col("obs_id")).alias("_throw_1"),
+        stable_hash(f"row{seed}", F.col("target"), F.col("obs_id")).alias("_throw_2"),
+    )
     draws = (
-        df.select(*keys, "obs_id")
-        .join(classes, keys)
-        .withColumn("_class", F.get("_classes", pick.cast("int")))
+        throws.join(classes, keys)
+        .withColumn("_class", F.get("_classes", (F.col("_throw_1") % F.size("_classes")).cast("int")))
         .select(
             *keys,
             F.col("obs_id").alias("draw_id"),
             F.col("_class.label").alias("label"),
-            (stable_hash(f"row{seed}", F.col("target"), F.col("obs_id")) % F.col("_class.n_rows")).alias("_position"),
+            (F.col("_throw_2") % F.col("_class.n_rows")).alias("_position"),
         )
     )
-    placed = position_within(df, [*keys, "label"], "obs_id", "_position", width)
+    placed = position_within(df, [*keys, "label"], "obs_id", "_position", width, sizes)
     return draws.join(placed, [*keys, "label", "_position"]).drop("_position")
 
 

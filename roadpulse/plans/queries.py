@@ -47,12 +47,8 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return filters.complete_rows(star.panel(spark, d))
 
 
-def _samples(spark: SparkSession, d: str) -> DataFrame:
-    return training.level_samples(_rows(spark, d), SETTINGS)
-
-
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    return cut_lineage(training.level_points(_rows(spark, d), SETTINGS))
+    return cut_lineage(training.level_points(cut_lineage(_rows(spark, d)), SETTINGS))
 
 
 def _calendar_parts() -> list:
