@@ -448,7 +448,7 @@ _add(
     "grid",
 )
 _FIT = ", ".join(
-    f"round(avg({c}), 6) as {c}_mean, round(case when stddev_pop({c}) = 0 then 1.0 else stddev_pop({c}) end, 6) as {c}_std"
+    f"round(avg({c}), 8) as {c}_mean, round(case when stddev_pop({c}) = 0 then 1.0 else stddev_pop({c}) end, 8) as {c}_std"
     for c in ("temperature", "niederschlag")
 )
 _add("zscore_fit", f"select station_id, {_FIT} from panel group by 1", "panel")

@@ -318,7 +318,7 @@ def sampled_features(spark, d):
 @query
 def zscore_fit(spark, d):
     fitted = scaling.fit_zscore(star.panel(spark, d), ["station_id"], ["temperature", "niederschlag"])
-    return fitted.select("station_id", *[F.round(c, 6).alias(c) for c in fitted.columns if c != "station_id"])
+    return fitted.select("station_id", *[F.round(c, 8).alias(c) for c in fitted.columns if c != "station_id"])
 
 
 @query

@@ -14,7 +14,7 @@ from roadpulse.sources import bulletins, predictions
 
 def landed(spark: SparkSession, folder: str) -> DataFrame:
     """Stream of bulletin documents, one per file named after its zone."""
-    raw = spark.readStream.schema("value string").option("wholetext", True).text(folder)
+    raw = spark.readStream.schema("value string").text(folder, wholetext=True)
     return raw.select(
         bulletins.zone_of_file(),
         F.col("value").alias("json"),

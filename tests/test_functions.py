@@ -1,0 +1,113 @@
+import datetime as dt
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from roadpulse.functions import calendar, hashing, labels, numbers, text
+
+
+@pytest.mark.parametrize("station, code", [(2, "00000002"), (13, "00000013"), (100, "00000100"), (123456789, "123456789")])
+def test_station_code(one, station, code):
+    assert one(labels.station_code(F.lit(station))) == code
+
+
+def test_date_hours(one):
+    ts = calendar.parse_date_hours(F.lit("180101_00"))
+    assert one(ts) == dt.datetime(2018, 1, 1)
+    assert one(calendar.week_day(ts)) == 0
+    assert one(calendar.parse_date_hours(F.lit("181231_23"), lenient=True)) == dt.datetime(2018, 12, 31, 23)
+
+
+@pytest.mark.parametrize("bad", ["180101", "180101_24", "181301_00", "x80101_00", "180101_0a", ""])
+def test_malformed_date_hours(one, bad):
+    assert one(calendar.parse_date_hours(F.lit(bad), lenient=True)) is None
+    if bad != "180101_24":
+        with pytest.raises(Exception):
+            one(calendar.parse_date_hours(F.lit(bad)))
+
+
+def test_viewer_texts(one):
+    ts = F.lit("2024-01-05 08:00:00").cast("timestamp_ntz")
+    assert one(calendar.lookup_key(ts)) == "2024-1-5:8:00"
+    assert one(calendar.day_header(F.to_date(ts))) == "Friday, 2024-1-5"
+    assert one(calendar.days_ahead(ts, "2024-01-07")) == -2
+    assert one(calendar.slider_hour(F.lit(485))) == 8
+    assert one(calendar.slider_minute(F.lit(485))) == "05"
+    assert one(calendar.hours_since_epoch(F.lit("1970-01-02 01:30:00").cast("timestamp_ntz"))) == 25
+
+
+def test_colon_lists(one):
+    assert one(text.join_with_colons(F.array(F.lit("a"), F.lit("b"), F.lit("c")))) == "a:b:c:"
+    assert one(text.join_with_colons(F.array().cast("array<string>"))) == ""
+    assert one(text.split_colons(F.lit("a:b:c:"))) == ["a", "b", "c"]
+
+
+def test_decode_entities(one):
+    assert one(text.decode_entities(F.lit("&lt;a&gt; &quot;&#39;&apos;&#x27;&#47;&#x2F;&nbsp;&amp;"))) == "<a> \"'''// &"
+    assert one(text.decode_entities(F.lit("&amp;lt;"))) == "<"
+    assert one(text.decode_entities(F.lit("&copy;"))) == "&copy;"
+
+
+@pytest.mark.parametrize(
+    "url, value",
+    [
+        ("http://a/b?station_id=5", "5"),
+        ("http://a/b?x=1&station_id=5&station_id=7#top", "7"),
+        ("http://a/b#station_id=5", None),
+        ("http://a/b", None),
+        ("http://a/b?station_id", None),
+        ("http://a/b?station_id=", ""),
+        ("http://a/b?my_station_id=3", None),
+    ],
+)
+def test_url_parameter(one, url, value):
+    assert one(text.url_parameter(F.lit(url), "station_id")) == value
+
+
+@pytest.mark.parametrize("votes, winner", [((4, 1, 1), 1), ((4, 2, 1), 4), ((2, 2, 3), 2), ((3, 1, 3), 3)])
+def test_majority_vote(one, votes, winner):
+    assert one(numbers.majority_vote([F.lit(v) for v in votes])) == winner
+
+
+def test_small_numbers(one):
+    assert [one(numbers.whole_count(F.lit(v))) for v in (3.9, -0.9, -4.2, 0.0)] == [3, 0, 0, 0]
+    assert [one(numbers.bool_to_int(F.lit(v).cast("boolean"))) for v in (True, False, None)] == [1, 0, 0]
+
+
+@pytest.mark.parametrize("low, high", [(10, 20), (-3.7, 4.9), (5, 6), (7, 7)])
+def test_range_spread(one, low, high):
+    whole = list(range(int(low), int(high) + 1))
+    expected = np.std(whole, ddof=1) if len(whole) > 1 else 0.0
+    assert one(numbers.range_spread(F.lit(float(low)), F.lit(float(high)))) == pytest.approx(expected)
+    assert one(numbers.range_midpoint(F.lit(float(low)), F.lit(float(high)))) == pytest.approx((low + high) / 2)
+
+
+def test_order_statistics():
+    assert numbers.expected_order_statistics() == [
+        -1.635, -1.1139, -0.7916, -0.5362, -0.3119, -0.1025, 0.1025, 0.3119, 0.5362, 0.7916, 1.1139, 1.635,
+    ]
+
+
+def test_hash_draws_are_uniform_and_normal(spark):
+    ids = spark.range(20_000)
+    row = ids.select(
+        hashing.uniform("u", F.col("id")).alias("u"), hashing.standard_normal("z", F.col("id")).alias("z")
+    ).agg(F.avg("u"), F.var_pop("u"), F.avg("z"), F.var_pop("z")).first()
+    assert row[0] == pytest.approx(0.5, abs=0.01) and row[1] == pytest.approx(1 / 12, abs=0.003)
+    assert row[2] == pytest.approx(0, abs=0.03) and row[3] == pytest.approx(1, abs=0.04)
+    assert not math.isnan(row[2])
+
+
+def test_level_texts(one):
+    assert [one(labels.level_icon(F.lit(v))).split("/")[-1][:4] for v in (1, 2, 3, 4, -1, 0)] == ["norm", "mode", "high", "extr", "tran", "tran"]
+    assert one(labels.level_colour_class(F.lit(4))) == "color-extreme-traffic"
+    assert one(labels.level_colour_class(F.lit(0))) is None
+    assert tuple(one(labels.level_rgb(F.lit(2)))) == (240, 125, 2)
+    assert one(labels.level_rgb(F.lit(-1))) is None
+
+
+def test_unknown_language():
+    with pytest.raises(ValueError):
+        labels.check_language("CN")

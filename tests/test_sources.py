@@ -1,0 +1,144 @@
+import datetime as dt
+import json
+
+import pytest
+from conftest import bulletin
+from pyspark.sql import functions as F
+
+from roadpulse.functions import labels
+from roadpulse.operators import filters, serving
+from roadpulse.sources import bulletins, history, models, panel, predictions
+
+TODAY = dt.date(2024, 1, 25)
+
+
+def test_history_scan(spark, history_folder):
+    rows = history.read_history(spark, history_folder)
+    sizes = {r.station_id: r["count"] for r in rows.groupBy("station_id").count().collect()}
+    assert sizes == {2: 505, 100: 336, 13: 1}
+    first = rows.where("station_id = 2").orderBy("ts").first()
+    assert (first.station_code, first.ts, first.traffic_1, first.count_2) == ("00000002", dt.datetime(2018, 1, 1), 1, 0)
+    kept = filters.eligible(rows).select("station_id").distinct().collect()
+    assert {r.station_id for r in kept} == {2, 100}
+    assert history.read_station(spark, history_folder, "00000100").count() == 336
+
+
+def test_history_errors(spark, history_folder, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        history.read_history(spark, history_folder + "/nowhere")
+    bad = tmp_path / "00000005.csv"
+    bad.write_text("DATE_HOURS,SCODE,TEMPERATURE,NIEDERSCHLAG,TRAFFIC_2,TRAFFIC_1,COUNT_1,COUNT_2\n180101_00,x,1,0,1,1,1,1\n")
+    with pytest.raises(Exception):
+        history.read_history(spark, str(bad)).collect()
+    bad.write_text("DATE_HOURS,SCODE,TEMPERATURE,NIEDERSCHLAG,TRAFFIC_1,TRAFFIC_2,COUNT_1,COUNT_2\n18-01-01,x,1,0,1,1,1,1\n")
+    with pytest.raises(Exception):
+        history.read_history(spark, str(bad)).collect()
+    assert history.read_history(spark, str(bad), lenient=True).first().ts is None
+
+
+def test_last_row_of_an_hour_wins(spark, tmp_path):
+    header = "DATE_HOURS,SCODE,TEMPERATURE,NIEDERSCHLAG,TRAFFIC_1,TRAFFIC_2,COUNT_1,COUNT_2\n"
+    (tmp_path / "00000003.csv").write_text(header + "180101_00,x,1,0,1,1,10,1\n180101_01,x,1,0,1,1,30,1\n180101_00,x,1,0,2,1,20,1\n")
+    rows = history.read_history(spark, str(tmp_path)).drop("station_code")
+    last = serving.latest_per_hour(rows, ["station_id", "ts"], "ingest_order").orderBy("ts").collect()
+    assert [(r.traffic_1, r.count_1) for r in last] == [(2, 20), (1, 30)]
+
+
+def test_station_metadata(spark, station_file):
+    stations = history.read_stations(spark, station_file)
+    rows = {r.station_id: r for r in stations.collect()}
+    assert rows[13].abitato_sito_d == "Süd" and rows[2].fw_name_custom_d == "Straße 12"
+    assert rows[100].descrizione_i_2 is None
+    names = {r.station_id: r.zone_name for r in serving.weather_zone_names(stations, "de").collect()}
+    assert names[2].startswith("Bozen") and names[13] == "Ladinia - Dolomiten" and names[100].startswith("Invalid")
+    marks = {r.station_id: r for r in serving.station_markers(filters.station_index(stations)).collect()}
+    assert [marks[s].station_index for s in (2, 13, 100)] == [0, 1, 2]
+    box = marks[2].marker.infobox
+    assert "From: Trento / Trient To: Bolzano / Bozen" in box and "station_id=0>" in box
+    assert marks[100].marker.infobox.count("From:  / Mals") == 1
+    texts = stations.where("station_id = 2").select(labels.direction_label(1), labels.console_route(1)).first()
+    assert texts == ("From: Trento / Trient to: Bolzano/Bozen", "From Bolzano to Trento")
+
+
+def test_paths():
+    assert history.resolve("/data/x") == "/data/x"
+    assert history.resolve("/x/y.csv", "past", "acct") == "abfss://past@acct.dfs.core.windows.net/x/y.csv"
+    with pytest.raises(ValueError):
+        history.resolve("x", "past")
+
+
+def test_bulletins_from_files(spark, tmp_path):
+    (tmp_path / "1.json").write_text(json.dumps(bulletin(TODAY, 6, day_3={"rainTimespan3": None, "rainFrom": "drop"}), indent=1))
+    (tmp_path / "2.json").write_text(json.dumps(bulletin(TODAY, 3, day_1={"rainTimespan4": "drop"})))
+    parsed = bulletins.parse_bulletins(bulletins.read_bulletins(spark, str(tmp_path)))
+    assert {(r.weather_index, r.horizon) for r in bulletins.horizon(parsed, "2024-01-25").collect()} == {(1, 5), (2, 2)}
+    rows = {(r.weather_index, r.day_offset): r for r in bulletins.forecasts(parsed).collect()}
+    assert len(rows) == 9
+    assert rows[1, 3].has_slot_3 and rows[1, 3].slot_3 is None and not rows[1, 2].has_slot_3
+    assert rows[1, 2].day == dt.date(2024, 1, 27) and rows[1, 2].temperature_max == 22.0
+    report = {(r.weather_index, r.day_offset): r.missing_keys for r in bulletins.key_report(parsed).collect()}
+    assert report[1, 3] == "rainFrom" and report[2, 1] == "rainTimespan4"
+    assert sum(v == "" for v in report.values()) == 7
+
+
+def _predictions(spark):
+    rows = [(s, 1, dt.datetime(2024, 1, 25 + h // 24, h % 24), 1 + h % 4, 2, h, 100 - h) for s in (2, 13) for h in range(48)]
+    return spark.createDataFrame(
+        rows, "station_id int, weather_index int, ts timestamp_ntz, traffic_1 int, traffic_2 int, count_1 int, count_2 int"
+    )
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_prediction_files(spark, tmp_path, fmt):
+    out = str(tmp_path / "out")
+    df = _predictions(spark)
+    predictions.write_prediction_files(df, out, fmt)
+    changed = df.where("station_id = 13").withColumn("count_1", F.lit(7))
+    predictions.write_prediction_files(changed, out, fmt)
+    back = predictions.read_prediction_files(spark, out, fmt)
+    expected = df.where("station_id = 2").unionByName(changed).drop("weather_index")
+    assert back.exceptAll(expected.select(*back.columns)).isEmpty() and back.count() == 96
+
+
+def test_flat_prediction_files(spark, tmp_path):
+    header = "TRAFFIC_1,TRAFFIC_2,DAY,MONTH,YEAR,HOUR,COUNT_1,COUNT_2\n"
+    (tmp_path / "00000002_predictions.csv").write_text(header + "1,2,25,1,2024,0,5,6\n")
+    (tmp_path / "00000013.csv").write_text(header + "3,4,25,1,2024,23,7,8\n")
+    rows = {r.station_id: r for r in predictions.read_prediction_files(spark, str(tmp_path)).collect()}
+    assert rows[2].count_2 == 6 and rows[13].ts == dt.datetime(2024, 1, 25, 23)
+
+
+def test_prediction_table_replaces_zone_days(spark, tmp_path):
+    out = str(tmp_path / "table")
+    df = _predictions(spark)
+    predictions.write_prediction_table(df, out)
+    predictions.write_prediction_table(df.where("to_date(ts) = '2024-01-26'").withColumn("count_1", F.lit(0)), out)
+    rows = spark.read.parquet(out)
+    assert rows.count() == 96 and rows.where("day = '2024-01-26' and count_1 > 0").isEmpty()
+    assert rows.where("day = '2024-01-25' and count_1 > 0").count() == 46
+
+
+def test_model_table(spark, tmp_path):
+    store = str(tmp_path / "models")
+    df = spark.createDataFrame([(2, "TRAFFIC_1", 1.5), (2, "TRAFFIC_2", 2.5)], "station_id int, target string, payload double")
+    models.save_models(df, store, "tree")
+    assert models.load_models(spark, store, "tree", ["TRAFFIC_1"]).first().payload == 1.5
+    assert models.load_models(spark, store, "tree").count() == 2
+    with pytest.raises(models.ModelMissing):
+        models.load_models(spark, store, "dummy")
+    with pytest.raises(models.ModelMissing):
+        models.load_models(spark, store, "tree", ["COUNT_1"])
+
+
+def test_panel_levels(spark):
+    at = dt.datetime(2024, 1, 1, 5)
+    readings = [(2, at + dt.timedelta(hours=h, minutes=m), 1 + m % 2) for h in range(4) for m in range(2 * h + 1)]
+    weather = [(2, at + dt.timedelta(minutes=m), v) for m, v in ((1, 10.0), (2, 20.5))]
+    rows = panel.hourly_panel(
+        spark.createDataFrame(readings, "station_id int, ts timestamp_ntz, direction int"),
+        spark.createDataFrame(weather, "station_id int, ts timestamp_ntz, value double"),
+    ).orderBy("ts").collect()
+    assert [(r.count_1, r.count_2) for r in rows] == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert [r.traffic_1 for r in rows] == [1, 2, 3, 4] and [r.traffic_2 for r in rows] == [1, 2, 3, 4]
+    assert rows[0].temperature == pytest.approx(15.25) and rows[0].niederschlag == pytest.approx(0.305)
+    assert rows[1].temperature is None
