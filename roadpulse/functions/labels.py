@@ -45,6 +45,11 @@ def check_language(lang: str) -> str:
     return lang
 
 
+def weather_zone(index: Column, lang: str) -> Column:
+    """Name of a weather zone, a message for an unknown one. Seven fixed names need no join."""
+    return _by_level(index, schemas.WEATHER_ZONES[check_language(lang)], schemas.WEATHER_ZONE_UNKNOWN)
+
+
 def infobox(station_index: Column) -> Column:
     """The marker's text; a missing label is left out."""
     pieces = re.split(r"\{(\w+)\}", schemas.INFOBOX)

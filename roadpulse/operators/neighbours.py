@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from roadpulse.schemas import FEATURES
 
-SIDES = [1.0, 4.0, 16.0, 64.0, 256.0, 1024.0, 4096.0]
-"""Cell sides of the grids, fine to coarse. A last grid puts all points of a key into one cell."""
+SIDES = [4.0**e for e in range(-3, 7)]
+"""Cell sides of the grids, from below the resolution of the readings to beyond their range. A last grid puts all
+points of a key into one cell."""
 
 _CELLS = [f"cell_{f}" for f in FEATURES]
 

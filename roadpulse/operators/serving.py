@@ -45,14 +45,6 @@ def station_markers(indexed_stations: DataFrame) -> DataFrame:
     )
 
 
-def weather_zone_names(df: DataFrame, lang: str) -> DataFrame:
-    """`zone_name` for each `weather_index`, a message for an unknown one. The joined table has 7 fixed rows."""
-    zones = schemas.WEATHER_ZONES[labels.check_language(lang)]
-    lookup = df.sparkSession.createDataFrame(list(zones.items()), "weather_index int, zone_name string")
-    named = df.join(F.broadcast(lookup), "weather_index", "left")
-    return named.withColumn("zone_name", F.coalesce("zone_name", F.lit(schemas.WEATHER_ZONE_UNKNOWN)))
-
-
 def by_date(facts: DataFrame) -> DataFrame:
     """Per station and day the hours in order: at most 24 entries once each hour is there once."""
     entry = F.struct(F.hour("ts").alias("hour"), "traffic_1", "traffic_2", "count_1", "count_2")

@@ -256,9 +256,8 @@ def direction_labels(spark, d):
 
 @query
 def weather_names(spark, d):
-    named = serving.weather_zone_names(star.stations(spark, d).select("station_id", "weather_index"), "it")
-    italian = named.withColumnRenamed("zone_name", "zone_it")
-    return serving.weather_zone_names(italian, "de").withColumnRenamed("zone_name", "zone_de")
+    zones = [labels.weather_zone(F.col("weather_index"), lang).alias(f"zone_{lang}") for lang in ("it", "de")]
+    return star.stations(spark, d).select("station_id", "weather_index", *zones)
 
 
 @query

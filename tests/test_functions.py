@@ -108,6 +108,10 @@ def test_level_texts(one):
     assert one(labels.level_rgb(F.lit(-1))) is None
 
 
-def test_unknown_language():
+def test_weather_zones(one):
+    names = [one(labels.weather_zone(F.lit(i), lang)) for i, lang in ((1, "it"), (7, "it"), (1, "de"), (7, "de"), (8, "de"))]
+    assert names[:2] == ["Bolzano, Oltradige e Bassa Atesina", "Ladinia - Dolomiti"]
+    assert names[2:4] == ["Bozen, Überetsch und Unterland", "Ladinia - Dolomiten"]
+    assert names[4] == "Invalid Weather Station Index. It must be within [1-7]."
     with pytest.raises(ValueError):
-        labels.check_language("CN")
+        labels.weather_zone(F.lit(7), "CN")

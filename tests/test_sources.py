@@ -49,7 +49,7 @@ def test_station_metadata(spark, station_file):
     rows = {r.station_id: r for r in stations.collect()}
     assert rows[13].abitato_sito_d == "Süd" and rows[2].fw_name_custom_d == "Straße 12"
     assert rows[100].descrizione_i_2 is None
-    names = {r.station_id: r.zone_name for r in serving.weather_zone_names(stations, "de").collect()}
+    names = {r.station_id: r.zone_name for r in stations.withColumn("zone_name", labels.weather_zone(F.col("weather_index"), "de")).collect()}
     assert names[2].startswith("Bozen") and names[13] == "Ladinia - Dolomiten" and names[100].startswith("Invalid")
     marks = {r.station_id: r for r in serving.station_markers(filters.station_index(stations)).collect()}
     assert [marks[s].station_index for s in (2, 13, 100)] == [0, 1, 2]
@@ -124,6 +124,8 @@ def test_model_table(spark, tmp_path):
     models.save_models(df, store, "tree")
     assert models.load_models(spark, store, "tree", ["TRAFFIC_1"]).first().payload == 1.5
     assert models.load_models(spark, store, "tree").count() == 2
+    wanted = spark.createDataFrame([(2,), (5,)], "station_id int")
+    assert [tuple(r) for r in models.missing_models(wanted, {"tree": df, "forest": df}).collect()] == [(5, "tree"), (5, "forest")]
     with pytest.raises(models.ModelMissing):
         models.load_models(spark, store, "dummy")
     with pytest.raises(models.ModelMissing):
