@@ -14,38 +14,25 @@ points of a key into one cell."""
 _CELLS = [f"cell_{f}" for f in FEATURES]
 
 
-def _side(level: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in SIDES]), (level + 1).cast("int"))
-
-
-def _cell(value: Column, side: float) -> Column:
-    return F.floor(value / F.lit(side))
+def _cell(value: Column, side: Column) -> Column:
+    return F.floor(value / side)
 
 
 def _in_all_grids(points: DataFrame) -> DataFrame:
     """One row per point and grid; the number of grids is fixed."""
     grids = [
-        F.struct(F.lit(i).alias("grid"), *[_cell(F.col(f), side).alias(c) for f, c in zip(FEATURES, _CELLS)])
+        F.struct(F.lit(i).alias("grid"), *[_cell(F.col(f), F.lit(side)).alias(c) for f, c in zip(FEATURES, _CELLS)])
         for i, side in enumerate(SIDES)
     ]
     whole = F.struct(F.lit(len(SIDES)).alias("grid"), *[F.lit(0).cast("bigint").alias(c) for c in _CELLS])
     return points.select("*", F.inline(F.array(*grids, whole)))
 
 
-def _far_square() -> Column:
-    """Squared distance to the farthest corner of the box of a cell's points."""
-    total = F.lit(0.0)
-    for f in FEATURES:
-        reach = F.greatest(F.abs(F.col(f) - F.col(f"low_{f}")), F.abs(F.col(f) - F.col(f"high_{f}")))
-        total = total + reach * reach
-    return total
-
-
-def _near_square() -> Column:
-    """Squared distance to the nearest place of the box of a cell's points."""
+def _square() -> Column:
+    """Squared distance between a query and a training point."""
     total = F.lit(0.0)
     for f in FEATURES:
-        gap = F.greatest(F.col(f"low_{f}") - F.col(f), F.col(f) - F.col(f"high_{f}"), F.lit(0.0))
+        gap = F.col(f) - F.col(f"train_{f}")
         total = total + gap * gap
     return total
 
@@ -57,68 +44,49 @@ def distinct_points(rows: DataFrame, keys: list[str], extra: list[str] = ()) ->
 
 
 def nearest(train: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The k nearest training rows of each query, as `(query, square, label, taken)`.
+    """The k nearest training rows of each query, as `(query, square, label, n, before)`.
 
     `train` holds distinct points `(keys, features, label, n)`, `queries` distinct points `(keys, features)`.
-    Equal distances go to the smaller label. `taken` says how many of the k rows a point gives, in `first_k` order.
+    Equal distances go to the smaller label. A point stands for `n` rows and `before` rows come ahead of it.
 
-    1. Cells of nested grids know their number of rows and the box around them. The finest cell around a query
-       with k rows bounds its k-th distance: no farther than the box's far corner.
-    2. The query visits the cells of a grid about as coarse as that bound which lie within it (3 per dimension
-       at most) and whose box does, and only their points are measured.
+    1. Nested grids know the number of rows in each cell. A query's home is the finest cell around it with k rows.
+    2. The k-th distance within the home bounds the k-th distance overall.
+    3. All cells within that bound are visited, in a grid about half as coarse as the bound (5 cells per dimension at
+       most), and their points measured. So the pairs measured follow the number of near points, not the key's size.
     """
     query = [*keys, *FEATURES]
-    gridded = _in_all_grids(train)
-    boxes = gridded.groupBy(*keys, "grid", *_CELLS).agg(
-        F.sum("n").alias("cell_rows"),
-        *[F.min(f).alias(f"low_{f}") for f in FEATURES],
-        *[F.max(f).alias(f"high_{f}") for f in FEATURES],
-    )
-    box_columns = [c for c in boxes.columns if c.startswith(("low_", "high_"))]
+    cell = [*keys, "grid", *_CELLS]
+    points = _in_all_grids(train).withColumnsRenamed({f: f"train_{f}" for f in FEATURES})
+    sizes = points.groupBy(*cell).agg(F.sum("n").alias("cell_rows")).hint("merge")
+    # Size estimates do not see the copies per grid, so a broadcast is ruled out.
+    points = points.hint("merge")
+    order = Window.partitionBy(*query).orderBy("square", "label")
 
-    # Fewer than k rows in the whole key: everything counts, so the whole cell always qualifies.
-    whole = F.col("grid") == len(SIDES)
-    bound = F.min_by(F.struct(_far_square().alias("square")), "grid")["square"]
-    bounded = (
+    # The last grid always qualifies: a key with fewer than k rows gives all of them.
+    roomy = (F.col("cell_rows") >= k) | (F.col("grid") == len(SIDES))
+    homes = (
         _in_all_grids(queries.select(*query))
-        .join(boxes, [*keys, "grid", *_CELLS])
-        .where((F.col("cell_rows") >= k) | whole)
+        .join(sizes, cell)
+        .where(roomy)
         .groupBy(*query)
-        .agg(bound.alias("bound_square"))
+        .agg(F.min_by(F.struct("grid", *_CELLS), "grid").alias("home"))
+        .select(*query, "home.*")
     )
-
-    # The slack keeps rounding of the root from losing a cell; the measured squares decide.
-    bounded = bounded.withColumn("bound", F.sqrt("bound_square") * (1 + 1e-9) + 1e-9)
-    steps = F.array(*[F.lit(s) for s in SIDES])
-    bounded = bounded.withColumn("grid", F.size(F.filter(steps, lambda s: s < F.col("bound"))))
-    visited = bounded
-    coarse = F.col("grid") == len(SIDES)
-    for f, cell in zip(FEATURES, _CELLS):
-        side = F.when(~coarse, _side(F.least(F.col("grid"), F.lit(len(SIDES) - 1))))
-        first = F.when(coarse, F.lit(0)).otherwise(F.floor((F.col(f) - F.col("bound")) / side))
-        last = F.when(coarse, F.lit(0)).otherwise(F.floor((F.col(f) + F.col("bound")) / side))
-        if f in ("hour", "week_day"):
-            top = 23 if f == "hour" else 6
-            first = F.greatest(first, F.lit(0))
-            last = F.least(last, F.when(coarse, F.lit(0)).otherwise(F.floor(F.lit(top) / side)))
-        visited = visited.select("*", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).alias(cell))
-    visited = (
-        visited.join(boxes, [*keys, "grid", *_CELLS])
-        .where(_near_square() <= F.col("bound_square"))
-        .drop("cell_rows", *box_columns, "bound")
+    bounded = (
+        homes.join(points, cell)
+        .select(*query, "label", _square().alias("square"))
+        .withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= k)
+        .groupBy(*query)
+        .agg(F.max("square").alias("bound_square"))
     )
 
-    there = gridded.select(*keys, "grid", *_CELLS, "label", "n", *[F.col(f).alias(f"train_{f}") for f in FEATURES])
-    square = F.lit(0.0)
-    for f in FEATURES:
-        gap = F.col(f) - F.col(f"train_{f}")
-        square = square + gap * gap
     measured = (
-        visited.join(there, [*keys, "grid", *_CELLS])
-        .select(*query, "bound_square", "label", "n", square.alias("square"))
+        _cells_within(bounded)
+        .join(points, cell)
+        .select(*query, "bound_square", "label", "n", _square().alias("square"))
         .where(F.col("square") <= F.col("bound_square"))
     )
-    order = Window.partitionBy(*query).orderBy("square", "label")
     closest = measured.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return (
@@ -128,6 +96,29 @@ def nearest(train: DataFrame, queries: DataFrame, keys: list[str], k: int) -> Da
     )
 
 
+def _cells_within(bounded: DataFrame) -> DataFrame:
+    """One row per query and cell that reaches into the ball of `bound_square` around it."""
+    # The slack keeps rounding from losing a cell at the rim; the measured squares decide.
+    reach = bounded.withColumn("reach", F.sqrt("bound_square") * (1 + 1e-9) + 1e-9)
+    sides = F.array(*[F.lit(s) for s in SIDES])
+    reach = reach.withColumn("grid", F.size(F.filter(sides, lambda s: s < F.col("reach") / 2)))
+    reach = reach.withColumn("side", F.get(sides, F.col("grid"))).withColumn("used", F.lit(0.0))
+    whole = F.col("side").isNull()
+    top = {"hour": 23, "week_day": 6}
+    for f, c in zip(FEATURES, _CELLS):
+        first, last = (_cell(F.col(f) + sign * F.col("reach"), F.col("side")) for sign in (-1, 1))
+        if f in top:
+            first, last = F.greatest(first, F.lit(0)), F.least(last, _cell(F.lit(float(top[f])), F.col("side")))
+        span = F.when(whole, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(first, last))
+        gap = F.greatest(F.col(c) * F.col("side") - F.col(f), F.col(f) - (F.col(c) + 1) * F.col("side"), F.lit(0.0))
+        reach = (
+            reach.withColumn(c, F.explode(span))
+            .withColumn("used", F.col("used") + F.coalesce(gap * gap, F.lit(0.0)))
+            .where(F.col("used") <= F.col("reach") * F.col("reach"))
+        )
+    return reach.drop("reach", "side", "used")
+
+
 def vote(neighbours: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Most frequent label among the first 1..k rows, as `predicted_1`..`predicted_k`; ties go to the smaller label."""
     query = [*keys, *FEATURES]
