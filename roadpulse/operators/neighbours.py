@@ -51,7 +51,7 @@ def nearest(train: DataFrame, queries: DataFrame, keys: list[str], k: int) -> Da
 
     1. Nested grids know the number of rows in each cell. A query's home is the finest cell around it with k rows.
     2. The k-th distance within the home bounds the k-th distance overall.
-    3. All cells within that bound are visited, in a grid about half as coarse as the bound (5 cells per dimension at
+    3. All cells within that bound are visited, in a grid about as coarse as the bound (3 cells per dimension at
        most), and their points measured. So the pairs measured follow the number of near points, not the key's size.
     """
     query = [*keys, *FEATURES]
@@ -101,7 +101,7 @@ def _cells_within(bounded: DataFrame) -> DataFrame:
     # The slack keeps rounding from losing a cell at the rim; the measured squares decide.
     reach = bounded.withColumn("reach", F.sqrt("bound_square") * (1 + 1e-9) + 1e-9)
     sides = F.array(*[F.lit(s) for s in SIDES])
-    reach = reach.withColumn("grid", F.size(F.filter(sides, lambda s: s < F.col("reach") / 2)))
+    reach = reach.withColumn("grid", F.size(F.filter(sides, lambda s: s < F.col("reach"))))
     reach = reach.withColumn("side", F.get(sides, F.col("grid"))).withColumn("used", F.lit(0.0))
     whole = F.col("side").isNull()
     top = {"hour": 23, "week_day": 6}
