@@ -20,16 +20,21 @@ def over_tasks(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(tasks, *columns)
 
 
-def bounded_points(rows: DataFrame, group: list[str], budget: int = 200_000, bins: int = 32) -> DataFrame:
-    """Rows as weighted points, a set per key whose size has a bound.
+def exact_points(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Equal rows as one point with their number `n` and the sum `total` of `label`.
 
-    Equal rows fold into one point with their number `n` and the sum `total` of `label`. Up to `budget` points a key
-    keeps its exact values. Beyond, temperature and rain go to `bins` quantile steps each, so a key holds at most
-    24 x 7 x bins x bins points per value of the other group columns; every row still counts.
     `group` names the columns beside keys and features that tell points apart.
     """
     doubles = [F.col(f).cast("double").alias(f) for f in FEATURES]
-    exact = rows.groupBy(*KEYS, *group, *doubles).agg(F.count("*").alias("n"), F.sum("label").cast("double").alias("total"))
+    return rows.groupBy(*KEYS, *group, *doubles).agg(F.count("*").alias("n"), F.sum("label").cast("double").alias("total"))
+
+
+def bounded_points(exact: DataFrame, group: list[str], budget: int = 200_000, bins: int = 32) -> DataFrame:
+    """Points for fitting, a set per key whose size has a bound.
+
+    Up to `budget` points a key keeps its exact values. Beyond, temperature and rain go to `bins` quantile steps each,
+    so a key holds at most 24 x 7 x bins x bins points per value of the `group` columns; every row still counts.
+    """
     steps = [(i + 0.5) / bins for i in range(bins)]
     sizes = exact.groupBy(*KEYS).agg(
         F.count("*").alias("points"),

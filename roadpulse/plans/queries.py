@@ -446,8 +446,7 @@ def mse(spark, d):
 
 @query
 def simple_tree(spark, d):
-    points = _points(spark, d).where(F.col("split") == "train")
-    models = trees.fit_simple(points)
+    models = trees.fit_simple(training.tree_points(_points(spark, d), SETTINGS))
     nodes = F.arrays_zip("feature", "threshold")
     return models.select(*KEYS, F.posexplode(nodes).alias("node", "split")).select(
         *KEYS, "node", F.get(F.array(*[F.lit(f) for f in schemas.FEATURES]), F.nullif("split.feature", F.lit(-1))).alias("feature"),
@@ -458,7 +457,7 @@ def simple_tree(spark, d):
 @query
 def tree_fit_metrics(spark, d):
     points = _points(spark, d)
-    models = cut_lineage(trees.fit_simple(points.where(F.col("split") == "train")))
+    models = cut_lineage(trees.fit_simple(training.tree_points(points, SETTINGS)))
     queries = points.select(*KEYS, *schemas.FEATURES).distinct()
     guessed = points.join(trees.predict(models, queries, schemas.FEATURES), [*KEYS, *schemas.FEATURES])
     return metrics.accuracy(guessed, [*KEYS, "split"], weight="n")
@@ -466,19 +465,19 @@ def tree_fit_metrics(spark, d):
 
 @query
 def tree_importances(spark, d):
-    return trees.importances(trees.fit_simple(_points(spark, d).where(F.col("split") == "train")))
+    return trees.importances(trees.fit_simple(training.tree_points(_points(spark, d), SETTINGS)))
 
 
 @query
 def grid_best(spark, d):
-    scores = trees.search(_points(spark, d).where(F.col("split") == "train"))
+    scores = trees.search(training.tree_points(_points(spark, d), SETTINGS))
     return trees.best_settings(scores).select(*KEYS, "max_depth", "min_leaf", "min_split", "accuracy")
 
 
 @query
 def forest_metrics(spark, d):
     points = _points(spark, d)
-    models = cut_lineage(trees.fit_forest(points.where(F.col("split") == "train")))
+    models = cut_lineage(trees.fit_forest(training.tree_points(points, SETTINGS)))
     queries = points.select(*KEYS, *schemas.FEATURES).distinct()
     guessed = points.join(trees.predict(models, queries, schemas.FEATURES), [*KEYS, *schemas.FEATURES])
     return metrics.accuracy(guessed, [*KEYS, "split"], weight="n")
@@ -486,11 +485,11 @@ def forest_metrics(spark, d):
 
 @query
 def mlp_counts(spark, d):
-    points, scalers = training.count_points(_rows(spark, d), SETTINGS)
-    points = cut_lineage(points)
-    network = cut_lineage(neural.fit(points))
-    asked = points.select(*KEYS, *schemas.FEATURES, "x").dropDuplicates([*KEYS, *schemas.FEATURES])
-    out = neural.predict_scaled(network, asked, schemas.FEATURES).join(scalers, KEYS)
+    long = training.count_rows(_rows(spark, d), SETTINGS)
+    scalers = cut_lineage(training.count_scalers(long))
+    exact = cut_lineage(keyed.exact_points(long, ["split"]))
+    network = cut_lineage(training.fit_network(exact, scalers, SETTINGS))
+    out = training.network_output(network, exact, scalers)
     return out.select(*KEYS, *schemas.FEATURES, neural.counts(F.col("scaled")).alias("vehicles"))
 
 

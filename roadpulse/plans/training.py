@@ -51,16 +51,21 @@ def level_samples(rows: DataFrame, settings: Settings) -> DataFrame:
 
 
 def level_points(rows: DataFrame, settings: Settings) -> DataFrame:
-    return keyed.bounded_points(level_samples(rows, settings), ["split", "label"], settings.budget)
+    return keyed.exact_points(level_samples(rows, settings), ["split", "label"])
+
+
+def tree_points(points: DataFrame, settings: Settings) -> DataFrame:
+    """What trees are fitted on; neighbours and all scores use the exact points."""
+    return keyed.bounded_points(points.where(F.col("split") == "train"), ["label"], settings.budget)
 
 
 def train_levels(points: DataFrame, settings: Settings) -> Trained:
     """Optimised tree, forest and neighbours; `points` are used many times and should be written before."""
-    train = points.where(F.col("split") == "train")
     queries = points.select(*KEYS, *FEATURES).distinct()
-    tree = cut_lineage(trees.fit_optimised(train, settings.seed))
-    forest = cut_lineage(trees.fit_forest(train, settings.n_trees, settings.seed))
-    memory = train.select(*KEYS, *FEATURES, "label", "n")
+    fitted = cut_lineage(tree_points(points, settings))
+    tree = cut_lineage(trees.fit_optimised(fitted, settings.seed))
+    forest = cut_lineage(trees.fit_forest(fitted, settings.n_trees, settings.seed))
+    memory = points.where(F.col("split") == "train").select(*KEYS, *FEATURES, "label", "n")
 
     voted = cut_lineage(neighbours.predict(memory, queries, KEYS, settings.neighbours))
     best = best_neighbours(points, voted, settings.neighbours)
@@ -104,13 +109,18 @@ def chosen_neighbours(voted: DataFrame, best: DataFrame, k: int) -> DataFrame:
     return voted.join(best.select(*KEYS, "k"), KEYS).withColumn("predicted", F.get(options, F.col("k") - 1))
 
 
-def count_points(rows: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Points `(keys, split, x, y, n)` for the networks, and the fitted scalers of each key."""
+def count_rows(rows: DataFrame, settings: Settings) -> DataFrame:
     narrow = rows.select("station_id", "obs_id", *FEATURES, "count_1", "count_2")
-    long = sampling.holdout(sampling.long_targets(narrow, COUNT_TARGETS), settings.seed)
-    scalers = scaling.fit_features(long, KEYS).join(scaling.fit_minmax(long, KEYS, "label"), KEYS)
-    points = keyed.bounded_points(long, ["split"], settings.budget)
-    ready = points.join(scalers, KEYS).select(
+    return sampling.holdout(sampling.long_targets(narrow, COUNT_TARGETS), settings.seed)
+
+
+def count_scalers(long: DataFrame) -> DataFrame:
+    return scaling.fit_features(long, KEYS).join(scaling.fit_minmax(long, KEYS, "label"), KEYS)
+
+
+def network_points(points: DataFrame, scalers: DataFrame) -> DataFrame:
+    """`(keys, split, features, x, y, n)`: input vector and mean scaled count of each point."""
+    return points.join(scalers, KEYS).select(
         *KEYS,
         "split",
         *FEATURES,
@@ -118,19 +128,27 @@ def count_points(rows: DataFrame, settings: Settings) -> tuple[DataFrame, DataFr
         scaling.minmax(F.col("total") / F.col("n")).alias("y"),
         "n",
     )
-    return ready, scalers
+
+
+def fit_network(exact: DataFrame, scalers: DataFrame, settings: Settings) -> DataFrame:
+    points = keyed.bounded_points(exact, ["split"], settings.budget)
+    return neural.fit(network_points(points, scalers), settings.epochs, seed=settings.seed)
+
+
+def network_output(network: DataFrame, exact: DataFrame, scalers: DataFrame) -> DataFrame:
+    """Scaled output for each distinct feature row, with the key's scalers."""
+    asked = network_points(exact, scalers).select(*KEYS, *FEATURES, "x").dropDuplicates([*KEYS, *FEATURES])
+    return neural.predict_scaled(network, asked, FEATURES).join(scalers, KEYS)
 
 
 def train_counts(rows: DataFrame, settings: Settings) -> Trained:
-    points, scalers = count_points(rows, settings)
-    scalers = cut_lineage(scalers)
-    network = cut_lineage(neural.fit(points, settings.epochs, seed=settings.seed))
-    narrow = rows.select("station_id", "obs_id", *FEATURES, "count_1", "count_2")
-    doubles = [F.col(f).cast("double").alias(f) for f in FEATURES]
-    long = sampling.holdout(sampling.long_targets(narrow, COUNT_TARGETS), settings.seed)
-    cases = long.groupBy(*KEYS, "split", *doubles, "label").agg(F.count("*").alias("n"))
-    guessed = neural.predict_scaled(network, points.select(*KEYS, *FEATURES, "x").dropDuplicates([*KEYS, *FEATURES]), FEATURES)
-    scored = cases.join(guessed, [*KEYS, *FEATURES]).join(scalers, KEYS)
+    long = count_rows(rows, settings)
+    scalers = cut_lineage(count_scalers(long))
+    cases = cut_lineage(keyed.exact_points(long, ["split", "label"]))
+    exact = cases.groupBy(*KEYS, "split", *FEATURES).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    network = cut_lineage(fit_network(exact, scalers, settings))
+    guessed = network_output(network, exact, scalers)
+    scored = cases.join(guessed, [*KEYS, *FEATURES])
     scored = scored.withColumn("vehicles", scaling.undo_minmax(F.col("scaled")))
     error = metrics.mean_percentage_error(scored, [*KEYS, "split"], "label", "vehicles", weight="n")
     report = error.select(

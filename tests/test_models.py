@@ -31,7 +31,7 @@ def _by_hour(warm, wet, hour, day, draw):
 
 
 def _points(spark, rows, **options):
-    return keyed.bounded_points(spark.createDataFrame(rows, ROWS), ["label"], **options)
+    return keyed.bounded_points(keyed.exact_points(spark.createDataFrame(rows, ROWS), ["label"]), ["label"], **options)
 
 
 def _brute_neighbours(train, queries, k):

@@ -103,6 +103,22 @@ def test_refresh_stream(spark, inputs, tmp_path):
     assert spark.read.parquet(out).count() == 2 * 3 * 24
 
 
+def test_crowded_stations_keep_all_rows_in_the_scores(spark, inputs):
+    observations, stations = inputs
+    rows = training.observed(observations, stations)
+    tight = training.Settings(n_trees=5, budget=50)
+    points = training.level_points(rows, tight)
+    fitted = training.tree_points(points, tight)
+    weight = [df.groupBy("station_id", "target").agg(F.sum("n")) for df in (points.where("split = 'train'"), fitted)]
+    assert weight[0].exceptAll(weight[1]).isEmpty()
+    steps = fitted.groupBy("station_id", "target").agg(F.count_distinct("temperature").alias("n"))
+    assert all(r.n <= 32 for r in steps.collect())
+    report = training.train(observations, stations, tight).metrics
+    assert report.count() == 2 * 2 * (4 * 2 + 2 * 2)
+    good = report.where("metric = 'accuracy' and split = 'test' and model = 'tree' and station_id = 2")
+    assert all(r.value > 0.9 for r in good.collect())
+
+
 def test_eligible_drops_single_rows(inputs):
     observations, _ = inputs
     assert filters.eligible(observations).where("station_id = 13").isEmpty()
