@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,17 +36,31 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir, which all executors reach.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder beside its warehouse.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="roadpulse-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lineage"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per session, so that it need not be installed on the executors."""
+    context = spark.sparkContext
+    if getattr(context, "_roadpulse_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    handle, archive = tempfile.mkstemp(prefix="roadpulse-", suffix=".zip")
+    with os.fdopen(handle, "wb") as out, zipfile.ZipFile(out, "w") as packed:
+        for source in sorted(root.rglob("*.py")):
+            packed.write(source, str(source.relative_to(root.parent)))
+    context.addPyFile(archive)
+    context._roadpulse_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and go on from there.
 
