@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,9 @@ WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
 
+#: Bytes of text that a worker turns into Python objects at a time.
+PORTION_BYTES = 4_000_000
+
 
 def words(text: str | None) -> list[bytes]:
     """Words of a whole text: runs of digits, ASCII letters (lower-cased) and any other character beyond ASCII."""
@@ -63,14 +67,26 @@ def map_text(df: DataFrame, text: str, result: T.StructType, make: object, *args
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make(*args)
-        for batch in batches:
-            made = function(batch.column(place).to_pylist())
-            arrays = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
+        for whole in batches:
+            for batch in portions(whole, place):
+                made = function(batch.column(place).to_pylist())
+                arrays = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
 
     return df.mapInArrow(over, schema)
 
 
+def portions(batch: pa.RecordBatch, place: int, most: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices whose texts have about `most` bytes together; one longer text is a slice of its own."""
+    sizes = np.cumsum([n or 0 for n in pc.binary_length(batch.column(place)).to_pylist()])
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     return {
         T.StringType(): pa.string(), T.BinaryType(): pa.binary(), T.LongType(): pa.int64(), T.IntegerType(): pa.int32(),

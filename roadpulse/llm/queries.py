@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import byte_bpe
-from roadpulse.llm.common import read
+from roadpulse.llm import byte_bpe, decontamination, language_id, toxicity
+from roadpulse.llm.common import crc_part, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +20,54 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op2_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    docs, items = read(spark, d, "documents"), read(spark, d, "benchmark")
+    return decontamination.contamination(docs.select("doc_id", "text"), items).select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        F.col("n_hit").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+ORACLE["op2_decontamination"] = decontamination.ORACLE
+
+
+def _held_out(identifier: str = "doc_id") -> Column:
+    return F.coalesce(crc_part(F.col(identifier)) == 2, F.lit(False)).alias("held_out")
+
+
+def toxicity_model(spark: SparkSession, d: str) -> toxicity.Model:
+    """Fitted on labelled rows outside the held-out part."""
+    labels = read(spark, d, "labels").where(crc_part(F.col("doc_id")) != 2)
+    return toxicity.fit(toxicity.sample(read(spark, d, "documents"), labels, "doc_id", "text", "toxic"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity_model(spark, d)).select(
+        "doc_id",
+        _held_out(),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def language_model(spark: SparkSession, d: str) -> language_id.Model:
+    """Fitted on all rows with a language outside the held-out part."""
+    return language_id.fit(read(spark, d, "documents").where(crc_part(F.col("doc_id")) != 2))
+
+
+@query
+def op6_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return language_id.identify(docs, language_model(spark, d)).select("doc_id", _held_out(), "lang_pred", "score")
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     encoded = byte_bpe.encode(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
