@@ -61,7 +61,7 @@ def _block(texts: list[list[bytes]]) -> tuple[list[bytes], list[int], list[bytes
     gaps = np.diff(at, prepend=0)
     gaps[first] = at[first]
     data, ends = varint(gaps)
-    stop = np.append(first[1:], len(at))
+    stop = np.append(first[1:], len(at)) if len(first) else first
     bounds = np.concatenate([[0], ends])
     raw = data.tobytes()
     packed = [raw[a:b] for a, b in zip(bounds[first].tolist(), bounds[stop].tolist(), strict=True)]

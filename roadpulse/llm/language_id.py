@@ -223,10 +223,12 @@ def fit(
     shares = np.array([np.log(sums[k] / total) for k in languages])
     chances = np.full((size + 1, len(languages)), 1.0 / size)
     chances[size] = 0.0
+    if not languages:
+        return Model([], shares, chances, path)
     # A word's counts side by side, so that its segmentations are followed once for all languages.
     wide = counts.groupBy("word").agg(*[F.sum(F.when(F.col("language") == k, F.col("n"))).alias(f"n{i}") for i, k in enumerate(languages)])
-    wide = cut_lineage(wide) if languages else None
-    for _ in range(rounds if languages else 0):
+    wide = cut_lineage(wide)
+    for _ in range(rounds):
         held = spark.sparkContext.broadcast(chances)
 
         def add(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

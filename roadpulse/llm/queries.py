@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import byte_bpe, decontamination, language_id, toxicity
+from roadpulse.llm import byte_bpe, chat, decontamination, html_wrappers, language_id, neighbours, ngram_join, packing, toxicity, warc
 from roadpulse.llm.common import crc_part, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_tokens(read(spark, d, "documents"))
+
+
 @query
 def op2_decontamination(spark: SparkSession, d: str) -> DataFrame:
     docs, items = read(spark, d, "documents"), read(spark, d, "benchmark")
@@ -36,6 +41,12 @@ def op2_decontamination(spark: SparkSession, d: str) -> DataFrame:
 ORACLE["op2_decontamination"] = decontamination.ORACLE
 
 
+@query
+def op3_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    pages = html_wrappers.extract(read(spark, d, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def _held_out(identifier: str = "doc_id") -> Column:
     return F.coalesce(crc_part(F.col(identifier)) == 2, F.lit(False)).alias("held_out")
 
@@ -57,6 +68,14 @@ def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def op5_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join.classes(read(spark, d, "documents"))
+
+
+ORACLE["op5_ngram_join"] = ngram_join.ORACLE
+
+
 def language_model(spark: SparkSession, d: str) -> language_id.Model:
     """Fitted on all rows with a language outside the held-out part."""
     return language_id.fit(read(spark, d, "documents").where(crc_part(F.col("doc_id")) != 2))
@@ -77,3 +96,44 @@ def op7_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+#: Marks and control strings inside texts, which the format has to carry.
+HARD_TEXT = "\\### Assistant: </turn> ok"
+
+
+@query
+def op8_warc_derivatives(spark: SparkSession, d: str) -> DataFrame:
+    return warc.derive(warc.responses(read(spark, d, "pages")))
+
+
+@query
+def op9_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
+    hard = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(HARD_TEXT).alias("text"),
+    )
+    turns = read(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    back = chat.format_chats(turns).select(
+        "conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.learned_text(F.col("segments")).alias("learned")
+    )
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLE["op9_chat_formatting"] = chat.ORACLE
+
+
+@query
+def op10_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    vectors = read(spark, d, "embeddings")
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
