@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from roadpulse import schemas
+from roadpulse.functions import text
 
 
 def station_code(station_id: Column) -> Column:
@@ -64,16 +65,20 @@ def infobox(station_index: Column) -> Column:
     return F.concat(*columns)
 
 
+def _decoded(name: str) -> Column:
+    return text.decode_entities(F.col(name))
+
+
 def station_label() -> Column:
-    return F.concat_ws("/", "abitato_sito_i", "abitato_sito_d")
+    return F.concat_ws("/", _decoded("abitato_sito_i"), _decoded("abitato_sito_d"))
 
 
 def _route(start: int, end: int) -> Column:
     return F.concat(
         F.lit("From: "),
-        F.concat_ws(" / ", f"descrizione_i_{start}", f"descrizione_d_{start}"),
+        F.concat_ws(" / ", _decoded(f"descrizione_i_{start}"), _decoded(f"descrizione_d_{start}")),
         F.lit(" to: "),
-        F.concat_ws("/", f"descrizione_i_{end}", f"descrizione_d_{end}"),
+        F.concat_ws("/", _decoded(f"descrizione_i_{end}"), _decoded(f"descrizione_d_{end}")),
     )
 
 

@@ -46,6 +46,11 @@ def facts(history: DataFrame, predictions: DataFrame, today: str) -> DataFrame:
     return past.unionByName(future)
 
 
+def facts_at(history: DataFrame, predictions: DataFrame, today: str, instant: str) -> DataFrame:
+    """The side of the fact view that holds an instant: history before today, predictions from today on."""
+    return history if instant < f"{today} 00:00:00" else predictions
+
+
 def range_sizes(df: DataFrame, keys: list[str], order: str, width: int) -> DataFrame:
     """Rows of each key per range of `width` order values."""
     return df.groupBy(*keys, F.floor(F.col(order) / width).alias("_range")).agg(F.count("*").alias("_size"))

@@ -28,6 +28,18 @@ def _in_all_grids(points: DataFrame) -> DataFrame:
     return points.select("*", F.inline(F.array(*grids, whole)))
 
 
+def _in_used_grids(train: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Training points as `train_<feature>`, a row per grid that some query of the key asks: few of all grids, so a point
+    travels a few times only. Size estimates do not see these copies, so a broadcast is ruled out."""
+    used = asked.groupBy(*keys).agg(F.collect_set("grid").alias("grids"))
+    sides = F.array(*[F.lit(s) for s in SIDES])
+    copies = train.join(used, keys).withColumn("grid", F.explode("grids")).withColumn("side", F.get(sides, F.col("grid")))
+    placed = copies.select(
+        "*", *[F.when(F.col("side").isNull(), F.lit(0).cast("bigint")).otherwise(_cell(F.col(f), F.col("side"))).alias(c) for f, c in zip(FEATURES, _CELLS)]
+    )
+    return placed.drop("grids", "side").withColumnsRenamed({f: f"train_{f}" for f in FEATURES}).hint("merge")
+
+
 def _square() -> Column:
     """Squared distance between a query and a training point."""
     total = F.lit(0.0)
@@ -37,12 +49,6 @@ def _square() -> Column:
     return total
 
 
-def distinct_points(rows: DataFrame, keys: list[str], extra: list[str] = ()) -> DataFrame:
-    """Equal feature rows as one point with their number."""
-    doubles = [F.col(f).cast("double").alias(f) for f in FEATURES]
-    return rows.groupBy(*keys, *doubles, *extra).agg(F.count("*").alias("n"))
-
-
 def nearest(train: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k nearest training rows of each query, as `(query, square, label, n, before)`.
 
@@ -56,10 +62,7 @@ def nearest(train: DataFrame, queries: DataFrame, keys: list[str], k: int) -> Da
     """
     query = [*keys, *FEATURES]
     cell = [*keys, "grid", *_CELLS]
-    points = _in_all_grids(train).withColumnsRenamed({f: f"train_{f}" for f in FEATURES})
-    sizes = points.groupBy(*cell).agg(F.sum("n").alias("cell_rows")).hint("merge")
-    # Size estimates do not see the copies per grid, so a broadcast is ruled out.
-    points = points.hint("merge")
+    sizes = _in_all_grids(train.select(*query, "n")).groupBy(*cell).agg(F.sum("n").alias("cell_rows")).hint("merge")
     order = Window.partitionBy(*query).orderBy("square", "label")
 
     # The last grid always qualifies: a key with fewer than k rows gives all of them.
@@ -73,7 +76,7 @@ def nearest(train: DataFrame, queries: DataFrame, keys: list[str], k: int) -> Da
         .select(*query, "home.*")
     )
     bounded = (
-        homes.join(points, cell)
+        homes.join(_in_used_grids(train, homes, keys), cell)
         .select(*query, "label", _square().alias("square"))
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= k)
@@ -81,9 +84,9 @@ def nearest(train: DataFrame, queries: DataFrame, keys: list[str], k: int) -> Da
         .agg(F.max("square").alias("bound_square"))
     )
 
+    within = _cells_within(bounded)
     measured = (
-        _cells_within(bounded)
-        .join(points, cell)
+        within.join(_in_used_grids(train, within, keys), cell)
         .select(*query, "bound_square", "label", "n", _square().alias("square"))
         .where(F.col("square") <= F.col("bound_square"))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,27 @@ def station_series(facts: DataFrame) -> DataFrame:
     )
 
 
+def heatmap_cells(facts: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The heatmap in long form, for any range of days: one row per station, direction, day and hour that has a value."""
+    window = facts
+    if first is not None:
+        window = window.where(F.col("ts") >= calendar.ts_literal(f"{first} 00:00:00"))
+    if last is not None:
+        window = window.where(F.to_date("ts") <= calendar.date_literal(last))
+    cells = by_direction(window.select("station_id", "ts", "traffic_1", "traffic_2", "count_1", "count_2"))
+    return cells.groupBy("station_id", "direction", F.to_date("ts").alias("day"), F.hour("ts").alias("hour")).agg(
+        F.max("level").alias("level"),
+        F.max(F.when(F.col("count").isNotNull(), F.greatest("count", F.lit(0)))).alias("count"),
+        F.max(labels.level_colour_class(F.col("level"))).alias("colour"),
+    )
+
+
+def days_of(first: str, last: str) -> list[str]:
+    """The days of a range, which become the columns of `heatmap`."""
+    start, stop = date.fromisoformat(first), date.fromisoformat(last)
+    return [str(start + timedelta(days=k)) for k in range((stop - start).days + 1)]
+
+
 def heatmap(facts: DataFrame, days: list[str], station_id: int | None = None, direction: int | None = None) -> DataFrame:
     """Hour by date: level, clamped count and colour class of each cell, for every station and direction at once.
 
@@ -100,7 +123,7 @@ def heatmap(facts: DataFrame, days: list[str], station_id: int | None = None, di
         .pivot("day", days)
         .agg(
             F.max("level").alias("level"),
-            F.max(F.greatest("count", F.lit(0))).alias("count"),
+            F.max(F.when(F.col("count").isNotNull(), F.greatest("count", F.lit(0)))).alias("count"),
             F.max(labels.level_colour_class(F.col("level"))).alias("colour"),
         )
     )

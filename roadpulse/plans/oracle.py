@@ -4,11 +4,50 @@ from __future__ import annotations
 
 import math
 
-from roadpulse import schemas
-from roadpulse.functions.numbers import expected_order_statistics
-
 ORACLE: dict[str, str] = {}
 
+# Fixed values of the viewer and the weather service, stated here once more so that a wrong value in the package shows.
+_ICON_BY_LEVEL = {
+    1: "./static/imgs/normal_traffic_logo_resized.png",
+    2: "./static/imgs/moderate_traffic_resized.png",
+    3: "./static/imgs/high_traffic_resized.png",
+    4: "./static/imgs/extreme_traffic_resized.png",
+}
+_ICON_DEFAULT = "./static/imgs/transparent_logo_resized.png"
+_COLOUR_NAMES = {1: "color-normal-traffic", 2: "color-moderate-traffic", 3: "color-high-traffic", 4: "color-extreme-traffic"}
+_COLOUR_RGB = {1: (99, 214, 104), 2: (240, 125, 2), 3: (230, 0, 0), 4: (158, 19, 19)}
+_ZONE_NAMES = {
+    "it": {
+        1: "Bolzano, Oltradige e Bassa Atesina",
+        2: "Burgraviato - Merano e dintorni",
+        3: "Val Venosta",
+        4: "Val d'Isarco e Val Sarentino",
+        5: "Alta Val d'Isarco - Vipiteno e dintorni",
+        6: "Val Pusteria",
+        7: "Ladinia - Dolomiti",
+    },
+    "de": {
+        1: "Bozen, Überetsch und Unterland",
+        2: "Burggrafenamt - Meran und Umgebung",
+        3: "Vinschgau",
+        4: "Eisacktal und Sarntal",
+        5: "Wipptal - Sterzing und Umgebung",
+        6: "Pustertal",
+        7: "Ladinia - Dolomiten",
+    },
+}
+_ZONE_UNKNOWN = "Invalid Weather Station Index. It must be within [1-7]."
+_ENTITIES = [("amp", "&"), ("apos", "'"), ("#x27", "'"), ("#x2F", "/"), ("#39", "'"), ("#47", "/"), ("lt", "<"), ("gt", ">"), ("nbsp", " "), ("quot", '"')]
+_BOX = (
+    ' <p style="font-size:20px"> <b> Location: </b>  {abitato_sito_i} / {abitato_sito_d}<br> <b> Street name:  </b> '
+    "{fw_name_custom_i} / {fw_name_custom_d} <br>  <b> Closest Weather station: </b> {name_i} / {name_d} <br>  "
+    "<b>Direction 1: </b> From: {descrizione_i_2} / {descrizione_d_2} To: {descrizione_i_1} / {descrizione_d_1} <br> "
+    "<b>Direction 2: </b> From: {descrizione_i_1} / {descrizione_d_1} To: {descrizione_i_2} / {descrizione_d_2} <br> "
+    "<center><a href=./heatmap?station_id={station_index}> View Traffic Heatmap </a> </p> </center>"
+)
+# Means of the order statistics of twelve standard normal draws.
+_ORDER_MEANS = [-1.635, -1.1139, -0.7916, -0.5362, -0.3119, -0.1025, 0.1025, 0.3119, 0.5362, 0.7916, 1.1139, 1.635]
+
 _CLIMATE = """
     cast(sum(cast(round({v} * 100) as bigint)) as double) / (count({v}) * 100.0) as temperature,
     cast(sum(cast(round({v} * 100) as bigint)) as double) / 10000.0 as niederschlag"""
@@ -28,6 +67,15 @@ _CTES: dict[str, str] = {
     cast(hour(ts) as integer) as hour, cast(isodow(ts) - 1 as integer) as week_day,
     cast(station_id * 10000000 + date_diff('day', date '1970-01-01', cast(ts as date)) * 24 + hour(ts) as bigint) as obs_id
   from counted join peaks using (station_id)""",
+    "sided_peaks": """
+  select station_id, ts >= timestamp '2024-01-25 00:00:00' as later, max(count_1) as peak_1, max(count_2) as peak_2
+  from counted group by 1, 2""",
+    "facts": """
+  select station_id, ts, count_1, count_2, temperature, niederschlag, later,
+    cast(1 + least(3, (count_1 * 4) // (peak_1 + 1)) as integer) as traffic_1,
+    cast(1 + least(3, (count_2 * 4) // (peak_2 + 1)) as integer) as traffic_2, cast(hour(ts) as integer) as hour,
+    cast(station_id * 10000000 + date_diff('day', date '1970-01-01', cast(ts as date)) * 24 + hour(ts) as bigint) as obs_id
+  from (select *, ts >= timestamp '2024-01-25 00:00:00' as later from counted) join sided_peaks using (station_id, later)""",
     "stations": """
   select cast(s_suppkey + 2 as integer) as station_id, cast(1 + s_nationkey % 8 as integer) as weather_index,
     46.0 + (s_suppkey % 100) / 128.0 as latitude, 10.0 + (s_suppkey % 64) / 32.0 as longitude,
@@ -129,6 +177,8 @@ _CTES: dict[str, str] = {
 _NEEDS: dict[str, list[str]] = {
     "peaks": ["counted"],
     "panel": ["counted", "peaks"],
+    "sided_peaks": ["counted"],
+    "facts": ["counted", "sided_peaks"],
     "forecasts": ["daily"],
     "grid": ["stations", "forecasts"],
     "complete": ["panel"],
@@ -212,8 +262,8 @@ _add(
 select station_id, traffic_1 as "TRAFFIC_1", traffic_2 as "TRAFFIC_2", cast(day(ts) as integer) as "DAY",
   cast(month(ts) as integer) as "MONTH", cast(year(ts) as integer) as "YEAR", hour as "HOUR",
   count_1 as "COUNT_1", count_2 as "COUNT_2"
-from panel where ts >= timestamp '2024-01-25 00:00:00'""",
-    "panel",
+from facts where later""",
+    "facts",
 )
 ORACLE["assembled_predictions"] = ORACLE["prediction_export"]
 _add("station_code", "select station_id, station_index, lpad(cast(station_id as varchar), 8, '0') as station_code from stations", "stations")
@@ -263,7 +313,7 @@ _add(
     "bool_int_clamp",
     """
 select event_id, case when event_type <> 'view' and value > 50 then 1 else 0 end as high_value,
-  cast(greatest(trunc(value - 50), 0) as integer) as clamped, round(abs(ln(value + 1)), 6) as log_value
+  cast(case when value is not null then greatest(trunc(value - 50), 0) end as integer) as clamped, round(abs(ln(value + 1)), 6) as log_value
 from events""",
 )
 _RULES = [
@@ -290,28 +340,28 @@ _add(
 _add(
     "fact_view",
     "select obs_id, case when ts < timestamp '2024-01-25 00:00:00' then 'history' else 'prediction' end as origin, "
-    "traffic_1, traffic_2, count_1, count_2 from panel",
-    "panel",
+    "traffic_1, traffic_2, count_1, count_2 from facts",
+    "facts",
 )
-_AT = "(select station_id, traffic_{d} as level from panel where ts = timestamp '2024-01-15 08:00:00')"
+_AT = "(select station_id, traffic_{d} as level from facts where ts = timestamp '2024-01-15 08:00:00')"
 _add(
     "traffic_at",
     f"select station_id, coalesce(level, -1) as level from stations left join {_AT.format(d=1)} using (station_id)",
     "stations",
-    "panel",
+    "facts",
 )
-_ICONS = {k: _text(v) for k, v in schemas.ICON_BY_LEVEL.items()}
+_ICONS = {k: _text(v) for k, v in _ICON_BY_LEVEL.items()}
 _add(
     "marker_icons",
-    f"select station_id, latitude, longitude, coalesce(level, -1) as level, {_case('level', _ICONS, _text(schemas.ICON_DEFAULT))} as icon "
+    f"select station_id, latitude, longitude, coalesce(level, -1) as level, {_case('level', _ICONS, _text(_ICON_DEFAULT))} as icon "
     f"from stations left join {_AT.format(d=2)} using (station_id)",
     "stations",
-    "panel",
+    "facts",
 )
-_INFOBOX = _text(schemas.INFOBOX).replace("{", "' || ").replace("}", " || '")
+_INFOBOX = _text(_BOX).replace("{", "' || ").replace("}", " || '")
 _add(
     "marker_infobox",
-    f"select station_id, station_index, {_text(schemas.ICON_DEFAULT)} as icon, latitude as lat, longitude as lng, {_INFOBOX} as infobox from stations",
+    f"select station_id, station_index, {_text(_ICON_DEFAULT)} as icon, latitude as lat, longitude as lng, {_INFOBOX} as infobox from stations",
     "stations",
 )
 _add(
@@ -326,13 +376,13 @@ _add(
     "by_date_lists",
     "select station_id, cast(cast(ts as date) as varchar) as day, cast(count(*) as integer) as n_hours, "
     + ", ".join(f"string_agg({c}, ',' order by ts) as {c}" for c in ("hour", "traffic_1", "traffic_2", "count_1", "count_2"))
-    + " from panel group by 1, 2",
-    "panel",
+    + " from facts group by 1, 2",
+    "facts",
 )
-_COLOURS = {k: _text(name) for k, (name, _) in schemas.COLOUR_BY_LEVEL.items()}
+_COLOURS = {k: _text(name) for k, name in _COLOUR_NAMES.items()}
 _LONG = (
-    "select *, 1 as direction, traffic_1 as level, count_1 as cnt from panel union all "
-    "select *, 2 as direction, traffic_2 as level, count_2 as cnt from panel"
+    "select *, 1 as direction, traffic_1 as level, count_1 as cnt from facts union all "
+    "select *, 2 as direction, traffic_2 as level, count_2 as cnt from facts"
 )
 _CELLS = ", ".join(
     f"""max(case when day = '{day}' then level end) as "{day}_level", max(case when day = '{day}' then greatest(cnt, 0) end) as "{day}_count", """
@@ -347,15 +397,21 @@ _add(
 select station_id, direction, h.hour, {_CELLS}
 from (select distinct station_id, direction from cells) cross join (select cast(range as integer) as hour from range(0, 24)) h
 left join cells using (station_id, direction, hour) group by all""",
-    "panel",
+    "facts",
 )
-_RGB = [{k: rgb[i] for k, (_, rgb) in schemas.COLOUR_BY_LEVEL.items()} for i in range(3)]
+_add(
+    "heatmap_cells",
+    f"select station_id, cast(direction as integer) as direction, cast(cast(ts as date) as varchar) as day, hour, level, "
+    f"greatest(cnt, 0) as count, {_case('level', _COLOURS)} as colour from ({_LONG})",
+    "facts",
+)
+_RGB = [{k: rgb[i] for k, rgb in _COLOUR_RGB.items()} for i in range(3)]
 _add(
     "heatmap_colours",
     f"select obs_id, direction, {_case('level', _COLOURS)} as colour, "
     + ", ".join(f"{_case('level', values)} as {name}" for name, values in zip("rgb", _RGB))
     + f" from ({_LONG}) where ts >= timestamp '2024-01-25 00:00:00'",
-    "panel",
+    "facts",
 )
 _add(
     "day_headers",
@@ -374,7 +430,7 @@ from stations""",
     "stations",
 )
 _ZONES = [
-    f"{_case('weather_index', {k: _text(v) for k, v in schemas.WEATHER_ZONES[lang].items()}, _text(schemas.WEATHER_ZONE_UNKNOWN))} as zone_{lang}"
+    f"{_case('weather_index', {k: _text(v) for k, v in _ZONE_NAMES[lang].items()}, _text(_ZONE_UNKNOWN))} as zone_{lang}"
     for lang in ("it", "de")
 ]
 _add("weather_names", f"select station_id, weather_index, {', '.join(_ZONES)} from stations", "stations")
@@ -386,7 +442,7 @@ _add(
     "stations",
 )
 _DECODED = "html"
-for _name, _char in schemas.HTML_ENTITIES:
+for _name, _char in _ENTITIES:
     _DECODED = f"replace({_DECODED}, {_text(f'&{_name};')}, {_text(_char)})"
 _add("decode_entities", f"select page_id, {_DECODED} as decoded from pages")
 _add(
@@ -413,7 +469,7 @@ _SHOWN = """select station_id, hour, cast(isodow(day) - 1 as integer) as week_da
   round((temperature_max + temperature_min) / 2.0 + {spread} * {z}, 6) as temperature,
   round(case when coalesce({slot} = 0, false) or rain_from + rain_to <= 0 then 0.0 else {amount} end, 6) as niederschlag
 from grid"""
-_NORMALS = ", ".join(f"cast({z!r} as double)" for z in expected_order_statistics())
+_NORMALS = ", ".join(f"cast({z!r} as double)" for z in _ORDER_MEANS)
 _add(
     "forecast_features",
     _SHOWN.format(
@@ -525,8 +581,8 @@ _add(
     "knn_best_k",
     f"""
 , rates as (select station_id, target, k,
-  round(cast(sum(case when label = predicted then n else 0 end) as double) / cast(sum(n) as double), 3) as test_accuracy from ({_BY_K}) group by 1, 2, 3)
-select station_id, target, k, test_accuracy from
+  cast(sum(case when label = predicted then n else 0 end) as double) / cast(sum(n) as double) as test_accuracy from ({_BY_K}) group by 1, 2, 3)
+select station_id, target, k, round_even(test_accuracy, 3) as test_accuracy from
   (select *, row_number() over (partition by station_id, target order by test_accuracy desc, k) as place from rates) where place = 1""",
     "points",
     "neighbours",
@@ -536,19 +592,100 @@ _add(
     "select station_id, target, temperature, niederschlag, hour, week_day, label, n, voter_1, voter_3, voter_4, ensemble from voted",
     "voted",
 )
-_RATE = "select station_id, target, round(sum(case when label = {p} then n else 0 end) / cast(sum(n) as double), 3) as accuracy from voted group by 1, 2"
+_RATE = "select station_id, target, round_even(sum(case when label = {p} then n else 0 end) / cast(sum(n) as double), 3) as accuracy from voted group by 1, 2"
 _add("accuracy", _RATE.format(p="voter_3"), "voted")
 _add("ensemble_accuracy", _RATE.format(p="ensemble"), "voted")
 _add(
     "smape",
     """
-select station_id, round(avg(error), 3) as mean_percentage_error, count(*) - count(error) as undefined_rows
-from (select station_id, round(abs(cast(count_1 as double) - count_2) / nullif((count_1 + count_2) / 2.0, 0) * 100, 3) as error from panel)
+select station_id, round_even(avg(error), 3) as mean_percentage_error, count(*) - count(error) as undefined_rows
+from (select station_id, round_even(abs(cast(count_1 as double) - count_2) / nullif((count_1 + count_2) / 2.0, 0) * 100, 3) as error from panel)
 group by 1""",
     "panel",
 )
 _add(
     "mse",
-    "select station_id, round(avg(cast((count_1 - count_2) * (count_1 - count_2) as double)), 3) as mean_squared_error from panel group by 1",
+    "select station_id, round_even(avg(cast((count_1 - count_2) * (count_1 - count_2) as double)), 3) as mean_squared_error from panel group by 1",
+    "panel",
+)
+
+# --- files ------------------------------------------------------------------------------------------------------------
+
+_add(
+    "history_files",
+    """
+select station_id, lpad(cast(station_id as varchar), 8, '0') as station_code, ts, strftime(ts, '%y%m%d_%H') as date_hours,
+  round(temperature, 4) as temperature, round(niederschlag, 4) as niederschlag, traffic_1, traffic_2, count_1, count_2 from panel""",
     "panel",
 )
+_add("station_file", "select * exclude (station_index) from stations", "stations")
+_add("prediction_files", "select station_id, ts, traffic_1, traffic_2, count_1, count_2 from facts where later", "facts")
+_add(
+    "prediction_table",
+    "select station_id, weather_index, cast(cast(ts as date) as varchar) as day, hour, traffic_1, traffic_2, count_1, count_2 "
+    "from facts join stations using (station_id) where later",
+    "facts",
+    "stations",
+)
+_add(
+    "model_table",
+    "select station_id, 'COUNT_1' as target, min(count_1) as low, max(count_1) as high, 'scaler_number_vehicles' as model_name from panel group by 1 "
+    "union all select station_id, 'COUNT_2', min(count_2), max(count_2), 'scaler_number_vehicles' from panel group by 1",
+    "panel",
+)
+
+# --- networks and scoring ---------------------------------------------------------------------------------------------
+
+_add(
+    "network_loss",
+    """
+, long as (select station_id, obs_id, hour, week_day, 'COUNT_1' as target, count_1 as label from complete
+  union all select station_id, obs_id, hour, week_day, 'COUNT_2', count_2 from complete),
+fitted as (select station_id, target, min(label) as low, max(label) as high from long group by 1, 2)
+select station_id, target,
+  case when cast(('0x' || substr(md5('holdout101:' || obs_id), 1, 8)) as bigint) % 5 = 0 then 'test' else 'train' end as split,
+  round_even(avg(power((label - low) / cast(case when high = low then 1 else high - low end as double) - (hour + week_day) / 32.0, 2)), 3) as loss
+from long join fitted using (station_id, target) group by 1, 2, 3""",
+    "complete",
+)
+_CTES["observed"] = """
+  select * from (select *, count(*) over (partition by station_id) as n_known from facts where not later and station_id in (select station_id from stations))
+  where n_known > 1 and temperature is not null and niederschlag is not null"""
+_NEEDS["observed"] = ["facts", "stations"]
+_add(
+    "unscored",
+    """
+, horizons as (select weather_index, date_diff('day', date '2024-01-25', arg_max(day, day_offset)) as horizon from forecasts group by 1)
+select station_id, cast(null as varchar) as day, 'no history' as reason from stations where station_id not in (select station_id from observed)
+union all
+select station_id, null, 'no bulletin' from stations where weather_index not in (select weather_index from horizons where horizon >= 0)
+union all
+select station_id, cast(cast(date '2024-01-25' + cast(o.range as integer) as date) as varchar), 'no forecast'
+from stations join horizons using (weather_index) join range(0, 60) o on o.range <= horizon
+where not exists (select 1 from forecasts f where f.weather_index = stations.weather_index and f.day_offset = o.range)""",
+    "observed",
+    "stations",
+    "forecasts",
+)
+_add(
+    "scored_cells",
+    """
+select station_id, strftime(day + to_hours(hour), '%Y-%m-%d %H:%M') as at, true as valid
+from grid where station_id in (select station_id from observed)""",
+    "grid",
+    "observed",
+)
+_add(
+    "trained_models",
+    """
+, names as (
+  select unnest(['TRAFFIC_1', 'TRAFFIC_2']) as target, m.model, m.metric from (
+    select unnest(['simple_tree', 'tree', 'forest', 'neighbours', 'ensemble']) as model, 'accuracy' as metric
+    union all
+    select model, 'importance of ' || feature from (select unnest(['simple_tree', 'tree', 'forest']) as model)
+      cross join (select unnest(['temperature', 'niederschlag', 'hour', 'week_day']) as feature)) m
+  union all
+  select unnest(['COUNT_1', 'COUNT_2']), m.model, m.metric from (select 'network' as model, unnest(['loss', 'percentage_error']) as metric) m)
+select distinct station_id, target, model, metric, true as valid from observed cross join names""",
+    "observed",
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +13,15 @@ from roadpulse.functions import calendar, labels, numbers, text
 from roadpulse.operators import ensemble, filters, forecasting, keyed, metrics, neighbours, neural, sampling, scaling, serving, trees
 from roadpulse.operators.keyed import KEYS
 from roadpulse.plans import scoring, training
-from roadpulse.session import cut_lineage
-from roadpulse.sources import bulletins, panel as panels, predictions, star
+from roadpulse.session import cut_lineage, shared_folder
+from roadpulse.sources import bulletins, history, models as stored, panel as panels, predictions, star
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 AT = "2024-01-15 08:30:00"
-DAYS = [f"2024-01-{d}" for d in range(25, 31)]
+#: The range of days a caller of the pivoted heatmap asks for; `heatmap_cells` shows every day there is.
+DAYS = serving.days_of("2024-01-25", "2024-01-30")
 SETTINGS = training.Settings()
 
 
@@ -32,6 +34,10 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
     return filters.facts(star.history(spark, d), star.predictions(spark, d), star.TODAY)
 
 
+def _facts_at(spark: SparkSession, d: str) -> DataFrame:
+    return filters.facts_at(star.history(spark, d), star.predictions(spark, d), star.TODAY, AT)
+
+
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
     return bulletins.parse_bulletins(star.bulletins(spark, d))
 
@@ -91,6 +97,65 @@ def prediction_export(spark, d):
     return predictions.export_columns(star.predictions(spark, d))
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query
+def history_files(spark, d):
+    """The panel written as station files and read back by the reader of histories."""
+    folder = _folder(spark)
+    rows = star.panel(spark, d)
+    out = rows.select(
+        labels.station_code(F.col("station_id")).alias("station_code"), F.date_format("ts", "yyMMdd_HH").alias("DATE_HOURS"), F.lit("x").alias("SCODE"),
+        F.round("temperature", 4).alias("TEMPERATURE"), F.round("niederschlag", 4).alias("NIEDERSCHLAG"),
+        F.col("traffic_1").alias("TRAFFIC_1"), F.col("traffic_2").alias("TRAFFIC_2"), F.col("count_1").alias("COUNT_1"), F.col("count_2").alias("COUNT_2"),
+    )
+    out.repartition("station_code").write.partitionBy("station_code").option("header", True).csv(folder)
+    return history.read_history(spark, folder).drop("ingest_order")
+
+
+@query
+def station_file(spark, d):
+    """Station metadata written as ISO-8859-1 and read back."""
+    folder = _folder(spark)
+    rows = star.stations(spark, d)
+    names = ["abitato_sito_i", "abitato_sito_d", "fw_name_custom_i", "fw_name_custom_d", "descrizione_i_1", "descrizione_d_1", "descrizione_i_2", "descrizione_d_2", "name_i", "name_d"]
+    out = rows.select(
+        F.col("station_id").alias("SITI_CODSITO"), F.col("weather_index").alias("WEATHER_INDEX"), "latitude", "longitude", *[F.col(c).alias(c.upper()) for c in names]
+    )
+    out.write.option("header", True).option("encoding", "ISO-8859-1").csv(folder)
+    return history.read_stations(spark, folder)
+
+
+@query
+def prediction_files(spark, d):
+    """Predictions written as station files and read back."""
+    folder = _folder(spark)
+    predictions.write_prediction_files(star.predictions(spark, d), folder)
+    return predictions.read_prediction_files(spark, folder)
+
+
+@query
+def prediction_table(spark, d):
+    """Predictions written as the table by zone and day, and read back."""
+    folder = _folder(spark)
+    zones = star.stations(spark, d).select("station_id", "weather_index")
+    predictions.write_prediction_table(star.predictions(spark, d).join(zones, "station_id"), folder)
+    rows = spark.read.parquet(folder)
+    return rows.select("station_id", "weather_index", F.col("day").cast("string").alias("day"), "hour", "traffic_1", "traffic_2", "count_1", "count_2")
+
+
+@query
+def model_table(spark, d):
+    """Scalers saved as a model table and loaded for their targets."""
+    folder = _folder(spark)
+    rows = sampling.long_targets(star.panel(spark, d), schemas.COUNT_TARGETS)
+    stored.save_models(scaling.fit_minmax(rows, KEYS, "label"), folder, "scaler_number_vehicles")
+    loaded = stored.load_models(spark, folder, "scaler_number_vehicles", schemas.COUNT_TARGETS)
+    return loaded.select(*KEYS, "low", "high", "model_name")
+
+
 # --- projections and filters ------------------------------------------------------------------------------------------
 
 
@@ -186,13 +251,13 @@ def fact_view(spark, d):
 
 @query
 def traffic_at(spark, d):
-    found = serving.traffic_at(_facts(spark, d), star.stations(spark, d), AT, 1)
+    found = serving.traffic_at(_facts_at(spark, d), star.stations(spark, d), AT, 1)
     return found.select("station_id", "level")
 
 
 @query
 def marker_icons(spark, d):
-    return serving.markers(_facts(spark, d), star.stations(spark, d), AT, 2)
+    return serving.markers(_facts_at(spark, d), star.stations(spark, d), AT, 2)
 
 
 @query
@@ -229,6 +294,12 @@ def heatmap(spark, d):
     return serving.heatmap(star.predictions(spark, d), DAYS)
 
 
+@query
+def heatmap_cells(spark, d):
+    cells = serving.heatmap_cells(_facts(spark, d))
+    return cells.withColumn("day", F.col("day").cast("string"))
+
+
 @query
 def heatmap_colours(spark, d):
     cells = filters.by_direction(star.predictions(spark, d).select("obs_id", "traffic_1", "traffic_2", "count_1", "count_2"))
@@ -493,6 +564,29 @@ def mlp_counts(spark, d):
     return out.select(*KEYS, *schemas.FEATURES, neural.counts(F.col("scaled")).alias("vehicles"))
 
 
+@query
+def network_loss(spark, d):
+    """The loss over the rows of a given output: hour and weekday stand in for a network's."""
+    long = training.count_rows(_rows(spark, d), SETTINGS)
+    cases = keyed.exact_points(long, ["split", "label"])
+    scaled = (F.col("hour") + F.col("week_day")) / F.lit(32.0)
+    scored = cases.join(training.count_scalers(long), KEYS).withColumn("scaled", scaled)
+    return training.network_losses(scored)
+
+
+def _historic(spark, d) -> dict[str, DataFrame]:
+    """The stations that get models, as if it were a model table."""
+    return {"history": training.observed(star.history(spark, d), star.stations(spark, d)).select("station_id").distinct()}
+
+
+@query
+def unscored(spark, d):
+    parsed = _parsed(spark, d)
+    horizons = bulletins.horizon(parsed, star.TODAY)
+    gaps = scoring.unscored(star.stations(spark, d), bulletins.forecasts(parsed), horizons, _historic(spark, d), star.TODAY)
+    return gaps.withColumn("day", F.col("day").cast("string"))
+
+
 def _trained(spark, d) -> training.Trained:
     return training.train(star.history(spark, d), star.stations(spark, d), SETTINGS)
 
@@ -510,6 +604,7 @@ def _predicted(spark, d) -> DataFrame:
         bulletins.horizon(parsed, star.TODAY),
         _trained(spark, d).models,
         star.TODAY,
+        missing="leave",
     )
 
 
@@ -525,3 +620,20 @@ def assembled_predictions(spark, d):
     levels = sampling.long_targets(rows, schemas.LEVEL_TARGETS).withColumnRenamed("label", "ensemble")
     counts = sampling.long_targets(rows, schemas.COUNT_TARGETS).withColumnRenamed("label", "vehicles")
     return predictions.export_columns(serving.export_order(scoring.assemble(levels, counts)))
+
+
+@query
+def scored_cells(spark, d):
+    """Every station-hour that has to be predicted, and whether its prediction is one."""
+    rows = _predicted(spark, d)
+    levels = F.col("traffic_1").between(1, 4) & F.col("traffic_2").between(1, 4)
+    counts = (F.col("count_1") >= 0) & (F.col("count_2") >= 0)
+    return rows.select("station_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), F.coalesce(levels & counts, F.lit(False)).alias("valid"))
+
+
+@query
+def trained_models(spark, d):
+    """Which scores the training reports, and whether they are shares, losses or errors that can be."""
+    value = F.col("value")
+    good = F.when(F.col("metric") == "percentage_error", value.between(0, 200)).when(F.col("metric") == "loss", value >= 0).otherwise(value.between(0, 1))
+    return _trained(spark, d).metrics.where(F.col("split") == "train").select(*KEYS, "model", "metric", F.coalesce(good, F.lit(False)).alias("valid"))

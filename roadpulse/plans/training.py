@@ -20,6 +20,8 @@ class Settings:
     neighbours: int = 4
     epochs: int = 10
     budget: int = 200_000
+    """Distinct points of a key from which trees are fitted on quantile steps (keyed.bounded_points): a bound on the labelled
+    rows of a classifier. Neighbours, networks and all scores use the exact points."""
     split_first: bool = True
     """False resamples before the split, as older runs did: copies of a row then sit on both sides."""
 
@@ -55,14 +57,16 @@ def level_points(rows: DataFrame, settings: Settings) -> DataFrame:
 
 
 def tree_points(points: DataFrame, settings: Settings) -> DataFrame:
-    """What trees are fitted on; neighbours and all scores use the exact points."""
+    """What trees are fitted on, see Settings.budget."""
     return keyed.bounded_points(points.where(F.col("split") == "train"), ["label"], settings.budget)
 
 
 def train_levels(points: DataFrame, settings: Settings) -> Trained:
-    """Optimised tree, forest and neighbours; `points` are used many times and should be written before."""
+    """Optimised tree, forest and neighbours, with the accuracies of these, of the simple tree and of the vote, and what
+    each feature adds to the trees; `points` are used many times and should be written before."""
     queries = points.select(*KEYS, *FEATURES).distinct()
     fitted = cut_lineage(tree_points(points, settings))
+    simple = cut_lineage(trees.fit_simple(fitted))
     tree = cut_lineage(trees.fit_optimised(fitted, settings.seed))
     forest = cut_lineage(trees.fit_forest(fitted, settings.n_trees, settings.seed))
     memory = points.where(F.col("split") == "train").select(*KEYS, *FEATURES, "label", "n")
@@ -72,17 +76,22 @@ def train_levels(points: DataFrame, settings: Settings) -> Trained:
     chosen = chosen_neighbours(voted, best, settings.neighbours)
     on = [*KEYS, *FEATURES]
     predictions = {
+        "simple_tree": trees.predict(simple, queries, FEATURES),
         "tree": trees.predict(tree, queries, FEATURES),
         "forest": trees.predict(forest, queries, FEATURES),
         "neighbours": chosen,
     }
     voted_all = ensemble.vote(ensemble.aligned(predictions, on), ensemble.TRAINING_ORDER)
     scored = points.join(voted_all, on)
-    models = [*ensemble.TRAINING_ORDER, "ensemble"]
+    models = ["simple_tree", *ensemble.TRAINING_ORDER, "ensemble"]
     pairs = [piece for name in models for piece in (F.lit(name), F.col(name))]
     long = scored.select(*KEYS, "split", "label", "n", F.stack(F.lit(len(models)), *pairs).alias("model", "predicted"))
     accuracies = metrics.accuracy(long, [*KEYS, "model", "split"], weight="n")
     report = accuracies.select(*KEYS, "model", "split", F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
+    for name, model in (("simple_tree", simple), ("tree", tree), ("forest", forest)):
+        shares = trees.importances(model)
+        named = F.concat(F.lit("importance of "), F.col("feature"))
+        report = report.unionByName(shares.select(*KEYS, F.lit(name).alias("model"), F.lit("train").alias("split"), named.alias("metric"), F.col("importance").alias("value")))
     kept = {"tree": tree, "forest": forest, "neighbours": memory.join(best.select(*KEYS, "k"), KEYS)}
     return Trained(kept, report)
 
@@ -98,9 +107,11 @@ def best_neighbours(points: DataFrame, voted: DataFrame, k: int) -> DataFrame:
     for side in ("train", "test"):
         here = F.col("split") == side
         share = F.try_divide(F.sum(F.when(here, hit)), F.sum(F.when(here, F.col("n"))))
-        sides.append(F.round(share, 3).alias(f"{side}_accuracy"))
+        sides.append(share.alias(f"{side}_accuracy"))
     rates = long.groupBy(*KEYS, "k").agg(*sides)
-    return metrics.best_of(rates, KEYS, "test_accuracy", ["k"])
+    # Ranked as they are, rounded for display.
+    best = metrics.best_of(rates, KEYS, "test_accuracy", ["k"])
+    return best.withColumns({c: F.bround(c, 3) for c in ("train_accuracy", "test_accuracy")})
 
 
 def chosen_neighbours(voted: DataFrame, best: DataFrame, k: int) -> DataFrame:
@@ -131,8 +142,17 @@ def network_points(points: DataFrame, scalers: DataFrame) -> DataFrame:
 
 
 def fit_network(exact: DataFrame, scalers: DataFrame, settings: Settings) -> DataFrame:
-    points = keyed.bounded_points(exact, ["split"], settings.budget)
-    return neural.fit(network_points(points, scalers), settings.epochs, seed=settings.seed)
+    """Fitted on the exact points: the calendar bounds them, as a station has one row per hour."""
+    return neural.fit(network_points(exact, scalers), settings.epochs, seed=settings.seed)
+
+
+def network_losses(scored: DataFrame) -> DataFrame:
+    """Mean squared error over the rows themselves, on the scaled counts: `(keys, split, loss)`.
+
+    `scored` has the key's scalers, a row's count as `label`, the number of equal rows `n` and the output `scaled`.
+    """
+    loss = metrics.mean_squared_error(scored.withColumn("wanted", scaling.minmax(F.col("label"))), [*KEYS, "split"], "wanted", "scaled", weight="n")
+    return loss.withColumnRenamed("mean_squared_error", "loss")
 
 
 def network_output(network: DataFrame, exact: DataFrame, scalers: DataFrame) -> DataFrame:
@@ -155,11 +175,9 @@ def train_counts(rows: DataFrame, settings: Settings) -> Trained:
         *KEYS, F.lit("network").alias("model"), "split",
         F.lit("percentage_error").alias("metric"), F.col("mean_percentage_error").alias("value"),
     )
-    losses = network.select(
-        *KEYS,
-        F.lit("network").alias("model"),
-        F.stack(F.lit(2), F.lit("train"), F.element_at("loss", -1), F.lit("test"), F.element_at("test_loss", -1)).alias("split", "last"),
-    ).select(*KEYS, "model", "split", F.lit("loss").alias("metric"), F.round("last", 3).alias("value"))
+    losses = network_losses(scored).select(
+        *KEYS, F.lit("network").alias("model"), "split", F.lit("loss").alias("metric"), F.col("loss").alias("value")
+    )
     return Trained({"network": network, "scalers": scalers}, report.unionByName(losses))
 
 

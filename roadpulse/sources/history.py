@@ -18,8 +18,11 @@ def resolve(path: str, container: str | None = None, account: str | None = None)
     return f"abfss://{container}@{account}.dfs.core.windows.net/{path.lstrip('/')}"
 
 
-def read_history(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
-    """All stations' hourly CSV files in one scan; the file name gives the station.
+def read_history(
+    spark: SparkSession, path: str, lenient: bool = False, container: str | None = None, account: str | None = None
+) -> DataFrame:
+    """All stations' hourly CSV files in one scan; the file name or a station_code folder gives the station. With
+    `container` and `account`, `path` is one in blob storage.
 
     The header must name the expected columns. A missing path raises. `ingest_order` rises along each file.
     """
@@ -28,9 +31,13 @@ def read_history(spark: SparkSession, path: str, lenient: bool = False) -> DataF
         .option("header", True)
         .option("enforceSchema", False)
         .option("pathGlobFilter", "*.csv")
-        .csv(path)
+        .option("recursiveFileLookup", True)
+        .csv(resolve(path, container, account))
+    )
+    code = F.coalesce(
+        F.nullif(F.regexp_extract("_metadata.file_path", r"/station_code=(\d+)/", 1), F.lit("")),
+        F.regexp_extract("_metadata.file_name", r"^(\d+)", 1),
     )
-    code = F.regexp_extract("_metadata.file_name", r"^(\d+)", 1)
     return raw.select(
         code.try_cast("int").alias("station_id"),
         code.alias("station_code"),
@@ -51,12 +58,12 @@ def read_station(spark: SparkSession, folder: str, station_code: str) -> DataFra
     return read_history(spark, f"{folder}/{station_code}.csv")
 
 
-def read_stations(spark: SparkSession, path: str) -> DataFrame:
+def read_stations(spark: SparkSession, path: str, container: str | None = None, account: str | None = None) -> DataFrame:
     raw = (
         spark.read.schema(schemas.STATIONS)
         .option("header", True)
         .option("enforceSchema", False)
         .option("encoding", "ISO-8859-1")
-        .csv(path)
+        .csv(resolve(path, container, account))
     )
     return raw.toDF(*[name.lower() for name in raw.columns]).withColumnRenamed("siti_codsito", "station_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.functions import calendar
@@ -35,17 +35,16 @@ def _climate(value: Column) -> list[Column]:
 
 def with_levels(panel: DataFrame) -> DataFrame:
     """Traffic level 1..4 of each direction: the hour's share of the station's peak, plus calendar and row id."""
-    peaks = panel.groupBy("station_id").agg(
-        F.max("count_1").alias("peak_1"),
-        F.max("count_2").alias("peak_2"),
-    )
+    # The peaks come from the reduced rows, of which a station has one per hour, so the readings are scanned once.
+    station = Window.partitionBy("station_id")
     top = LEVELS[-1]
 
     def level(direction: int) -> Column:
-        share = F.floor(F.col(f"count_{direction}") * top / (F.col(f"peak_{direction}") + 1)).cast("int")
+        peak = F.max(f"count_{direction}").over(station)
+        share = F.floor(F.col(f"count_{direction}") * top / (peak + 1)).cast("int")
         return (F.least(F.lit(top - 1), share) + 1).cast("int")
 
-    return panel.join(peaks, "station_id").select(
+    return panel.select(
         "station_id",
         "ts",
         "count_1",

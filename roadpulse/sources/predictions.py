@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadpulse import schemas
 from roadpulse.functions import calendar, labels
+from roadpulse.sources.history import resolve
 
 
 def export_columns(predictions: DataFrame) -> DataFrame:
@@ -41,10 +42,12 @@ def write_prediction_files(predictions: DataFrame, path: str, fmt: str = "csv")
     )
 
 
-def read_prediction_files(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_prediction_files(
+    spark: SparkSession, path: str, fmt: str = "csv", container: str | None = None, account: str | None = None
+) -> DataFrame:
     """Station folders, or flat `<code>.csv` and `<code>_predictions.csv` files; the code comes from the path."""
     reader = spark.read.schema(schemas.PREDICTIONS).option("header", True).option("recursiveFileLookup", True)
-    raw = reader.option("pathGlobFilter", f"*.{fmt}").format(fmt).load(path)
+    raw = reader.option("pathGlobFilter", f"*.{fmt}").format(fmt).load(resolve(path, container, account))
     file = F.col("_metadata.file_path")
     code = F.coalesce(
         F.nullif(F.regexp_extract(file, r"station_code=(\d+)", 1), F.lit("")),

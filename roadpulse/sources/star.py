@@ -31,13 +31,21 @@ def weather_readings(spark: SparkSession, folder: str) -> DataFrame:
     return events.select(station_of_user(), "ts", "value")
 
 
-def panel(spark: SparkSession, folder: str) -> DataFrame:
-    """Same rows as `hourly_panel(readings, weather_readings)` from a single scan and a single shuffle."""
+def panel(spark: SparkSession, folder: str, since: str | None = None, before: str | None = None) -> DataFrame:
+    """Same rows as `hourly_panel(readings, weather_readings)` from a single scan.
+
+    `since` and `before` are days; they cut the readings themselves, so the scan skips the others and levels compare
+    with the peak of the days at hand.
+    """
     even = F.col("event_id") % 2 == 0
     measured = F.when(F.col("event_type") != "signup", F.col("value"))
+    events = table(spark, folder, "events")
+    if since is not None:
+        events = events.where(F.col("ts") >= calendar.ts_literal(f"{since} 00:00:00"))
+    if before is not None:
+        events = events.where(F.col("ts") < calendar.ts_literal(f"{before} 00:00:00"))
     counted = (
-        table(spark, folder, "events")
-        .groupBy(station_of_user(), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"))
+        events.groupBy(station_of_user(), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"))
         .agg(
             F.count_if(even).cast("int").alias("count_1"),
             F.count_if(~even).cast("int").alias("count_2"),
@@ -48,12 +56,13 @@ def panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def history(spark: SparkSession, folder: str, today: str = TODAY) -> DataFrame:
-    return panel(spark, folder).where(F.col("ts") < calendar.ts_literal(f"{today} 00:00:00"))
+    """What is known before today: levels do not see the peaks of later days."""
+    return panel(spark, folder, before=today)
 
 
 def predictions(spark: SparkSession, folder: str, today: str = TODAY) -> DataFrame:
     """The panel's last days stand in for stored predictions."""
-    return panel(spark, folder).where(F.col("ts") >= calendar.ts_literal(f"{today} 00:00:00"))
+    return panel(spark, folder, since=today)
 
 
 def stations(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from roadpulse.plans import scoring
+from roadpulse.session import cut_lineage
 from roadpulse.sources import bulletins, predictions
 
 
@@ -24,20 +25,21 @@ def landed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def refresh_batch(
-    stations: DataFrame, models: dict[str, DataFrame], today: str, out: str, seed: int = 101
+    stations: DataFrame, models: dict[str, DataFrame], today: str, out: str, seed: int = 101, missing: str = "raise"
 ) -> Callable[[DataFrame, int], None]:
     """Scores the zones of one micro-batch. Each zone-day it predicts replaces itself on disk, so a batch that runs
     twice leaves the same table."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         newest = bulletins.latest_bulletins(
             batch.withColumn("arrival", F.struct("landed_at", "file_name")), order="arrival"
         )
-        parsed = bulletins.parse_bulletins(newest)
+        # Read once: forecasts and horizon both come from the parsed documents.
+        parsed = cut_lineage(bulletins.parse_bulletins(newest))
+        if parsed.isEmpty():
+            return
         rows = scoring.score(
-            stations, bulletins.forecasts(parsed), bulletins.horizon(parsed, today), models, today, seed=seed
+            stations, bulletins.forecasts(parsed), bulletins.horizon(parsed, today), models, today, seed=seed, missing=missing
         )
         predictions.write_prediction_table(rows, out)
 
@@ -45,12 +47,13 @@ def refresh_batch(
 
 
 def start(
-    spark: SparkSession, folder: str, stations: DataFrame, models: dict[str, DataFrame], today: str, out: str, checkpoint: str
-) -> StreamingQuery:
+    spark: SparkSession, folder: str, stations: DataFrame, models: dict[str, DataFrame], today: str, out: str, checkpoint: str,
+    missing: str = "raise",
+) -> StreamingQuery:
     """Takes in what has landed since the last run and stops."""
     return (
         landed(spark, folder)
-        .writeStream.foreachBatch(refresh_batch(stations, models, today, out))
+        .writeStream.foreachBatch(refresh_batch(stations, models, today, out, missing=missing))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

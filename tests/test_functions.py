@@ -73,6 +73,7 @@ def test_majority_vote(one, votes, winner):
 
 def test_small_numbers(one):
     assert [one(numbers.whole_count(F.lit(v))) for v in (3.9, -0.9, -4.2, 0.0)] == [3, 0, 0, 0]
+    assert one(numbers.whole_count(F.lit(None).cast("double"))) is None
     assert [one(numbers.bool_to_int(F.lit(v).cast("boolean"))) for v in (True, False, None)] == [1, 0, 0]
 
 

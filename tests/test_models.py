@@ -53,15 +53,15 @@ def _brute_neighbours(train, queries, k):
 def test_neighbours_against_brute_force(spark, n, coarse, k):
     train, asked = _rows(n, _noise, 1, coarse=coarse), _rows(80, _noise, 2, coarse=coarse)
     far = [(2, "TRAFFIC_1", 90000.0, -70000.0, 0, 0, 1), (2, "TRAFFIC_1", -300.0, 0.0, 23, 6, 1)]
-    points = neighbours.distinct_points(spark.createDataFrame(train, ROWS), KEYS, ["label"])
-    queries = neighbours.distinct_points(spark.createDataFrame(asked + far, ROWS), KEYS)
+    points = keyed.exact_points(spark.createDataFrame(train, ROWS), ["label"])
+    queries = keyed.exact_points(spark.createDataFrame(asked + far, ROWS), [])
     got = {tuple(r[f] for f in FEATURES): [r[f"predicted_{i}"] for i in range(1, k + 1)] for r in neighbours.predict(points, queries, KEYS, k).collect()}
     assert got == _brute_neighbours(train, asked + far, k)
 
 
 def test_neighbours_keep_keys_apart(spark):
     train = _rows(50, lambda *a: 1) + _rows(50, lambda *a: 3, station=5)
-    points = neighbours.distinct_points(spark.createDataFrame(train, ROWS), KEYS, ["label"])
+    points = keyed.exact_points(spark.createDataFrame(train, ROWS), ["label"])
     got = neighbours.predict(points, points.select(*KEYS, *FEATURES).distinct(), KEYS, 2)
     assert {(r.station_id, r.predicted_2) for r in got.collect()} == {(2, 1), (5, 3)}
 
@@ -198,8 +198,9 @@ def test_network_learns(spark):
     for i in range(600):
         hour = int(draw.integers(0, 24))
         x = [float(hour == h) for h in range(24)] + [float(draw.normal())]
-        rows.append((2, "COUNT_1", "test" if i % 5 == 0 else "train", x, hour / 23, 1))
-    points = spark.createDataFrame(rows, "station_id int, target string, split string, x array<double>, y double, n long")
+        rows.append((2, "COUNT_1", "test" if i % 5 == 0 else "train", x, hour / 23, 1, x[-1], 0.0, float(hour), 0.0))
+    features = ", ".join(f"{f} double" for f in FEATURES)
+    points = spark.createDataFrame(rows, f"station_id int, target string, split string, x array<double>, y double, n long, {features}")
     model = neural.fit(points).first()
     assert len(model.loss) == 10 and len(model.test_loss) == 10
     variance = np.var([r[4] for r in rows])

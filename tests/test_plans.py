@@ -38,7 +38,9 @@ def test_train_save_load_score(spark, inputs, tmp_path):
     assert training.observed(observations, stations).select("station_id").distinct().count() == 2
     trained = training.train(observations, stations, SMALL)
     report = {(r.station_id, r.target, r.model, r.split, r.metric): r.value for r in trained.metrics.collect()}
-    assert len(report) == 2 * 2 * (4 * 2 + 2 * 2)
+    # Accuracies of five classifiers on two sides, importances of three by four features, loss and error on two sides.
+    assert len(report) == 2 * 2 * (5 * 2 + 3 * 4 + 2 * 2)
+    assert sum(v for k, v in report.items() if k[:3] == (2, "TRAFFIC_1", "simple_tree") and "importance" in k[4]) == pytest.approx(1)
     for target in ("TRAFFIC_1", "TRAFFIC_2"):
         for model in ("tree", "forest", "ensemble"):
             assert report[2, target, model, "test", "accuracy"] > 0.9
@@ -46,10 +48,24 @@ def test_train_save_load_score(spark, inputs, tmp_path):
     store = str(tmp_path / "models")
     for name, table in trained.models.items():
         models.save_models(table, store, name)
-    loaded = {name: models.load_models(spark, store, name).drop("model_name") for name in trained.models}
+    loaded = models.load_ensemble(spark, store) | models.load_regressor(spark, store)
+    assert set(loaded) == set(trained.models)
+    with pytest.raises(models.ModelMissing):
+        models.load_ensemble(spark, store, ["TRAFFIC_3"])
+    with pytest.raises(models.ModelMissing):
+        models.load_regressor(spark, str(tmp_path / "nowhere"))
 
     parsed = bulletins.parse_bulletins(spark.createDataFrame([(1, _document())], "weather_index int, json string"))
-    rows = scoring.score(stations, bulletins.forecasts(parsed), bulletins.horizon(parsed, TODAY), loaded, TODAY)
+    forecasts, horizons = bulletins.forecasts(parsed), bulletins.horizon(parsed, TODAY)
+    with pytest.raises(models.ModelMissing):
+        scoring.score(stations, forecasts, horizons, loaded, TODAY)
+    with pytest.raises(ValueError):
+        scoring.score(stations, forecasts, horizons, loaded, TODAY, missing="ignore")
+    elsewhere = stations.withColumn("weather_index", F.when(F.col("station_id") == 100, 5).otherwise(F.col("weather_index")))
+    gaps = scoring.unscored(elsewhere, forecasts.where("day_offset <> 1"), horizons, loaded, TODAY).collect()
+    assert {(r.station_id, str(r.day), r.reason) for r in gaps if r.station_id != 13} == {(100, "None", "no bulletin"), (2, "2018-01-26", "no forecast")}
+    assert {r.reason for r in gaps if r.station_id == 13 and r.day is None} == {f"no {name}" for name in loaded}
+    rows = scoring.score(stations, forecasts, horizons, loaded, TODAY, missing="leave")
     got = {(r.station_id, r.ts): r for r in rows.collect()}
     assert len(got) == 2 * 3 * 24
     right = [(r.traffic_1 == 1 + ts.hour // 6) + (r.traffic_2 == 4 - ts.hour // 6) for (_, ts), r in got.items()]
@@ -86,7 +102,7 @@ def test_refresh_stream(spark, inputs, tmp_path):
     def land(name, days, **changes):
         with open(f"{landing}/{name}", "w") as file:
             json.dump(bulletin(dt.date(2018, 1, 25), days, **changes), file, indent=1)
-        refresh.start(spark, landing, stations, trained.models, TODAY, out, checkpoint).awaitTermination()
+        refresh.start(spark, landing, stations, trained.models, TODAY, out, checkpoint, missing="leave").awaitTermination()
         return spark.read.parquet(out)
 
     first = land("1_morning.json", 2)
@@ -99,7 +115,7 @@ def test_refresh_stream(spark, inputs, tmp_path):
     after = {(r.station_id, r.ts): r for r in second.collect()}
     assert all(after[k].traffic_1 == r.traffic_1 for k, r in before.items() if k[1] >= same_day)
     assert any(after[k].count_1 != r.count_1 for k, r in before.items() if k[1] < same_day)
-    refresh.start(spark, landing, stations, trained.models, TODAY, out, checkpoint).awaitTermination()
+    refresh.start(spark, landing, stations, trained.models, TODAY, out, checkpoint, missing="leave").awaitTermination()
     assert spark.read.parquet(out).count() == 2 * 3 * 24
 
 
@@ -114,11 +130,18 @@ def test_crowded_stations_keep_all_rows_in_the_scores(spark, inputs):
     steps = fitted.groupBy("station_id", "target").agg(F.count_distinct("temperature").alias("n"))
     assert all(r.n <= 32 for r in steps.collect())
     report = training.train(observations, stations, tight).metrics
-    assert report.count() == 2 * 2 * (4 * 2 + 2 * 2)
+    assert report.count() == 2 * 2 * (5 * 2 + 3 * 4 + 2 * 2)
     good = report.where("metric = 'accuracy' and split = 'test' and model = 'tree' and station_id = 2")
     assert all(r.value > 0.9 for r in good.collect())
 
 
+def test_network_loss_is_over_the_rows(spark):
+    """Two rows with equal features and different counts: their spread is part of the loss."""
+    rows = [(2, "COUNT_1", "train", 0.0, 0.0, 1, 1, label, 1, 0, 10, 0.5) for label in (0, 10)]
+    schema = "station_id int, target string, split string, temperature double, niederschlag double, hour int, week_day int, label int, n int, low int, high int, scaled double"
+    assert training.network_losses(spark.createDataFrame(rows, schema)).first()["loss"] == 0.25
+
+
 def test_eligible_drops_single_rows(inputs):
     observations, _ = inputs
     assert filters.eligible(observations).where("station_id = 13").isEmpty()
