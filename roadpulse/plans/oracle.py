@@ -689,3 +689,95 @@ _add(
 select distinct station_id, target, model, metric, true as valid from observed cross join names""",
     "observed",
 )
+
+# --- trees of depth 2 --------------------------------------------------------------------------------------------------
+
+_NAMED = ["temperature", "niederschlag", "hour", "week_day"]
+_CLASSES = [1, 2, 3, 4]
+
+
+def _cut_ctes(level: int, rows: str) -> dict[str, str]:
+    """Best cut of each node of a level: `rows` holds the training points with their node."""
+    counts = ", ".join(f"sum(case when label = {c} then n else 0 end) as c{c}" for c in _CLASSES)
+    values = " union all ".join(
+        f"select station_id, target, node, {i} as f, {name} as v, {counts} from {rows} group by 1, 2, 3, 5" for i, name in enumerate(_NAMED)
+    )
+    one, all_ = "(partition by station_id, target, node, f order by v)", "(partition by station_id, target, node, f)"
+    running = ", ".join(f"sum(c{c}) over {one} as l{c}, sum(c{c}) over {all_} as t{c}" for c in _CLASSES)
+    left, right = "+".join(f"l{c}" for c in _CLASSES), "+".join(f"(t{c}-l{c})" for c in _CLASSES)
+    left_squares = "+".join(f"cast(l{c} as double)*l{c}" for c in _CLASSES)
+    right_squares = "+".join(f"cast(t{c}-l{c} as double)*(t{c}-l{c})" for c in _CLASSES)
+    total, squares = "+".join(f"t{c}" for c in _CLASSES), "+".join(f"cast(t{c} as double)*t{c}" for c in _CLASSES)
+    purity = f"({left_squares}) / cast({left} as double) + ({right_squares}) / cast({right} as double)"
+    order = "(partition by station_id, target, node order by purity desc, f, v)"
+    return {
+        f"values_{level}": values,
+        f"best_{level}": f"""
+  select station_id, target, node, f, (v + following) / 2 as threshold, purity - ({squares}) / cast({total} as double) as lost from (
+    select *, row_number() over {order} as place from (
+      select *, {purity} as purity from (
+        select *, lead(v) over {one} as following, {running} from values_{level})
+      where following is not null and greatest(t1, t2, t3, t4) < {total}))
+  where place = 1""",
+    }
+
+
+_CTES["train_points"] = "select *, 0 as node from points where split = 'train'"
+_NEEDS["train_points"] = ["points"]
+_CTES |= _cut_ctes(0, "train_points")
+_NEEDS["values_0"], _NEEDS["best_0"] = ["train_points"], ["values_0"]
+_SIDE = "case f " + " ".join(f"when {i} then {name}" for i, name in enumerate(_NAMED)) + " end > threshold"
+# Children of the root are 1 and 2; those of level 1 count on from 3, in the order of the nodes that are cut.
+_CTES["lower_points"] = f"""
+  select p.station_id, p.target, p.split, p.temperature, p.niederschlag, p.hour, p.week_day, p.label, p.n,
+    cast(case when f is null then 0 when {_SIDE} then 2 else 1 end as integer) as node
+  from points p left join best_0 b on b.station_id = p.station_id and b.target = p.target"""
+_NEEDS["lower_points"] = ["points", "best_0"]
+_CTES["train_lower"] = "select * from lower_points where split = 'train' and node > 0"
+_NEEDS["train_lower"] = ["lower_points"]
+_CTES |= _cut_ctes(1, "train_lower")
+_NEEDS["values_1"], _NEEDS["best_1"] = ["train_lower"], ["values_1"]
+_CTES["numbered"] = "select *, 1 + 2 * row_number() over (partition by station_id, target order by node) as lower from best_1"
+_NEEDS["numbered"] = ["best_1"]
+_CTES["leaves"] = f"""
+  select p.* exclude (node), cast(case when f is null then p.node when {_SIDE} then lower + 1 else lower end as integer) as node
+  from lower_points p left join numbered b on b.station_id = p.station_id and b.target = p.target and b.node = p.node"""
+_NEEDS["leaves"] = ["lower_points", "numbered"]
+_NAME_OF = "case f " + " ".join(f"when {i} then '{name}'" for i, name in enumerate(_NAMED)) + " end"
+_add(
+    "simple_tree",
+    f"""
+, inner_nodes as (select station_id, target, node, f, threshold from best_0 union all select station_id, target, node, f, threshold from best_1),
+ends as (select distinct station_id, target, node from leaves where split = 'train')
+select station_id, target, node, {_NAME_OF} as feature, round(threshold, 6) as threshold from inner_nodes
+union all
+select station_id, target, node, null, 0.0 from ends""",
+    "best_0",
+    "best_1",
+    "leaves",
+)
+_SHARES = ", ".join(f"round(cast(cast(sum(case when label = {c} then n else 0 end) as double) / sum(n) as float), 5) as s{c}" for c in _CLASSES)
+_add(
+    "tree_fit_metrics",
+    f"""
+, decided as (
+  select station_id, target, node, case greatest(s1, s2, s3, s4) when s1 then 1 when s2 then 2 when s3 then 3 else 4 end as predicted
+  from (select station_id, target, node, {_SHARES} from leaves where split = 'train' group by 1, 2, 3))
+select station_id, target, split, round_even(sum(case when label = predicted then n else 0 end) / cast(sum(n) as double), 3) as accuracy
+from leaves join decided using (station_id, target, node) group by 1, 2, 3""",
+    "leaves",
+)
+_add(
+    "tree_importances",
+    """
+, lost as (select station_id, target, f, lost from best_0 union all select station_id, target, f, lost from best_1),
+named as (select distinct station_id, target, x.f, x.feature from train_points
+  cross join (select unnest([0, 1, 2, 3]) as f, unnest(['temperature', 'niederschlag', 'hour', 'week_day']) as feature) x)
+select station_id, target, feature, round(coalesce(sum(lost), 0.0) / greatest(coalesce(max(whole), 0.0), 1e-300), 6) as importance
+from named left join lost using (station_id, target, f)
+  left join (select station_id, target, sum(lost) as whole from lost group by 1, 2) using (station_id, target)
+group by 1, 2, 3""",
+    "train_points",
+    "best_0",
+    "best_1",
+)
