@@ -84,7 +84,7 @@ def holders(root: Node) -> set[int]:
         if not seen:
             work.append((node, True))
             work += [(c, False) for c in own]
-        elif any(id(c) in found or rank(c.tag, c.names, c.role) >= 2 for c in own):
+        elif any(id(c) in found or (rank(c.tag, c.names, c.role) >= 2 and not any(map(named_aside, c.names))) for c in own):
             found.add(id(node))
     return found
 
@@ -93,13 +93,24 @@ def is_aside(node: Node, kept: set[int], inside: bool) -> bool:
     """Whether a node is left out. `inside` the article a header may hold its headings."""
     if node.hidden or node.tag in ("head", "title"):
         return True
-    if id(node) in kept or node.tag in ("html", "body", "main", "#root") or rank(node.tag, node.names, node.role) == 3:
+    named = node.tag not in HEADINGS and any(map(named_aside, node.names))
+    if node.tag in ("html", "body", "main", "#root") or (not named and rank(node.tag, node.names, node.role) == 3):
+        return False
+    if id(node) in kept and (not named or node.tag != "article"):
         return False
     if node.tag in ASIDE_TAGS or node.role in ASIDE_ROLES:
         return True
     if node.tag == "header" and not inside:
         return True
-    return node.tag not in HEADINGS and any(named_aside(n) for n in node.names)
+    if not inside and any(words_of(n)[-1:] == ["header"] for n in node.names):
+        return True
+    return named
+
+
+def unheaded(header: Node) -> set[int]:
+    """Ids of the blocks of an article's header that are no headings and hold none."""
+    blocks_of = [n for n in walk(header) if n is not header and n.tag in BLOCKS]
+    return {id(n) for n in blocks_of if not any(x.tag in HEADINGS for x in walk(n))}
 
 
 # --- streams and wrappers -------------------------------------------------------------------------------------------------
@@ -364,6 +375,10 @@ def main_text(source: str | None, main: list[str], template: list[str]) -> str:
         inner = {id(x) for n in found for x in walk(n)[1:]}
         chosen = [n for n in found if id(n) not in inner] or [root]
     inside = {id(x) for n in chosen for x in walk(n)} if chosen != [root] else set()
+    for n in chosen:
+        for x in walk(n):
+            if x.tag == "header" and id(x) in inside:
+                constant |= unheaded(x)
 
     def skip(node: Node) -> bool:
         return id(node) in constant or is_aside(node, kept, id(node) in inside)

@@ -155,3 +155,36 @@ def test_given_pages(spark, sf):
     assert len(made) == len(pages)
     for r in made:
         assert r["text"] == expected(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
+
+
+#: Templates of sites: {t} title, {b} paragraphs, {x} and {c} other texts that change from page to page.
+TEMPLATES = {
+    "ids": "<html><body><div id='header'><h1>My Site</h1><p>slogan</p></div><div id='menu'><ul><li><a href='#'>a</a><li><a>b</a></ul></div>"
+    "<div id='content'><h1>{t}</h1>{b}<div class='share'>Tweet this</div></div><div id='sidebar'><p>Popular: {x}</p></div>"
+    "<div class='comments'><p>{c}</p></div><div id='footer'><p>Copyright</p></div></body></html>",
+    "main": "<body><header><a>Home</a> Site name</header><main><h1>{t}</h1>{b}<section class='comment-list'><p>{c}</p></section></main><aside><p>{x}</p></aside><footer>foot</footer></body>",
+    "post": "<body><div class='page'><div class='top-bar'>Login <a>here</a></div><div class='post'><div class='post-title'>{t}</div><div class='post-body'>{b}</div>"
+    "<div class='newsletter-signup'><form>Email</form>Subscribe</div></div><div class='related-posts'><p>{x}</p></div></div></body>",
+    "table": "<table><tr><td class='nav'><a>one</a><a>two</a></td><td><h2>{t}</h2>{b}</td><td class='ads'>{x}</td></tr></table>",
+    "flat": "<body><nav>n</nav><div class='cookie-banner'>We use cookies. <button>OK</button></div><h1>{t}</h1>{b}<div id='disqus_thread'><p>{c}</p></div><footer>f</footer></body>",
+    "unnamed": "<body><div class='wrapper has-sidebar'><div class='col-8'><div class='inner'><h1>{t}</h1>{b}</div></div><div class='col-4'><div class='box'><h3>Recent</h3>"
+    "<ul><li><a href=1>{x}</a></li></ul></div></div></div><div class='bottom'>All rights reserved by the owner</div></body>",
+    "article": "<body><article class='teaser'><h2>x</h2></article><article><header><h1>{t}</h1><p class='byline'>By me</p></header>{b}<footer>Tags: a</footer>"
+    "<section id='comments'><article class='comment'><p>{c}</p></article></section></article></body>",
+}
+
+
+def test_templates(spark):
+    draw = random.Random(1)
+
+    def prose(n):
+        return " ".join(draw.choice("red blue green car road town river stone light paper".split()) for _ in range(n)) + "."
+
+    rows = []
+    for name, template in TEMPLATES.items():
+        for k in range(12):
+            title, own = prose(5), [prose(25) for _ in range(draw.randint(2, 5))]
+            page = template.format(t=title, b="".join(f"<p>{p}</p>" for p in own), x=prose(10), c=prose(12))
+            rows.append((name, f"https://{name}.example.org/{k}", page, "\n\n".join([title, *own])))
+    df = spark.createDataFrame(rows, "name string, url string, html string, want string").repartition(6)
+    assert {r["name"] for r in hw.extract(df).collect() if r["text"] != r["want"]} == set()
