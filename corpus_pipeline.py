@@ -5,6 +5,7 @@ Every stage is written as Parquet below the shared folder and read again, so a l
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from roadpulse.llm import byte_bpe, decontamination, language_id, ngram_join, toxicity
 from roadpulse.llm.common import read
 from roadpulse.llm.queries import language_model, toxicity_model
-from roadpulse.session import shared_folder
+from roadpulse.session import shared_folder, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -45,12 +46,23 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 
+def _shipped(stage: Stage) -> Stage:
+    """The stage, with the package sent to the workers first."""
+
+    @functools.wraps(stage)
+    def made(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+
+    return made
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", identify_language),
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("tokenization", tokenize),
+    ("language_id", _shipped(identify_language)),
+    ("toxicity", _shipped(drop_toxic)),
+    ("near_duplicates", _shipped(drop_near_duplicates)),
+    ("decontamination", _shipped(drop_contaminated)),
+    ("tokenization", _shipped(tokenize)),
 ]
 
 #: The fitted stages have no form in SQL; the tests hold the pipeline against a brute-force version.
