@@ -227,7 +227,8 @@ def sample(docs: DataFrame, labels: DataFrame, identifier: str, text: str, label
     known = labels.select(F.col(identifier).alias("_id"), F.col(label).cast("int").alias("label")).where("label is not null")
     texts = docs.select(F.col(identifier).alias("_id"), F.col(text).alias("text")).where("text is not null")
     chosen = known.withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id", "label").limit(rows)
-    return chosen.join(texts, "_id").select("text", "label")
+    # At most `rows` ids and labels go to every task, so that the texts need no shuffle.
+    return texts.join(F.broadcast(chosen), "_id").select("text", "label")
 
 
 def fit(rows: DataFrame, least: int = 5, odds: float = 8.0, proof: float = 30.0, lone: float = 0.8) -> Model:
