@@ -222,21 +222,23 @@ class Model:
 def sample(docs: DataFrame, labels: DataFrame, identifier: str, text: str, label: str, rows: int = FIT_ROWS) -> DataFrame:
     """At most `rows` labelled rows `(text, label)`, by a hash of the id; rows without label or text stay out.
 
-    Equal hashes fall back to the texts and labels themselves, so the sample does not depend on the partitioning.
+    Equal hashes fall back to the ids and labels themselves, and an id that repeats counts with its least text, so the
+    sample is bounded and does not depend on the partitioning.
     """
     known = labels.select(F.col(identifier).alias("_id"), F.col(label).cast("int").alias("label")).where("label is not null")
     texts = docs.select(F.col(identifier).alias("_id"), F.col(text).alias("text")).where("text is not null")
     chosen = known.withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id", "label").limit(rows)
     # At most `rows` ids and labels go to every task, so that the texts need no shuffle.
-    return texts.join(F.broadcast(chosen), "_id").select("text", "label")
+    met = texts.join(F.broadcast(chosen), "_id")
+    return met.groupBy("_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def fit(rows: DataFrame, least: int = 5, odds: float = 8.0, proof: float = 30.0, lone: float = 0.8) -> Model:
     """Learn lexicon and weights from `rows(text, label)`, a bounded sample (see `sample`).
 
-    A word or a stem of 2 to 8 letters enters if at least `least` texts of label 1 hold it, their share is `odds` times
-    that among the others, and twice the log likelihood ratio of the two counts reaches `proof` (many terms are tried, so
-    chance finds some that look strong). A stem stands for all longer words it begins; if one next letter leads to `lone` of
+    A word or a stem of 2 to 9 letters enters if at least `least` texts and one in a hundred of label 1 hold it, their
+    share is `odds` times that among the others, and twice the log likelihood ratio of the two counts reaches `proof`
+    (many terms are tried, so chance finds some that look strong). A stem stands for all longer words it begins; if one next letter leads to `lone` of
     its texts, the longer beginning takes its place. Repeated rows count once.
     Tasks count portions of texts; the counts are summed by a shuffle and only the chosen terms come to the driver.
     """
@@ -271,7 +273,7 @@ def _fit(rows: DataFrame, least: int, odds: float, proof: float, lone: float) ->
 
     spread = rows.repartition(max(2, rows.sparkSession.sparkContext.defaultParallelism))
     counted = spread.mapInArrow(count, "term string, kind int, good long, bad long").groupBy("term", "kind")
-    counted = counted.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where(F.col("bad") >= least)
+    counted = counted.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where(F.col("bad") >= max(least, 0.01 * bad))
     strong = counted.where((F.col("bad") + 0.5) / (bad + 1) >= odds * (F.col("good") + 0.5) / (good + 1)).collect()
     strong = [r for r in strong if _likelihood(r["bad"], bad, r["good"], good) >= proof]
     words = {r["term"] for r in strong if r["kind"] == WHOLE}
