@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,14 +39,16 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir, which all executors reach.
 
-    Only a local session without that setting gets a folder beside its warehouse.
+    Only a local session without that setting gets a folder in its warehouse, which is removed when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lineage"
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lineage-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", folder)
+        # What a local session has written for itself goes when its process ends.
+        atexit.register(shutil.rmtree, unquote(urlsplit(folder).path), ignore_errors=True)
     return folder
 
 
