@@ -147,7 +147,8 @@ def components(edges: DataFrame) -> DataFrame:
     """`(node, root)` for the nodes of `edges(a, b)`: the least node each is connected with.
 
     Large and small stars in turn hang every node on the least neighbour until nothing changes. Each round is written to
-    the shared folder; the least neighbour is pre-aggregated, so a hub costs a row per task.
+    the shared folder; the least neighbour is pre-aggregated, so a hub costs a row per task, and joined as a table of its
+    own, so Spark can send it to all tasks or split a hub's edges over several.
     """
     edges = cut_lineage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -157,7 +158,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"), F.col("a").alias("own"))
