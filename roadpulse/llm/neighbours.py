@@ -228,10 +228,22 @@ def search(vectors: DataFrame, queries: DataFrame, identifier: str = "vec_id", v
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("candidate").alias(identifier), "score")
 
 
+def _cell(buckets: np.ndarray, cells: int) -> np.ndarray:
+    """The group of buckets that a bucket belongs to."""
+    mixed = buckets.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(33)) % np.uint64(cells)).astype(np.int32)
+
+
+def _raw(matrix: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in matrix], pa.binary())
+
+
 def _search(held: DataFrame, asked: DataFrame, hashing: Hashing, keep: int, kind: str) -> DataFrame:
     """`(q, rep, score)`: for each query the `keep` best of every group of buckets."""
     spark = held.sparkSession
     made = spark.sparkContext.broadcast(hashing)
+    cells = tasks(spark, 4 * spark.sparkContext.defaultParallelism)
+    asked = asked.select("rep", "v").repartition(cells, "rep")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,39 +251,42 @@ def _search(held: DataFrame, asked: DataFrame, hashing: Hashing, keep: int, kind
                 b = batch.slice(start, 2000)
                 matrix = _matrix(b.column(1))
                 buckets = made.value.buckets(np.floor(made.value.places(_unit(matrix))))
-                raw = pa.array([r.tobytes() for r in matrix], pa.binary())
+                raw = _raw(matrix)
                 for t in range(buckets.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(buckets[:, t]), b.column(0), raw], names=["bucket", "rep", "raw"])
+                    own = np.ascontiguousarray(buckets[:, t])
+                    yield pa.RecordBatch.from_arrays([pa.array(_cell(own, cells)), pa.array(own), b.column(0), raw], names=["cell", "bucket", "rep", "raw"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per query and group of buckets, with those of the group that the query visits."""
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 b = batch.slice(start, 200)
-                keys = made.value.visited(_unit(_matrix(b.column(1))))
-                place = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), b.column(0).take(place)], names=["bucket", "q"])
-
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = pa.array([r.tobytes() for r in _matrix(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), raw], names=["q", "raw"])
-
-    entries = cut_lineage(held.select("rep", "v").mapInArrow(index, f"bucket long, rep {kind}, raw binary"))
-    # Only buckets that hold a vector are worth a visit.
-    filled = entries.groupBy("bucket").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
-    filled = cut_lineage(filled)
-    probes = asked.select("rep", "v").mapInArrow(probe, f"bucket long, q {kind}").join(filled, "bucket")
-    cells = tasks(spark, 4 * spark.sparkContext.defaultParallelism)
-    cell = F.pmod(F.hash("bucket", "split"), F.lit(cells)).alias("cell")
-    # A bucket of many vectors is split by a hash of the vector, and its queries visit every part.
-    large = filled.where(F.col("parts") > 1)
-    split = entries.join(large, "bucket", "left").withColumn("split", F.pmod(F.hash("rep"), F.coalesce("parts", F.lit(1))))
-    copied = cut_lineage(probes.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(cell, "bucket", "q"))
-    # A query's vector goes to a cell once, however many of its buckets it visits there.
-    vectors = asked.select("rep", "v").mapInArrow(flat, f"q {kind}, raw binary")
-    carried = copied.select("cell", "q").distinct().join(vectors, "q").select("cell", F.lit(0).cast("long").alias("bucket"), "q", "raw")
-    left = split.select(cell, "bucket", "rep", "raw")
-    right = copied.withColumn("raw", F.lit(None).cast("binary")).unionByName(carried)
+                matrix = _matrix(b.column(1))
+                rows, place, visits = [], [], []
+                for k, keys in enumerate(made.value.visited(_unit(matrix))):
+                    at = _cell(keys, cells)
+                    for cell in np.unique(at).tolist():
+                        rows.append(cell)
+                        place.append(k)
+                        visits.append(keys[at == cell])
+                taken = pa.array(place, pa.int64())
+                arrays = [pa.array(rows, pa.int32()), pa.array(visits, pa.list_(pa.int64())), b.column(0).take(taken), _raw(matrix).take(taken)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["cell", "buckets", "q", "raw"])
+
+    entries = cut_lineage(held.select("rep", "v").mapInArrow(index, f"cell int, bucket long, rep {kind}, raw binary"))
+    probes = asked.mapInArrow(probe, f"cell int, buckets array<long>, q {kind}, raw binary")
+    large = entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT)
+    large = cut_lineage(large.select("bucket", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts")))
+    if not large.isEmpty():
+        # A bucket of many vectors is split over groups by a hash of the vector, and its queries visit every part.
+        probes = cut_lineage(probes)
+        split = F.pmod(F.hash("bucket", F.pmod(F.hash("rep"), F.col("parts"))), F.lit(cells))
+        entries = entries.join(large, "bucket", "left").withColumn("cell", F.coalesce(split, F.col("cell")))
+        visits = probes.select(F.explode("buckets").alias("bucket"), "q", "raw").join(large, "bucket")
+        copies = visits.select("bucket", "q", "raw", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("split"))
+        moved = copies.select(F.pmod(F.hash("bucket", "split"), F.lit(cells)).alias("cell"), F.array("bucket").alias("buckets"), "q", "raw")
+        probes = probes.unionByName(moved)
+    left, right = entries.select("cell", "bucket", "rep", "raw"), probes.select("cell", "buckets", "q", "raw")
     both = left.repartition(cells, "cell").groupBy("cell").cogroup(right.repartition(cells, "cell").groupBy("cell"))
 
     def nearest(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
@@ -282,10 +297,12 @@ def _search(held: DataFrame, asked: DataFrame, hashing: Hashing, keep: int, kind
             reps, first, code = np.unique(own["rep"].to_numpy()[order], return_index=True, return_inverse=True)
             v = _scaled(np.frombuffer(b"".join(own["raw"].to_numpy()[order[first]]), np.float64).reshape(len(reps), -1))
             v_norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-            told = asking["raw"].notna()
-            raw = dict(zip(asking["q"][told], asking["raw"][told], strict=True))
-            for name, group in asking[~told].groupby("q", sort=True):
-                visited = np.sort(group["bucket"].to_numpy().astype(np.int64))
+            visits: dict[object, list[np.ndarray]] = {}
+            for name, some in zip(asking["q"], asking["buckets"], strict=True):
+                visits.setdefault(name, []).append(np.asarray(some, np.int64))
+            raw = dict(zip(asking["q"], asking["raw"], strict=True))
+            for name, parts in visits.items():
+                visited = np.unique(np.concatenate(parts))
                 low, high = np.searchsorted(buckets, visited), np.searchsorted(buckets, visited, side="right")
                 met = np.unique(np.concatenate([code[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]))
                 if not len(met):
