@@ -43,6 +43,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def to_all(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """`df`, a written table, marked for sending to all tasks if it has at most `rows` rows; a larger one is shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def crc_part(identifier: Column) -> Column:
     """0 to 3: the part of the rows an id belongs to, from its checksum as text. Part 2 is held out; null has no part."""
     return F.crc32(identifier.cast("string").cast("binary")) % 4

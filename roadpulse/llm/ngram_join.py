@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import free_name, tasks, words
+from roadpulse.llm.common import free_name, tasks, to_all, words
 from roadpulse.session import cut_lineage
 
 SIZE = 5
@@ -271,15 +271,18 @@ def _classes(docs: DataFrame, identifier: str, text: str, size: int, similarity:
     filled = known.where(F.col("content").isNotNull())
     nodes = cut_lineage(
         filled.groupBy("content").agg(
-            F.count("*").alias("copies"), F.min("id").alias("least_id"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands")
+            F.count("*").alias("copies"), F.min("id").alias("least_id"), F.min(F.struct("text_key", "id")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")
         )
     )
     member = nodes.select("content", F.explode("bands").alias("bucket"))
     crowded = member.groupBy("bucket").agg(F.count("*").alias("met"), F.min("content").alias("first")).where(F.col("met") > 1)
     met = cut_lineage(member.join(crowded, "bucket").select("bucket", "content", "met", "first"))
 
-    chosen = met.select("content").distinct().join(nodes.select("content", "text_key"), "content")
-    texts = source.select("text_key", "text").join(chosen, "text_key").groupBy("content").agg(F.first("text").alias("text"))
+    # One row of each set that may have a partner hands in its text, however many copies there are.
+    chosen = met.select("content").distinct().join(nodes.select("content", "row"), "content")
+    chosen = to_all(cut_lineage(chosen.select("content", F.col("row.text_key").alias("own_key"), F.col("row.id").alias("own_id"))))
+    own = source.join(chosen, (F.col("text_key") == F.col("own_key")) & F.col("id").eqNullSafe(F.col("own_id")))
+    texts = own.groupBy("content").agg(F.first("text").alias("text"))
     sets = cut_lineage(n_gram_sets(texts, size))
 
     large = met.where(F.col("met") > SMALL)
@@ -327,19 +330,19 @@ def keep_one(docs: DataFrame, identifier: str = "doc_id", text: str = "text", si
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "text_key")
     best = made.groupBy("root").agg(F.min(rank).alias("least"))
     judged = made.join(best, "root").withColumn("stays", F.col("least").eqNullSafe(rank))
-    gone = judged.where(~F.col("stays")).select("id", "text_key").distinct()
+    gone = to_all(cut_lineage(judged.where(~F.col("stays")).select("id", "text_key").distinct()).toDF("_gone_id", "_gone_key"))
     again = cut_lineage(judged.where("stays").groupBy("id", "text_key").agg(F.count("*").alias("times")).where(F.col("times") > 1))
     key = free_name(docs, "_text_key")
     left = docs.withColumn(key, F.unhex(F.md5(F.col(text).cast("binary"))))
 
-    def same(other: DataFrame) -> Column:
+    def same() -> Column:
         return F.col(key).eqNullSafe(F.col("_gone_key")) & F.col(identifier).eqNullSafe(F.col("_gone_id"))
 
-    kept = left.join(gone.toDF("_gone_id", "_gone_key"), same(gone), "left_anti")
+    kept = left.join(gone, same(), "left_anti")
     if not again.isEmpty():
         repeated = again.select(F.col("id").alias("_gone_id"), F.col("text_key").alias("_gone_key"))
-        once = kept.join(repeated, same(repeated), "left_semi").dropDuplicates([key, identifier])
-        kept = kept.join(repeated, same(repeated), "left_anti").unionByName(once)
+        once = kept.join(repeated, same(), "left_semi").dropDuplicates([key, identifier])
+        kept = kept.join(repeated, same(), "left_anti").unionByName(once)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
