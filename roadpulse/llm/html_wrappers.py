@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadpulse.llm.common import free_name, portions, tasks
-from roadpulse.llm.markup import BLOCKS, CONTROLS, HEADINGS, Node, blocks, parse, walk
+from roadpulse.llm.markup import BLOCKS, CONTROLS, HEADINGS, Node, blocks, own_text, parse, walk
 from roadpulse.session import cut_lineage
 
 #: Wrappers that are merged in one task.
@@ -32,6 +32,9 @@ GROUP = 200
 #: Bytes of decisions up to which every task gets all of them.
 SMALL = 32 << 20
 
+#: Different pages of a host that have to share a text before it counts as the site's and not the page's.
+SHARED = 3
+
 #: Fixed names of what is no article: elements, roles, and words of class names.
 ASIDE_TAGS = frozenset("nav footer aside form fieldset dialog menu".split()) | CONTROLS
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
@@ -240,41 +243,48 @@ def host_of(url: Column) -> Column:
 
 
 def _reduced(pages: DataFrame) -> DataFrame:
-    """`(host, kind, name, pages, chars, linked, least, most)`: a task's distinct streams (kind 0) and the sums of its
-    paths (kind 1): own text, text in links, and the least and greatest hash of the text."""
+    """`(host, kind, name, chars, linked, least, most, pages)`: distinct streams (kind 0) and the sums of paths (kind 1): own
+    text, text in links, the least and greatest hash of the text, and how many different pages have the path, up to `SHARED` or
+    more. Pages with the same texts are one page, so that copies do not make their article the site's."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int, str], list[int]] = {}
+        held: dict[tuple[str, int, str], list] = {}
         for whole in batches:
             for batch in portions(whole, 1):
                 for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     root = parse(source)
                     name = json.dumps(stream(root), separators=(",", ":"))
-                    held.setdefault((host, 0, name), [0, 0, 0, 0, 0])[0] += 1
-                    for path, node, clear in _spans(root):
-                        text = " ".join(c for c in node.children if isinstance(c, str)).strip()
+                    held.setdefault((host, 0, name), [0, 0, 0, 0, set()])
+                    texts = [(path, clear, node.linked, own_text(node)) for path, node, clear in _spans(root)]
+                    page = xxhash.xxh3_64_intdigest("\n".join(t[3] for t in texts)) >> 1
+                    for path, clear, linked, text in texts:
                         h = xxhash.xxh3_64_intdigest(text) >> 1
-                        sums = held.setdefault((host, 1, f"{clear}{path}"), [0, 0, 0, h, h])
-                        sums[0] += 1
-                        sums[1] += len(text)
-                        sums[2] += node.linked
-                        sums[3], sums[4] = min(sums[3], h), max(sums[4], h)
+                        sums = held.setdefault((host, 1, f"{clear}{path}"), [0, 0, h, h, set()])
+                        sums[0] += len(text)
+                        sums[1] += linked
+                        sums[2], sums[3] = min(sums[2], h), max(sums[3], h)
+                        if len(sums[4]) < SHARED:
+                            sums[4].add(page)
                 if len(held) > 50_000:
                     yield _rows(held)
                     held = {}
         yield _rows(held)
 
-    made = pages.mapInArrow(over, "host string, kind int, name string, pages long, chars long, linked long, least long, most long")
+    made = pages.mapInArrow(over, "host string, kind int, name string, chars long, linked long, least long, most long, seen array<long>")
     return made.groupBy("host", "kind", "name").agg(
-        *[F.sum(c).alias(c) for c in ("pages", "chars", "linked")], F.min("least").alias("least"), F.max("most").alias("most")
+        *[F.sum(c).alias(c) for c in ("chars", "linked")],
+        F.min("least").alias("least"),
+        F.max("most").alias("most"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("seen")))).cast("long").alias("pages"),
     )
 
 
 def _rows(held: dict) -> pa.RecordBatch:
     keys, sums = list(held), list(held.values())
     arrays = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string())]
-    arrays += [pa.array([s[i] for s in sums], pa.int64()) for i in range(5)]
-    return pa.RecordBatch.from_arrays(arrays, names=["host", "kind", "name", "pages", "chars", "linked", "least", "most"])
+    arrays += [pa.array([s[i] for s in sums], pa.int64()) for i in range(4)]
+    arrays.append(pa.array([sorted(s[4]) for s in sums], pa.list_(pa.int64())))
+    return pa.RecordBatch.from_arrays(arrays, names=["host", "kind", "name", "chars", "linked", "least", "most", "seen"])
 
 
 def infer_wrappers(streams: DataFrame) -> DataFrame:
@@ -301,7 +311,7 @@ def infer_wrappers(streams: DataFrame) -> DataFrame:
 
 def decide(wrapper: list, rows: list[tuple[str, int, int, int, bool]]) -> tuple[list[str], list[str]]:
     """Paths of the article and of text that never changes, for a host's wrapper and the sums of its paths
-    `(clearness and path, pages, chars, linked, constant)`."""
+    `(clearness and path, different pages, chars, linked, constant)`."""
     known = set(paths(wrapper))
     sums = {r[0][1:]: (int(r[0][0]), *r[1:]) for r in rows if r[0][1:] in known}
     total = sum(s[2] for s in sums.values())
@@ -314,7 +324,7 @@ def decide(wrapper: list, rows: list[tuple[str, int, int, int, bool]]) -> tuple[
         outer = [p for p in named if not any(p != q and p.startswith(f"{q}/") for q in named)]
         if outer and sum(map(below, outer)) >= 0.25 * total:
             return sorted(outer), []
-    template = sorted(p for p, s in sums.items() if s[1] >= 3 and s[4] and s[2])
+    template = sorted(p for p, s in sums.items() if s[1] >= SHARED and s[4] and s[2])
     changing = {p: s for p, s in sums.items() if p not in template}
     prose = sum(s[2] - s[3] for s in changing.values())
     best = ""
@@ -356,6 +366,7 @@ def main_text(source: str | None, main: list[str], template: list[str]) -> str:
     work: list[tuple[str, Node]] = [("", root)]
     chosen: list[Node] = []
     constant: set[int] = set()
+    left: set[int] = set()
     while work:
         path, node = work.pop()
         if path in wanted:
@@ -378,12 +389,15 @@ def main_text(source: str | None, main: list[str], template: list[str]) -> str:
     for n in chosen:
         for x in walk(n):
             if x.tag == "header" and id(x) in inside:
-                constant |= unheaded(x)
+                left |= unheaded(x)
 
     def skip(node: Node) -> bool:
-        return id(node) in constant or is_aside(node, kept, id(node) in inside)
+        return id(node) in left or is_aside(node, kept, id(node) in inside)
+
+    def mute(node: Node) -> bool:
+        return id(node) in constant
 
-    return "\n\n".join(b for top in chosen for b in blocks(top, lambda n, top=top: n is not top and skip(n)))
+    return "\n\n".join(b for top in chosen for b in blocks(top, lambda n, top=top: n is not top and skip(n), mute))
 
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:

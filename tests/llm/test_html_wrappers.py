@@ -188,3 +188,21 @@ def test_templates(spark):
             rows.append((name, f"https://{name}.example.org/{k}", page, "\n\n".join([title, *own])))
     df = spark.createDataFrame(rows, "name string, url string, html string, want string").repartition(6)
     assert {r["name"] for r in hw.extract(df).collect() if r["text"] != r["want"]} == set()
+
+
+def extracted(spark, pages):
+    rows = [(k, f"http://one.example.org/{k}", page) for k, page in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return [r["text"] for r in sorted(hw.extract(df).collect(), key=lambda r: r["page_id"])]
+
+
+def test_copies_of_one_page_keep_its_text(spark):
+    page = "<body><div class=wrap><h1>T</h1><p>One.</p></div></body>"
+    assert extracted(spark, [page] * 5) == ["T\n\nOne."] * 5
+    assert extracted(spark, [page] * 3 + [page.replace("One", "Two")]) == ["T\n\nOne."] * 3 + ["T\n\nTwo."]
+
+
+def test_constant_text_goes_without_the_blocks_in_it(spark):
+    page = "<body><table><tr><td class=q>What is {0}?</td><td class=a>Answer: <p>{0} it is</p></td></tr></table></body>"
+    words = ("one", "two", "three", "four")
+    assert extracted(spark, [page.format(w) for w in words]) == [f"What is {w}?\n\n{w} it is" for w in words]
