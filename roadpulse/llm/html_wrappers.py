@@ -5,8 +5,9 @@ one side has becomes optional, what follows itself becomes a repeated group, and
 regular expression without unions for the host's pages. Together with the slots' texts over all pages (how much, how much of it
 links, whether it ever changes) it tells which part of the template holds the article; that part is read from every page.
 
-Tasks reduce their pages to distinct streams and sums first, and wrappers are merged in rounds of bounded groups, so
-a host with a third of all pages costs no task more than another.
+Only class names and ids that recur over a host's pages tell its elements apart (see `known_names`), so a wrapper and the paths of
+a host do not grow with its pages. Tasks reduce their pages to distinct streams and sums first, wrappers are merged in rounds
+of bounded groups, and the article is picked by aggregates over (host, path).
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ SMALL = 32 << 20
 #: Different pages of a host that have to share a text before it counts as the site's and not the page's.
 SHARED = 3
 
+#: A name is part of the signature if one in so many pages of its host has it.
+RARE = 50
+
 #: Fixed names of what is no article: elements, roles, and words of class names.
 ASIDE_TAGS = frozenset("nav footer aside form fieldset dialog menu".split()) | CONTROLS
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
@@ -140,6 +144,25 @@ def stream(node: Node) -> list:
     return made[id(node)]
 
 
+def trimmed(signature: str, known: set[str]) -> str:
+    """A signature without the names that are not known."""
+    tag, *names = signature.split(".")
+    return ".".join([tag, *[n for n in names if n in known]])
+
+
+def trim(items: list, known: set[str]) -> list:
+    """A stream without the names that are not known, folded again."""
+    out = []
+    for name, optional, repeated, inner in items:
+        inner = trim(inner, known)
+        if name == "()" and len(inner) == 1:
+            one = inner[0]
+            out.append([one[0], optional or one[1], repeated or one[2], one[3]])
+        else:
+            out.append([trimmed(name, known), optional, repeated, inner])
+    return fold(out)
+
+
 def _names(item: list) -> object:
     return item[0] if item[0] != "()" else ("()", tuple(_names(i) for i in item[3]))
 
@@ -209,17 +232,6 @@ def expression(items: list) -> str:
     return "".join(out)
 
 
-def paths(items: list, above: str = "") -> list[str]:
-    """Paths of a wrapper's tags, in order, groups dissolved."""
-    out = []
-    for name, _, _, inner in items:
-        if name == "()":
-            out += paths(inner, above)
-        elif name != "#":
-            out += [f"{above}/{name}", *paths(inner, f"{above}/{name}")]
-    return out
-
-
 # --- over all pages ---------------------------------------------------------------------------------------------------------
 
 
@@ -243,9 +255,10 @@ def host_of(url: Column) -> Column:
 
 
 def _reduced(pages: DataFrame) -> DataFrame:
-    """`(host, kind, name, chars, linked, least, most, pages)`: distinct streams (kind 0) and the sums of paths (kind 1): own
-    text, text in links, the least and greatest hash of the text, and how many different pages have the path, up to `SHARED` or
-    more. Pages with the same texts are one page, so that copies do not make their article the site's."""
+    """`(host, kind, name, rows, chars, linked, least, most, seen)`: distinct streams (kind 0), the sums of paths (kind 1), and
+    how many pages have a name or are there at all (kind 2, name empty). Sums are own text, text in links, the least and greatest
+    hash of the text, and up to `SHARED` different pages. Pages with the same texts are one page, so that copies do not make their
+    article the site's."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int, str], list] = {}
@@ -254,37 +267,82 @@ def _reduced(pages: DataFrame) -> DataFrame:
                 for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     root = parse(source)
                     name = json.dumps(stream(root), separators=(",", ":"))
-                    held.setdefault((host, 0, name), [0, 0, 0, 0, set()])
+                    held.setdefault((host, 0, name), [0, 0, 0, 0, 0, set()])
                     texts = [(path, clear, node.linked, own_text(node)) for path, node, clear in _spans(root)]
                     page = xxhash.xxh3_64_intdigest("\n".join(t[3] for t in texts)) >> 1
                     for path, clear, linked, text in texts:
                         h = xxhash.xxh3_64_intdigest(text) >> 1
-                        sums = held.setdefault((host, 1, f"{clear}{path}"), [0, 0, h, h, set()])
-                        sums[0] += len(text)
-                        sums[1] += linked
-                        sums[2], sums[3] = min(sums[2], h), max(sums[3], h)
-                        if len(sums[4]) < SHARED:
-                            sums[4].add(page)
+                        sums = held.setdefault((host, 1, f"{clear}{path}"), [0, 0, 0, h, h, set()])
+                        sums[1] += len(text)
+                        sums[2] += linked
+                        sums[3], sums[4] = min(sums[3], h), max(sums[4], h)
+                        if len(sums[5]) < SHARED:
+                            sums[5].add(page)
+                    for name in {"", *[x for n in walk(root) if n.tag in BLOCKS for x in n.names]}:
+                        sums = held.setdefault((host, 2, name), [0, 0, 0, 0, 0, set()])
+                        sums[0] += 1
+                        if len(sums[5]) < SHARED:
+                            sums[5].add(page)
                 if len(held) > 50_000:
                     yield _rows(held)
                     held = {}
         yield _rows(held)
 
-    made = pages.mapInArrow(over, "host string, kind int, name string, chars long, linked long, least long, most long, seen array<long>")
-    return made.groupBy("host", "kind", "name").agg(
-        *[F.sum(c).alias(c) for c in ("chars", "linked")],
+    return _summed(pages.mapInArrow(over, REDUCED))
+
+
+REDUCED = "host string, kind int, name string, rows long, chars long, linked long, least long, most long, seen array<long>"
+
+
+def _summed(reduced: DataFrame) -> DataFrame:
+    return reduced.groupBy("host", "kind", "name").agg(
+        *[F.sum(c).alias(c) for c in ("rows", "chars", "linked")],
         F.min("least").alias("least"),
         F.max("most").alias("most"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("seen")))).cast("long").alias("pages"),
+        # Enough to tell fewer from SHARED.
+        F.slice(F.array_distinct(F.flatten(F.collect_set("seen"))), 1, SHARED).alias("seen"),
     )
 
 
 def _rows(held: dict) -> pa.RecordBatch:
     keys, sums = list(held), list(held.values())
     arrays = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string())]
-    arrays += [pa.array([s[i] for s in sums], pa.int64()) for i in range(4)]
-    arrays.append(pa.array([sorted(s[4]) for s in sums], pa.list_(pa.int64())))
-    return pa.RecordBatch.from_arrays(arrays, names=["host", "kind", "name", "chars", "linked", "least", "most", "seen"])
+    arrays += [pa.array([s[i] for s in sums], pa.int64()) for i in range(5)]
+    arrays.append(pa.array([sorted(s[5]) for s in sums], pa.list_(pa.int64())))
+    return pa.RecordBatch.from_arrays(arrays, names=["host", "kind", "name", "rows", "chars", "linked", "least", "most", "seen"])
+
+
+def known_names(reduced: DataFrame) -> DataFrame:
+    """`(host, known)`: class names and ids on `SHARED` different pages of the host and on one in `RARE` of its pages, so that a
+    host has at most `RARE` times as many as a page. Names of one page, such as those of headings, tell pages apart and not their
+    parts. A host with fewer different pages keeps all names."""
+    counted = reduced.where(F.col("kind") == 2).select("host", "name", "rows", F.size("seen").alias("pages"))
+    hosts = counted.where(F.col("name") == "").select("host", F.col("rows").alias("all_rows"), F.col("pages").alias("all_pages"))
+    shared = (F.col("pages") >= SHARED) & (F.col("rows") * RARE >= F.col("all_rows"))
+    kept = counted.where(F.col("name") != "").join(hosts, "host").where(shared | (F.col("all_pages") < SHARED))
+    return kept.groupBy("host").agg(F.sort_array(F.collect_list("name")).alias("known"))
+
+
+def _trimmed(reduced: DataFrame) -> DataFrame:
+    """Streams and sums of `reduced` with the known names alone."""
+    known = cut_lineage(known_names(reduced))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for kind, name, names in zip(*[batch.column(i).to_pylist() for i in (1, 2, 9)], strict=True):
+                held = set(names or [])
+                if kind == 0:
+                    made.append(json.dumps(trim(json.loads(name), held), separators=(",", ":")))
+                else:
+                    made.append("/".join(trimmed(part, held) for part in name.split("/")))
+            columns = [*batch.columns[:2], pa.array(made, pa.string()), *batch.columns[3:9]]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:9])
+
+    size = known.select(F.sum(F.length(F.array_join("known", " ")) + 64)).first()[0] or 0
+    rows = reduced.where(F.col("kind") < 2).join(F.broadcast(known) if size <= SMALL else known, "host", "left")
+    order = ["host", "kind", "name", "rows", "chars", "linked", "least", "most", "seen", "known"]
+    return _summed(rows.select(*order).mapInArrow(over, REDUCED))
 
 
 def infer_wrappers(streams: DataFrame) -> DataFrame:
@@ -309,58 +367,57 @@ def infer_wrappers(streams: DataFrame) -> DataFrame:
         streams = cut_lineage(merged.applyInPandas(merge, "host string, wrapper string").distinct())
 
 
-def decide(wrapper: list, rows: list[tuple[str, int, int, int, bool]]) -> tuple[list[str], list[str]]:
-    """Paths of the article and of text that never changes, for a host's wrapper and the sums of its paths
-    `(clearness and path, different pages, chars, linked, constant)`."""
-    known = set(paths(wrapper))
-    sums = {r[0][1:]: (int(r[0][0]), *r[1:]) for r in rows if r[0][1:] in known}
-    total = sum(s[2] for s in sums.values())
-
-    def below(path: str) -> int:
-        return sum(s[2] - s[3] for p, s in sums.items() if p == path or p.startswith(f"{path}/"))
-
-    for clear in (3, 2, 1):
-        named = [p for p, s in sums.items() if s[0] == clear]
-        outer = [p for p in named if not any(p != q and p.startswith(f"{q}/") for q in named)]
-        if outer and sum(map(below, outer)) >= 0.25 * total:
-            return sorted(outer), []
-    template = sorted(p for p, s in sums.items() if s[1] >= SHARED and s[4] and s[2])
-    changing = {p: s for p, s in sums.items() if p not in template}
-    prose = sum(s[2] - s[3] for s in changing.values())
-    best = ""
-    while prose > 0:
-        deeper = [p for p in sums if p.startswith(f"{best}/") and "/" not in p[len(best) + 1 :]]
-        heavy = [p for p in deeper if sum(s[2] - s[3] for q, s in changing.items() if q == p or q.startswith(f"{p}/")) >= 0.6 * prose]
-        if len(heavy) != 1 or heavy[0].rpartition("/")[2].split(".")[0] in ("p", *HEADINGS):
-            break
-        best = heavy[0]
-    return [best] if best else [], template
+def decide(paths_of: DataFrame) -> DataFrame:
+    """`(host, main, template)` from `(host, path, clear, chars, linked, fixed)`, one row per path: paths of the article, and of
+    text that never changes. Hosts without text may be missing."""
+    weight = F.col("chars") - F.col("linked")
+    changing = F.when(F.col("fixed"), 0).otherwise(weight)
+    parts = F.split("path", "/")
+    upward = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    up = paths_of.withColumn("above", F.explode(upward))
+    below = up.groupBy("host", F.col("above")).agg(F.sum(weight).alias("weight"), F.sum(changing).alias("changing"))
+    below = cut_lineage(below.withColumnRenamed("above", "path"))
+    totals = cut_lineage(paths_of.groupBy("host").agg(F.sum("chars").alias("total"), F.sum(changing).alias("prose")))
+    # The outermost paths that name themselves the article, by how clearly they do.
+    named = paths_of.where(F.col("clear") > 0).select("host", "path", "clear")
+    above = up.where((F.col("clear") > 0) & (F.col("above") != F.col("path"))).select("host", "path", "clear", "above")
+    inner = above.join(named.withColumnRenamed("path", "above"), ["host", "above", "clear"], "left_semi")
+    outer = named.join(inner, ["host", "path", "clear"], "left_anti").join(below, ["host", "path"])
+    told = outer.groupBy("host", "clear").agg(F.sort_array(F.collect_list("path")).alias("named"), F.sum("weight").alias("weight"))
+    told = told.join(totals, "host").where(F.col("weight") >= 0.25 * F.col("total"))
+    told = told.groupBy("host").agg(F.max_by("named", "clear").alias("named"))
+    # Without them the deepest path that holds most of the changing prose; such paths lie one in the other.
+    heavy = below.join(totals, "host").where((F.col("prose") > 0) & (F.col("changing") >= 0.6 * F.col("prose")))
+    heavy = heavy.where(~F.col("path").rlike(r"/(p|h[1-6])([./]|$)"))
+    best = heavy.groupBy("host").agg(F.max_by("path", F.size(F.split("path", "/"))).alias("best"))
+    fixed = paths_of.where("fixed").groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("template"))
+    made = totals.join(told, "host", "left").join(best, "host", "left").join(fixed, "host", "left")
+    none = F.array().cast("array<string>")
+    found = F.when(F.col("best").isNotNull(), F.array("best")).otherwise(none)
+    return made.select(
+        "host", F.coalesce("named", found).alias("main"), F.when(F.col("named").isNull(), F.coalesce("template", none)).otherwise(none).alias("template")
+    )
 
 
 def decisions(reduced: DataFrame) -> DataFrame:
     """`(host, wrapper, main, template)`, one row per host."""
+    reduced = cut_lineage(_trimmed(reduced))
     streams = reduced.where(F.col("kind") == 0).select("host", F.col("name").alias("wrapper"))
     wrappers = infer_wrappers(cut_lineage(streams))
-    constant = (F.col("least") == F.col("most")).alias("constant")
-    sums = reduced.where(F.col("kind") == 1).select("host", F.struct("name", "pages", "chars", "linked", constant).alias("sums"))
-    # The paths of a host are those of its templates, not of its pages.
-    sums = sums.groupBy("host").agg(F.sort_array(F.collect_list("sums")).alias("sums"))
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for wrapper, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                made.append(decide(json.loads(wrapper), [tuple(r.values()) for r in rows or []]))
-            arrays = [batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.list_(pa.string())), pa.array([m[1] for m in made], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["host", "wrapper", "main", "template"])
-
-    joined = wrappers.join(sums, "host", "left")
-    return joined.mapInArrow(over, "host string, wrapper string, main array<string>, template array<string>")
-
-
-def main_text(source: str | None, main: list[str], template: list[str]) -> str:
-    """The article's blocks, joined by an empty line."""
+    sums = reduced.where(F.col("kind") == 1).select("*", F.substring("name", 1, 1).cast("int").alias("clear"), F.expr("substring(name, 2)").alias("path"))
+    sums = sums.groupBy("host", "path").agg(
+        F.max("clear").alias("clear"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
+        F.min("least").alias("least"), F.max("most").alias("most"), F.size(F.array_distinct(F.flatten(F.collect_set("seen")))).alias("pages"),
+    )
+    fixed = (F.col("pages") >= SHARED) & (F.col("least") == F.col("most")) & (F.col("chars") > 0)
+    decided = decide(cut_lineage(sums.select("host", "path", "clear", "chars", "linked", fixed.alias("fixed"))))
+    return wrappers.join(decided, "host", "left")
+
+
+def main_text(source: str | None, main: list[str], template: list[str], known: list[str] | None = None) -> str:
+    """The article's blocks, joined by an empty line. `known` are the names that paths hold, all if None."""
     root = parse(source)
+    held = None if known is None else set(known)
     kept = holders(root)
     wanted, dropped = set(main), set(template)
     work: list[tuple[str, Node]] = [("", root)]
@@ -377,7 +434,8 @@ def main_text(source: str | None, main: list[str], template: list[str]) -> str:
             continue
         for c in reversed(node.children):
             if isinstance(c, Node) and not is_aside(c, kept, False):
-                work.append((f"{path}/{c.signature}" if c.tag in BLOCKS else path, c))
+                signature = c.signature if held is None else trimmed(c.signature, held)
+                work.append((f"{path}/{signature}" if c.tag in BLOCKS else path, c))
     if not chosen:
         # A page unlike the others of its host: by its own words.
         named = [(rank(n.tag, n.names, n.role), n) for n in walk(root)]
@@ -410,9 +468,11 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html") -> DataFra
     host = free_name(pages, "_host")
     hosted = pages.withColumn(host, host_of(F.col(url)))
     reduced = cut_lineage(_reduced(hosted.select(F.col(host).alias("host"), F.col(source).alias("html"))))
-    names = [free_name(hosted, n) for n in ("_main", "_template")]
-    decided = cut_lineage(decisions(reduced).select(F.col("host").alias(host), F.col("main").alias(names[0]), F.col("template").alias(names[1])))
-    size = decided.select(F.sum(F.length(host) + F.length(F.array_join(names[0], "")) + F.length(F.array_join(names[1], "")) + 64)).first()[0] or 0
+    names = [free_name(hosted, n) for n in ("_main", "_template", "_known")]
+    decided = decisions(reduced).join(known_names(reduced), "host", "left")
+    decided = cut_lineage(decided.select(F.col("host").alias(host), *[F.col(c).alias(n) for c, n in zip(("main", "template", "known"), names, strict=True)]))
+    letters = [F.coalesce(F.length(F.array_join(n, " ")), F.lit(0)) for n in names]
+    size = decided.select(F.sum(F.length(host) + letters[0] + letters[1] + letters[2] + 64)).first()[0] or 0
     joined = hosted.join(F.broadcast(decided) if size <= SMALL else decided, host, "left")
     result = free_name(pages, "text")
     schema = T.StructType([*pages.schema.fields, T.StructField(result, T.StringType())])
@@ -422,8 +482,8 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html") -> DataFra
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in portions(whole, place):
-                columns = [batch.column(i).to_pylist() for i in (place, width, width + 1)]
-                made = [main_text(h, m or [], t or []) for h, m, t in zip(*columns, strict=True)]
+                columns = [batch.column(i).to_pylist() for i in (place, width, width + 1, width + 2)]
+                made = [main_text(h, m or [], t or [], k or []) for h, m, t, k in zip(*columns, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(made, pa.string())], names=[*batch.schema.names[:width], result])
 
     return joined.select(*order).mapInArrow(over, schema)

@@ -59,7 +59,7 @@ def _node(tag: str, attributes: str) -> Node:
         value = html.unescape(m[2] or m[3] or m[4] or "")
         if key in ("class", "id"):
             # Numbers tell one page from the next, not one part of a page from another.
-            names += [n for n in (re.sub(r"\d+", "", v) for v in value.split()) if n]
+            names += [n for n in (re.sub(r"\d+", "", v).replace(".", "-").replace("/", "-") for v in value.split()) if n]
         elif key in ("role", "itemprop"):
             role = value.lower()
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):

@@ -206,3 +206,20 @@ def test_constant_text_goes_without_the_blocks_in_it(spark):
     page = "<body><table><tr><td class=q>What is {0}?</td><td class=a>Answer: <p>{0} it is</p></td></tr></table></body>"
     words = ("one", "two", "three", "four")
     assert extracted(spark, [page.format(w) for w in words]) == [f"What is {w}?\n\n{w} it is" for w in words]
+
+
+def test_names_of_one_page_are_no_part_of_paths(spark):
+    draw = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def page():
+        ids = ["".join(draw.choice(letters) for _ in range(12)) for _ in range(4)]
+        parts = "".join(f"<h2 id='{i}' class='title c-{i}'>{i}</h2><p class='w-1/2'>{i} {i} {i}</p>" for i in ids)
+        return f"<body><div class=page><div class=box>{parts}</div></div></body>", "\n\n".join(f"{i}\n\n{i} {i} {i}" for i in ids)
+
+    rows = [(k, f"http://one.example.org/{k}", *page()) for k in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, want string").repartition(4)
+    assert all(r["text"] == r["want"] for r in hw.extract(df).collect())
+    reduced = hw._reduced(df.select(hw.host_of(df["url"]).alias("host"), "html")).cache()
+    assert hw.known_names(reduced).first()["known"] == ["box", "page", "title", "w--"]
+    assert len(hw.decisions(reduced).first()["wrapper"]) < 400
