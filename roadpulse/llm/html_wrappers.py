@@ -232,6 +232,136 @@ def expression(items: list) -> str:
     return "".join(out)
 
 
+class Level:
+    """The items of a wrapper below one tag, groups dissolved, and the places that a page's tags and texts have among them."""
+
+    def __init__(self, items: list) -> None:
+        self.names: list[str] = []
+        self.segments: list[str] = []
+        self.repeated: list[bool] = []
+        self.items: list[list] = []
+        self.groups: list[tuple[int, int]] = []
+        self.needed = [0]
+        """How many of the items before each are not optional."""
+        self._add(items, False)
+        self.places: dict[str, list[int]] = {}
+        for k, name in enumerate(self.names):
+            self.places.setdefault(name, []).append(k)
+            same = len(self.places[name])
+            self.segments.append(name if same == 1 else f"{name}~{same}")
+        self.inner: dict[int, Level] = {}
+        self.met: dict[tuple[str, ...], list[int | None]] = {}
+
+    def _add(self, items: list, optional: bool) -> None:
+        for name, may, again, inner in items:
+            if name == "()":
+                start = len(self.names)
+                self._add(inner, optional or may)
+                if again:
+                    self.groups.append((start, len(self.names)))
+            else:
+                self.names.append(name)
+                self.repeated.append(again)
+                self.items.append(inner)
+                self.needed.append(self.needed[-1] + (not (optional or may)))
+
+    def below(self, k: int) -> Level:
+        if k not in self.inner:
+            self.inner[k] = Level(self.items[k])
+        return self.inner[k]
+
+    def _step(self, i: int, j: int) -> int | None:
+        """Items that are not optional and are left out between two places; None if j cannot follow i."""
+        if j > i:
+            return self.needed[j] - self.needed[i + 1]
+        if j == i and self.repeated[i]:
+            return 0
+        turns = [self.needed[e] - self.needed[i + 1] + self.needed[j] - self.needed[s] for s, e in self.groups if s <= j and i < e]
+        return min(turns) if turns else None
+
+    def match(self, names: tuple[str, ...]) -> list[int | None]:
+        """The place of each name with the fewest items left out; None for what the wrapper does not have there."""
+        if names in self.met:
+            return self.met[names]
+        states: dict[int, int] = {-1: 0}
+        back: list[dict[int, int] | None] = []
+        for name in names:
+            new: dict[int, int] = {}
+            came: dict[int, int] = {}
+            for j in self.places.get(name, ()):
+                for i, cost in states.items():
+                    step = self._step(i, j)
+                    if step is not None and (j not in new or cost + step < new[j]):
+                        new[j], came[j] = cost + step, i
+            back.append(came or None)
+            states = new or states
+        last = min(states, key=lambda i: (states[i] + self.needed[-1] - self.needed[i + 1], i))
+        out: list[int | None] = []
+        for came in reversed(back):
+            out.append(last if came else None)
+            last = came[last] if came else last
+        out.reverse()
+        if len(self.met) > 2_000:
+            self.met.clear()
+        self.met[names] = out
+        return out
+
+
+@lru_cache(maxsize=500)
+def read_wrapper(wrapper: str) -> Level:
+    return Level(json.loads(wrapper))
+
+
+def tokens(node: Node, held: set[str] | None, kept: set[int], inside: bool) -> list[tuple[str, object, bool]]:
+    """Tags and text slots of a block, as in its stream: name, node or the `(holder, index)` of its strings, whether aside."""
+    out: list[tuple[str, object, bool]] = []
+    work: list[tuple[Node, int, bool]] = [(node, 0, False)]
+    while work:
+        n, k, aside = work.pop()
+        while k < len(n.children):
+            c = n.children[k]
+            k += 1
+            if isinstance(c, str):
+                if c and not c.isspace():
+                    if not (out and out[-1][0] == "#"):
+                        out.append(("#", [], False))
+                    if not aside:
+                        out[-1][1].append((n, k - 1))
+            elif c.tag in BLOCKS:
+                signature = c.signature if held is None else trimmed(c.signature, held)
+                out.append((signature, c, aside or is_aside(c, kept, inside)))
+            else:
+                work.append((n, k, aside))
+                n, k, aside = c, 0, aside or is_aside(c, kept, inside)
+    return out
+
+
+def placed(root: Node, level: Level | None, held: set[str] | None) -> Iterator[tuple[str, Node, list[tuple[str, list]]]]:
+    """Place of every block outside what is aside, and the places and strings of its text slots.
+
+    A place is a path of tags; `~2` is the second item of that name in the wrapper at its level, `~0` is none of them.
+    """
+    kept = holders(root)
+    work: list[tuple[str, Node, Level | None, bool]] = [("", root, level, False)]
+    while work:
+        path, node, level, inside = work.pop()
+        found = tokens(node, held, kept, inside)
+        spots = [None] * len(found) if level is None else level.match(tuple(t[0] for t in found))
+        slots, deeper = [], []
+        for (name, what, aside), k in zip(found, spots, strict=True):
+            place = f"{path}/{name if level is None else f'{name}~0' if k is None else level.segments[k]}"
+            if name == "#":
+                slots.append((place, what))
+            elif not aside:
+                below = None if level is None else NOTHING if k is None else level.below(k)
+                deeper.append((place, what, below, inside or rank(what.tag, what.names, what.role) >= 2))
+        yield path, node, slots
+        work += reversed(deeper)
+
+
+NOTHING = Level([])
+
+
 # --- over all pages ---------------------------------------------------------------------------------------------------------
 
 
@@ -255,8 +385,8 @@ def host_of(url: Column) -> Column:
 
 
 def _reduced(pages: DataFrame) -> DataFrame:
-    """`(host, kind, name, rows, chars, linked, least, most, seen)`: distinct streams (kind 0), the sums of paths (kind 1), and
-    how many pages have a name or are there at all (kind 2, name empty). Sums are own text, text in links, the least and greatest
+    """`(host, kind, name, rows, chars, linked, least, most, seen)`: distinct streams (kind 0), how many
+    pages have a name or are there at all (kind 2, name empty), and in `_sums` places (kind 1). Sums are own text, text in links, the least and greatest
     hash of the text, and up to `SHARED` different pages. Pages with the same texts are one page, so that copies do not make their
     article the site's."""
 
@@ -268,16 +398,7 @@ def _reduced(pages: DataFrame) -> DataFrame:
                     root = parse(source)
                     name = json.dumps(stream(root), separators=(",", ":"))
                     held.setdefault((host, 0, name), [0, 0, 0, 0, 0, set()])
-                    texts = [(path, clear, node.linked, own_text(node)) for path, node, clear in _spans(root)]
-                    page = xxhash.xxh3_64_intdigest("\n".join(t[3] for t in texts)) >> 1
-                    for path, clear, linked, text in texts:
-                        h = xxhash.xxh3_64_intdigest(text) >> 1
-                        sums = held.setdefault((host, 1, f"{clear}{path}"), [0, 0, 0, h, h, set()])
-                        sums[1] += len(text)
-                        sums[2] += linked
-                        sums[3], sums[4] = min(sums[3], h), max(sums[4], h)
-                        if len(sums[5]) < SHARED:
-                            sums[5].add(page)
+                    page = xxhash.xxh3_64_intdigest("\n".join(own_text(node) for _, node, _ in _spans(root))) >> 1
                     for name in {"", *[x for n in walk(root) if n.tag in BLOCKS for x in n.names]}:
                         sums = held.setdefault((host, 2, name), [0, 0, 0, 0, 0, set()])
                         sums[0] += 1
@@ -324,23 +445,18 @@ def known_names(reduced: DataFrame) -> DataFrame:
 
 
 def _trimmed(reduced: DataFrame) -> DataFrame:
-    """Streams and sums of `reduced` with the known names alone."""
+    """Streams of `reduced` with the known names alone."""
     known = cut_lineage(known_names(reduced))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for kind, name, names in zip(*[batch.column(i).to_pylist() for i in (1, 2, 9)], strict=True):
-                held = set(names or [])
-                if kind == 0:
-                    made.append(json.dumps(trim(json.loads(name), held), separators=(",", ":")))
-                else:
-                    made.append("/".join(trimmed(part, held) for part in name.split("/")))
+            found = zip(batch.column(2).to_pylist(), batch.column(9).to_pylist(), strict=True)
+            made = [json.dumps(trim(json.loads(name), set(names or [])), separators=(",", ":")) for name, names in found]
             columns = [*batch.columns[:2], pa.array(made, pa.string()), *batch.columns[3:9]]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:9])
 
     size = known.select(F.sum(F.length(F.array_join("known", " ")) + 64)).first()[0] or 0
-    rows = reduced.where(F.col("kind") < 2).join(F.broadcast(known) if size <= SMALL else known, "host", "left")
+    rows = reduced.where(F.col("kind") == 0).join(F.broadcast(known) if size <= SMALL else known, "host", "left")
     order = ["host", "kind", "name", "rows", "chars", "linked", "least", "most", "seen", "known"]
     return _summed(rows.select(*order).mapInArrow(over, REDUCED))
 
@@ -368,8 +484,8 @@ def infer_wrappers(streams: DataFrame) -> DataFrame:
 
 
 def decide(paths_of: DataFrame) -> DataFrame:
-    """`(host, main, template)` from `(host, path, clear, chars, linked, fixed)`, one row per path: paths of the article, and of
-    text that never changes. Hosts without text may be missing."""
+    """`(host, main, template)` from `(host, path, clear, chars, linked, fixed)`, one row per place: places of the article, and of
+    text slots that never change. Hosts without text may be missing."""
     weight = F.col("chars") - F.col("linked")
     changing = F.when(F.col("fixed"), 0).otherwise(weight)
     parts = F.split("path", "/")
@@ -388,7 +504,7 @@ def decide(paths_of: DataFrame) -> DataFrame:
     told = told.groupBy("host").agg(F.max_by("named", "clear").alias("named"))
     # Without them the deepest path that holds most of the changing prose; such paths lie one in the other.
     heavy = below.join(totals, "host").where((F.col("prose") > 0) & (F.col("changing") >= 0.6 * F.col("prose")))
-    heavy = heavy.where(~F.col("path").rlike(r"/(p|h[1-6])([./]|$)"))
+    heavy = heavy.where(~F.col("path").rlike(r"/(#|(p|h[1-6])([.~/]|$))"))
     best = heavy.groupBy("host").agg(F.max_by("path", F.size(F.split("path", "/"))).alias("best"))
     fixed = paths_of.where("fixed").groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("template"))
     made = totals.join(told, "host", "left").join(best, "host", "left").join(fixed, "host", "left")
@@ -400,42 +516,78 @@ def decide(paths_of: DataFrame) -> DataFrame:
 
 
 def decisions(reduced: DataFrame) -> DataFrame:
-    """`(host, wrapper, main, template)`, one row per host."""
-    reduced = cut_lineage(_trimmed(reduced))
-    streams = reduced.where(F.col("kind") == 0).select("host", F.col("name").alias("wrapper"))
-    wrappers = infer_wrappers(cut_lineage(streams))
-    sums = reduced.where(F.col("kind") == 1).select("*", F.substring("name", 1, 1).cast("int").alias("clear"), F.expr("substring(name, 2)").alias("path"))
+    """`(host, wrapper, known)`, one row per host."""
+    streams = _trimmed(reduced).select("host", F.col("name").alias("wrapper"))
+    return infer_wrappers(cut_lineage(streams)).join(known_names(reduced), "host", "left")
+
+
+def _told(pages: DataFrame, hosts: DataFrame, host: str, *columns: str) -> DataFrame:
+    """`pages` with the columns of their hosts."""
+    letters = [F.coalesce(F.length(F.array_join(c, " ") if kind.startswith("array") else F.col(c)), F.lit(0)) for c, kind in hosts.dtypes]
+    size = hosts.select(F.sum(sum(letters, F.lit(64)))).first()[0] or 0
+    return pages.join(F.broadcast(hosts) if size <= SMALL else hosts, host, "left").select(*columns)
+
+
+def _sums(pages: DataFrame) -> DataFrame:
+    """Sums of places over `(host, html, wrapper, known)`, in the form of `_reduced`."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int, str], list] = {}
+        for whole in batches:
+            for batch in portions(whole, 1):
+                for host, source, wrapper, known in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    found: list[tuple[str, int, str]] = []
+                    for place, node, slots in placed(parse(source), read_wrapper(wrapper), set(known or [])):
+                        texts = [" ".join("".join(n.children[k] for n, k in strings).split()) for _, strings in slots]
+                        found.append((f"{rank(node.tag, node.names, node.role)}{place}", 0 if slots else node.linked, ""))
+                        # Text in links is counted once per block.
+                        found += [(f"0{s[0]}", 0 if k else node.linked, t) for k, (s, t) in enumerate(zip(slots, texts, strict=True))]
+                    page = xxhash.xxh3_64_intdigest("\n".join(f[2] for f in found)) >> 1
+                    for name, linked, text in found:
+                        h = xxhash.xxh3_64_intdigest(text) >> 1
+                        sums = held.setdefault((host, 1, name), [0, 0, 0, h, h, set()])
+                        sums[1] += len(text)
+                        sums[2] += linked
+                        sums[3], sums[4] = min(sums[3], h), max(sums[4], h)
+                        if len(sums[5]) < SHARED:
+                            sums[5].add(page)
+                if len(held) > 50_000:
+                    yield _rows(held)
+                    held = {}
+        yield _rows(held)
+
+    return _summed(pages.mapInArrow(over, REDUCED))
+
+
+def articles(sums: DataFrame) -> DataFrame:
+    """`(host, main, template)` from the sums of the places, see `decide`."""
+    sums = sums.select("*", F.substring("name", 1, 1).cast("int").alias("clear"), F.expr("substring(name, 2)").alias("path")).where("path != ''")
     sums = sums.groupBy("host", "path").agg(
         F.max("clear").alias("clear"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
         F.min("least").alias("least"), F.max("most").alias("most"), F.size(F.array_distinct(F.flatten(F.collect_set("seen")))).alias("pages"),
     )
     fixed = (F.col("pages") >= SHARED) & (F.col("least") == F.col("most")) & (F.col("chars") > 0)
-    decided = decide(cut_lineage(sums.select("host", "path", "clear", "chars", "linked", fixed.alias("fixed"))))
-    return wrappers.join(decided, "host", "left")
+    return decide(cut_lineage(sums.select("host", "path", "clear", "chars", "linked", fixed.alias("fixed"))))
 
 
-def main_text(source: str | None, main: list[str], template: list[str], known: list[str] | None = None) -> str:
-    """The article's blocks, joined by an empty line. `known` are the names that paths hold, all if None."""
+def main_text(source: str | None, main: list[str], template: list[str], wrapper: str | None = None, known: list[str] | None = None) -> str:
+    """The article's blocks, joined by an empty line: the places `main` of the wrapper without its text slots `template`. `known`
+    are the names that places hold, all if None; without a wrapper, places are paths."""
     root = parse(source)
-    held = None if known is None else set(known)
     kept = holders(root)
     wanted, dropped = set(main), set(template)
-    work: list[tuple[str, Node]] = [("", root)]
     chosen: list[Node] = []
-    constant: set[int] = set()
-    left: set[int] = set()
-    while work:
-        path, node = work.pop()
-        if path in wanted:
+    fixed: list[tuple[Node, int]] = []
+    within: list[str] = []
+    for path, node, slots in placed(root, read_wrapper(wrapper) if wrapper else None, None if known is None else set(known)):
+        if path in wanted and not any(path.startswith(f"{w}/") for w in within):
             chosen.append(node)
-        if path in dropped:
-            constant.add(id(node))
-        if path in wanted and not dropped:
-            continue
-        for c in reversed(node.children):
-            if isinstance(c, Node) and not is_aside(c, kept, False):
-                signature = c.signature if held is None else trimmed(c.signature, held)
-                work.append((f"{path}/{signature}" if c.tag in BLOCKS else path, c))
+            within.append(path)
+        fixed += [x for place, strings in slots if place in dropped for x in strings]
+    if chosen:
+        for holder, k in fixed:
+            holder.children[k] = " "
+    left: set[int] = set()
     if not chosen:
         # A page unlike the others of its host: by its own words.
         named = [(rank(n.tag, n.names, n.role), n) for n in walk(root)]
@@ -452,10 +604,7 @@ def main_text(source: str | None, main: list[str], template: list[str], known: l
     def skip(node: Node) -> bool:
         return id(node) in left or is_aside(node, kept, id(node) in inside)
 
-    def mute(node: Node) -> bool:
-        return id(node) in constant
-
-    return "\n\n".join(b for top in chosen for b in blocks(top, lambda n, top=top: n is not top and skip(n), mute))
+    return "\n\n".join(b for top in chosen for b in blocks(top, lambda n, top=top: n is not top and skip(n)))
 
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
@@ -468,22 +617,20 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html") -> DataFra
     host = free_name(pages, "_host")
     hosted = pages.withColumn(host, host_of(F.col(url)))
     reduced = cut_lineage(_reduced(hosted.select(F.col(host).alias("host"), F.col(source).alias("html"))))
-    names = [free_name(hosted, n) for n in ("_main", "_template", "_known")]
-    decided = decisions(reduced).join(known_names(reduced), "host", "left")
-    decided = cut_lineage(decided.select(F.col("host").alias(host), *[F.col(c).alias(n) for c, n in zip(("main", "template", "known"), names, strict=True)]))
-    letters = [F.coalesce(F.length(F.array_join(n, " ")), F.lit(0)) for n in names]
-    size = decided.select(F.sum(F.length(host) + letters[0] + letters[1] + letters[2] + 64)).first()[0] or 0
-    joined = hosted.join(F.broadcast(decided) if size <= SMALL else decided, host, "left")
+    decided = cut_lineage(decisions(reduced))
+    met = _told(hosted.select(F.col(host).alias("host"), F.col(source).alias("html")), decided, "host", "host", "html", "wrapper", "known")
+    names = {n: free_name(hosted, f"_{n}") for n in ("main", "template", "wrapper", "known")}
+    decided = decided.join(articles(cut_lineage(_sums(met))), "host", "left")
+    decided = cut_lineage(decided.select(F.col("host").alias(host), *[F.col(c).alias(n) for c, n in names.items()]))
     result = free_name(pages, "text")
     schema = T.StructType([*pages.schema.fields, T.StructField(result, T.StringType())])
     width, place = len(pages.columns), pages.columns.index(source)
-    order = [*[F.col(f"`{c}`") for c in pages.columns], *[F.col(n) for n in names]]
-
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in portions(whole, place):
-                columns = [batch.column(i).to_pylist() for i in (place, width, width + 1, width + 2)]
-                made = [main_text(h, m or [], t or [], k or []) for h, m, t, k in zip(*columns, strict=True)]
+                columns = [batch.column(i).to_pylist() for i in (place, width, width + 1, width + 2, width + 3)]
+                made = [main_text(h, m or [], t or [], w, k or []) for h, m, t, w, k in zip(*columns, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(made, pa.string())], names=[*batch.schema.names[:width], result])
 
-    return joined.select(*order).mapInArrow(over, schema)
+    columns = [*[f"`{c}`" for c in pages.columns], *names.values()]
+    return _told(hosted, decided, host, *columns).mapInArrow(over, schema)

@@ -172,9 +172,9 @@ def own_text(node: Node) -> str:
     return " ".join("".join(out).split())
 
 
-def blocks(node: Node, skip: object, mute: object = lambda n: False) -> list[str]:
-    """Texts of the blocks below `node` in page order, less what `skip` (a function of a node) leaves out, and less the own text
-    of blocks that `mute` names; white space inside a block is one space."""
+def blocks(node: Node, skip: object) -> list[str]:
+    """Texts of the blocks below `node` in page order, less what `skip` (a function of a node) leaves out; white space inside a
+    block is one space."""
     out: list[str] = []
     held: list[str] = []
 
@@ -187,17 +187,14 @@ def blocks(node: Node, skip: object, mute: object = lambda n: False) -> list[str
     # An own stack, because a page may nest deeper than Python calls may.
     work: list = [iter([node])]
     open_blocks: list[bool] = []
-    muted: list[bool] = [False]
     while work:
         child = next(work[-1], None)
         if child is None:
             work.pop()
-            muted.pop()
             if open_blocks and open_blocks.pop():
                 flush()
         elif isinstance(child, str):
-            if not muted[-1]:
-                held.append(child)
+            held.append(child)
         elif skip(child):
             if child.tag in BLOCKS:
                 flush()
@@ -206,7 +203,6 @@ def blocks(node: Node, skip: object, mute: object = lambda n: False) -> list[str
             if block:
                 flush()
             open_blocks.append(block)
-            muted.append(mute(child) if block else muted[-1])
             work.append(iter(child.children))
     flush()
     return out

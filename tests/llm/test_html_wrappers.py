@@ -223,3 +223,20 @@ def test_names_of_one_page_are_no_part_of_paths(spark):
     reduced = hw._reduced(df.select(hw.host_of(df["url"]).alias("host"), "html")).cache()
     assert hw.known_names(reduced).first()["known"] == ["box", "page", "title", "w--"]
     assert len(hw.decisions(reduced).first()["wrapper"]) < 400
+
+
+def test_items_of_the_wrapper_tell_like_paths_apart(spark):
+    words = "ash birch cedar elm fir hazel".split()
+    own = [f"All about {w}: " + " ".join([w] * 30) for w in words]
+    page = "<body><div><p>Read our rules</p></div><h1>{0}</h1><div><p>{0}</p>Tail of {0}<hr>Read our rules</div><ul><li>x</ul><div><p>Read our rules</p></div></body>"
+    made = extracted(spark, [page.format(o) for o in own])
+    assert made == [f"{o}\n\nTail of {o}" for o in own]
+
+
+def test_names_meet_the_items_of_a_wrapper():
+    items = hw.stream(parse("<h1>a</h1><dl><dt>a<dd>b<dt>c<dd>d</dl><p>x</p><p>y</p><h1>b</h1>"))
+    level = hw.Level(items)
+    assert level.match(("h1", "dl", "p", "p", "p", "h1")) == [0, 1, 2, 2, 2, 3]
+    assert level.match(("dl", "table", "p", "h1")) == [1, None, 2, 3]
+    assert level.below(1).match(("dt", "dd", "dt", "dd", "dt")) == [0, 1, 0, 1, 0]
+    assert level.segments == ["h1", "dl", "p", "h1~2"]
