@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import byte_bpe, chat, decontamination, html_wrappers, language_id, neighbours, ngram_join, packing, toxicity, warc
+from roadpulse.llm import byte_bpe, chat, decontamination, html_wrappers, language_id, neighbours, ngram_join, packing, spelling, toxicity, warc
 from roadpulse.llm.common import crc_part, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,3 +137,12 @@ ORACLE["op9_chat_formatting"] = chat.ORACLE
 def op10_neighbours(spark: SparkSession, d: str) -> DataFrame:
     vectors = read(spark, d, "embeddings")
     return neighbours.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query
+def op13_spelling(spark: SparkSession, d: str) -> DataFrame:
+    found = spelling.runs(read(spark, d, "documents"))
+    return spelling.variants(spelling.vocabulary(found.select(spelling.slipped(F.col("id"), F.col("run")).alias("word"))))
+
+
+ORACLE["op13_spelling"] = spelling.ORACLE
