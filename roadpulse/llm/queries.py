@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import byte_bpe, chat, decontamination, html_wrappers, language_id, neighbours, ngram_join, packing, spelling, toxicity, warc
+from roadpulse.llm import byte_bpe, chat, decontamination, html_wrappers, language_id, neighbours, ngram_join, packing, spelling, topk, toxicity, warc
 from roadpulse.llm.common import crc_part, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,12 @@ def op13_spelling(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLE["op13_spelling"] = spelling.ORACLE
+
+
+@query
+def op11_topk(spark: SparkSession, d: str) -> DataFrame:
+    vectors = read(spark, d, "embeddings")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+ORACLE["op11_topk"] = topk.ORACLE
