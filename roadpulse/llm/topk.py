@@ -57,10 +57,10 @@ def search(vectors: DataFrame, queries: DataFrame, identifier: str = "vec_id", v
     """`(query_id, rank, <identifier>, score)`: the `nearest` rows of `vectors` with the largest inner product of whole numbers
     floor(scale * x), for each row of `queries`; equal scores go to the smaller id.
 
-    A row is no candidate of a query with its id, and vectors of another length are none. Rows whose id or vector is null,
-    whose vector is empty, holds a null or non-finite component or is too long (`SQUARES`) take no part. Repeated rows count once; an
-    id with several vectors competes with the best of them and asks with each. A query without candidates has no row;
-    empty tables give no rows. Other columns are not read.
+    A row is no candidate of itself, and vectors of another length are none. Rows whose id or vector is null, whose vector is
+    empty, holds a null or non-finite component or is too long (`SQUARES`) take no part. Rows that agree in id and whole numbers
+    count once; those that agree in the id alone are different rows, each with a search and ranks of its own. A query
+    without candidates has no row; empty tables give no rows. Other columns are not read.
     """
     keep = nearest + 1
     held = cut_lineage(distinct_vectors(quantised(vectors, identifier, vector, scale), keep))
@@ -69,10 +69,12 @@ def search(vectors: DataFrame, queries: DataFrame, identifier: str = "vec_id", v
     best = totals(held.select("rep", "v"), asked, keep, lists)
     top = Window.partitionBy("q").orderBy(F.desc("total"), "rep")
     best = best.withColumn("place", F.row_number().over(top)).where(F.col("place") <= keep)
-    named = best.join(held.select("rep", "ids"), "rep").select("q", "total", F.explode("ids").alias("candidate"))
-    same = asking.join(asked.select("v", F.col("rep").alias("q")), "v").select(F.col("id").alias("query_id"), "q")
-    met = same.join(named, "q").where(F.col("query_id") != F.col("candidate")).groupBy("query_id", "candidate").agg(F.max("total").alias("score"))
-    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate")
+    named = best.join(held.select("rep", "ids"), "rep").select("q", "rep", F.col("total").alias("score"), F.explode("ids").alias("candidate"))
+    # Every row with a query's vector asks for itself, and is left out where the vector found is its own.
+    own = asked.select("v", F.col("rep").alias("q")).join(held.select("v", F.col("rep").alias("own")), "v", "left")
+    same = asking.join(own, "v").select(F.col("id").alias("query_id"), "q", "own")
+    met = same.join(named, "q").where((F.col("query_id") != F.col("candidate")) | ~F.col("rep").eqNullSafe(F.col("own")))
+    last = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "candidate")
     ranked = met.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= nearest)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("candidate").alias(identifier), "score")
 
@@ -239,8 +241,8 @@ WITH e AS (
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, max(CAST(list_inner_product(q.v, c.v) AS BIGINT)) AS score
-  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0 GROUP BY ALL)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  SELECT q.vec_id AS query_id, q.v, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM e q JOIN e c ON (q.vec_id <> c.vec_id OR q.v <> c.v) AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
