@@ -63,13 +63,15 @@ def search(vectors: DataFrame, queries: DataFrame, identifier: str = "vec_id", v
     without candidates has no row; empty tables give no rows. Other columns are not read.
     """
     keep = nearest + 1
-    held = cut_lineage(distinct_vectors(quantised(vectors, identifier, vector, scale), keep))
+    # Numbers given once, in the tables as written: ids need not tell vectors apart.
+    number = F.monotonically_increasing_id().alias("rep")
+    held = cut_lineage(distinct_vectors(quantised(vectors, identifier, vector, scale), keep).select(number, "v", "ids"))
     asking = quantised(queries, identifier, vector, scale).dropDuplicates(["id", "v"])
-    asked = cut_lineage(asking.groupBy("v").agg(F.min("id").alias("rep")))
-    best = totals(held.select("rep", "v"), asked, keep, lists)
-    top = Window.partitionBy("q").orderBy(F.desc("total"), "rep")
-    best = best.withColumn("place", F.row_number().over(top)).where(F.col("place") <= keep)
-    named = best.join(held.select("rep", "ids"), "rep").select("q", "rep", F.col("total").alias("score"), F.explode("ids").alias("candidate"))
+    asked = cut_lineage(asking.select("v").distinct().select(number, "v"))
+    found = totals(held.select("rep", "v"), asked, keep, lists).join(held.select("rep", "ids"), "rep")
+    top = Window.partitionBy("q").orderBy(F.desc("total"), F.col("ids")[0])
+    best = found.withColumn("place", F.row_number().over(top)).where(F.col("place") <= keep)
+    named = best.select("q", "rep", F.col("total").alias("score"), F.explode("ids").alias("candidate"))
     # Every row with a query's vector asks for itself, and is left out where the vector found is its own.
     own = asked.select("v", F.col("rep").alias("q")).join(held.select("v", F.col("rep").alias("own")), "v", "left")
     same = asking.join(own, "v").select(F.col("id").alias("query_id"), "q", "own")
@@ -82,7 +84,7 @@ def search(vectors: DataFrame, queries: DataFrame, identifier: str = "vec_id", v
 def totals(held: DataFrame, asked: DataFrame, keep: int, lists: int = LISTS) -> DataFrame:
     """`(q, rep, total)`: for each query the vectors that can be among its `keep` best, with their whole scores.
 
-    `held` and `asked` have different vectors `v` under different ids `rep`. All with the `keep` largest scores are there.
+    `held` and `asked` have different vectors `v` under different numbers `rep`. All with the `keep` largest scores are there.
     """
     kind = held.schema["rep"].dataType.simpleString()
     lists_of = _Lists(held, asked, lists, kind)
