@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import byte_bpe, chat, decontamination, html_wrappers, language_id, neighbours, ngram_join, packing, spelling, topk, toxicity, warc
+from roadpulse.llm import byte_bpe, chat, decontamination, html_wrappers, language_id, neighbours, ngram_join, packing, spelling, topk, toxicity, warc, whitening
 from roadpulse.llm.common import crc_part, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,3 +155,8 @@ def op11_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 ORACLE["op11_topk"] = topk.ORACLE
+
+
+@query
+def op12_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(read(spark, d, "embeddings"))
