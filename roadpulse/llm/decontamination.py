@@ -129,20 +129,24 @@ def _arrow_kind(df: DataFrame) -> pa.DataType:
 
 
 def test_windows(items: DataFrame, identifier: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """`(item, start, terms)`: every `size` consecutive words of an item; an item of fewer, but not none, is one window."""
+    """`(number, item, start, terms)`: every `size` consecutive words of an item; an item of fewer, but not none, is one
+    window. `number` tells items apart, as ids may repeat or be null."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for number, key, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 found = words(t)
                 starts = list(range(max(1, len(found) - size + 1))) if found else []
                 for i in range(0, len(starts), 10_000):
                     own = starts[i : i + 10_000]
-                    arrays = [pa.array([key] * len(own), pa.string()), pa.array(own, pa.int64()), pa.array([found[s : s + size] for s in own], pa.list_(pa.binary()))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["item", "start", "terms"])
+                    arrays = [
+                        pa.array([number] * len(own), pa.int64()), pa.array([key] * len(own), pa.string()), pa.array(own, pa.int64()),
+                        pa.array([found[s : s + size] for s in own], pa.list_(pa.binary())),
+                    ]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["number", "item", "start", "terms"])
 
-    taken = items.select(F.col(identifier).cast("string"), F.col(text))
-    return taken.mapInArrow(cut, "item string, start long, terms array<binary>")
+    taken = items.select(F.monotonically_increasing_id(), F.col(identifier).cast("string"), F.col(text))
+    return taken.mapInArrow(cut, "number long, item string, start long, terms array<binary>")
 
 
 test_windows.__test__ = False
@@ -214,8 +218,8 @@ def search(index: Index, windows: DataFrame, slop: int | None = None) -> DataFra
     spark = windows.sparkSession
     windows = cut_lineage(windows)
     chunks = max(1, -(-windows.count() // CHUNK_WINDOWS))
-    chunk = F.pmod(F.hash("item", F.floor(F.col("start") / 1000)), F.lit(chunks)).alias("chunk")
-    numbered = windows.select(chunk, "item", "start", "terms")
+    chunk = F.pmod(F.hash("number", F.floor(F.col("start") / 1000)), F.lit(chunks)).alias("chunk")
+    numbered = windows.select(chunk, "number", "start", "terms")
     wanted = numbered.select("chunk", F.explode("terms").alias("term")).distinct()
     terms = wanted.select("term").distinct()
     common = index.postings.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_all"))
@@ -225,14 +229,14 @@ def search(index: Index, windows: DataFrame, slop: int | None = None) -> DataFra
     starts = index.postings.where(F.length("term") == 0).select("part", "block", every, "term", F.lit(0).cast("long").alias("n_all"), "places")
     lists = index.postings.join(common, "term").select("part", "block", "chunk", "term", "n_all", "places").unionByName(starts)
     # A window goes to the blocks that hold its rarest term; a term that no document holds rules its window out.
-    spread = numbered.select("chunk", "item", "start", "terms", F.posexplode("terms").alias("k", "term"))
+    spread = numbered.select("chunk", "number", "start", "terms", F.posexplode("terms").alias("k", "term"))
     known = spread.join(common.select("chunk", "term", "n_all"), ["chunk", "term"], "left")
-    rarest = known.groupBy("chunk", "item", "start", "terms").agg(
+    rarest = known.groupBy("chunk", "number", "start", "terms").agg(
         F.min(F.struct(F.coalesce("n_all", F.lit(0)).alias("n"), "term")).alias("least")
     )
-    rarest = rarest.where(F.col("least.n") > 0).select("chunk", "item", "start", "terms", F.col("least.term").alias("term"))
+    rarest = rarest.where(F.col("least.n") > 0).select("chunk", "number", "start", "terms", F.col("least.term").alias("term"))
     holding = index.postings.select(F.col("part").alias("in_part"), F.col("block").alias("in_block"), "term")
-    asked = holding.join(rarest, "term").select("in_part", "in_block", F.col("chunk").alias("in_chunk"), "item", "start", "terms")
+    asked = holding.join(rarest, "term").select("in_part", "in_block", F.col("chunk").alias("in_chunk"), "number", "start", "terms")
     keys, asked_keys, size = ["part", "block", "chunk"], ["in_part", "in_block", "in_chunk"], tasks(spark)
     both = lists.repartition(size, *keys).groupBy(*keys).cogroup(asked.repartition(size, *asked_keys).groupBy(*asked_keys))
 
@@ -243,8 +247,8 @@ def search(index: Index, windows: DataFrame, slop: int | None = None) -> DataFra
             packed = dict(zip(own["term"], own["places"], strict=True))
             lists = _Lists(packed)
             heads = lists[STARTS]
-            for item, group in asking.groupby("item", sort=False, dropna=False):
-                found, sizes = [], set()
+            for number, group in asking.groupby("number", sort=False):
+                found, size = [], len(group["terms"].iloc[0])
                 for whole in group["terms"]:
                     terms = list(whole)
                     order = sorted(range(len(terms)), key=lambda k: (rank.get(terms[k], 0), k))
@@ -252,21 +256,22 @@ def search(index: Index, windows: DataFrame, slop: int | None = None) -> DataFra
                         continue
                     if slop is None:
                         found.append(phrase(terms, order, lists))
-                        sizes.add(len(terms))
                     else:
                         found += near(terms, order, lists, len(terms) + slop)
                 if slop is None:
-                    spans = _runs(np.unique(np.concatenate(found)), max(sizes)) if found else []
+                    spans = _runs(np.unique(np.concatenate(found)), size) if found else []
                 else:
                     spans = sorted(set(found))
                 for a, b in spans:
                     slot = int(np.searchsorted(heads, a, side="right")) - 1
                     if slot + 1 < len(heads) and b > heads[slot + 1]:
                         continue  # words of two documents
-                    out.append((int(own["part"].iloc[0]), int(own["block"].iloc[0]), slot, item, a - int(heads[slot]), b - int(heads[slot])))
-        return pd.DataFrame(out, columns=["part", "block", "slot", "item", "first", "last"])
+                    out.append((int(own["part"].iloc[0]), int(own["block"].iloc[0]), slot, number, a - int(heads[slot]), b - int(heads[slot])))
+        return pd.DataFrame(out, columns=["part", "block", "slot", "number", "first", "last"])
 
-    return both.applyInPandas(one, "part int, block int, slot int, item string, first long, last long")
+    found = both.applyInPandas(one, "part int, block int, slot int, number long, first long, last long")
+    named = windows.select("number", "item").distinct()
+    return found.join(named, "number").select("part", "block", "slot", "item", "first", "last")
 
 
 class _Lists(dict):

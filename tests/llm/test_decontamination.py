@@ -17,7 +17,7 @@ def brute(docs, items, size=de.WINDOW):
                 for i in range(len(found) - len(w) + 1):
                     if found[i : i + len(w)] == w:
                         hit.update(range(i, i + len(w)))
-                        named.add(str(item))
+                        named |= {str(item)} - {"None"}
         out.append((len(found), len(hit), sorted(named)))
     return out
 
@@ -47,6 +47,27 @@ def test_against_brute_force(spark, monkeypatch, seed, size, block, chunk):
     assert got == sorted((str(d[0]), *b) for d, b in zip(docs, brute(docs, items, size)))
 
 
+@pytest.mark.parametrize("ids", [["a"], [None], ["a", None, "b"]])
+def test_items_that_share_an_id(spark, ids):
+    """Items of 1 to 30 words under few ids, or none: every one is looked for by its own windows."""
+    draw = random.Random(7)
+    items = [(ids[k % len(ids)], " ".join(f"w{draw.randint(0, 400)}" for _ in range(k))) for k in range(1, 31)]
+    docs = [(k, f"x{k} {t} y{k}") for k, (_, t) in enumerate(items)] + [(100 + k, f"{t} and {u}") for k, ((_, t), (_, u)) in enumerate(zip(items, items[3:]))]
+    docs += [(200, "nothing"), (201, items[2][1]), (202, " ".join(items[20][1].split()[:9]))]
+    made = de.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id string, text string"))
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in made.collect()}
+    want = dict(zip((d for d, _ in docs), brute(docs, items)))
+    assert got == want and want[201][1] == 3 and sum(w[1] > 0 for w in want.values()) >= 57
+    kept = de.reject(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if w[1] == 0}
+
+
+def test_one_item_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "say x y z now")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "x y z")], "item_id string, text string")
+    assert [tuple(r) for r in de.contamination(docs, items).collect()] == [(1, 5, 3, [])]
+
+
 def test_positions_and_ids_of_matches(spark):
     docs = spark.createDataFrame([("x", "zero One two, three four one two three")], "key string, body string")
     items = spark.createDataFrame([("i", "one two three")], "name string, words string")
