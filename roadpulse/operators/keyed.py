@@ -33,7 +33,9 @@ def bounded_points(exact: DataFrame, group: list[str], budget: int = 200_000, bi
     """Points for fitting, a set per key whose size has a bound.
 
     Up to `budget` points a key keeps its exact values. Beyond, temperature and rain go to `bins` quantile steps each,
-    so a key holds at most 24 x 7 x bins x bins points per value of the `group` columns; every row still counts.
+    so a key holds at most 24 x 7 x bins x bins points (172,032 with 32 bins) for each value of the `group` columns, four times
+    that with the four levels; every row still counts. The steps come from sketches, which depend on the order in which parts are
+    merged: above the budget rerun tasks may cut elsewhere within the sketch's accuracy.
     """
     steps = [(i + 0.5) / bins for i in range(bins)]
     sizes = exact.groupBy(*KEYS).agg(
@@ -49,6 +51,15 @@ def bounded_points(exact: DataFrame, group: list[str], budget: int = 200_000, bi
     return sized.groupBy(*KEYS, *group, *FEATURES).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
+def by_size(fitted: DataFrame, points: DataFrame, budget: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of `fitted` of keys with up to `budget` rows in `points`, and the `points` of the other keys, if there are such."""
+    sizes = points.groupBy(*KEYS).agg(F.count("*").alias("_points"))
+    large = sizes.where(F.col("_points") > budget).select(*KEYS)
+    if large.isEmpty():
+        return fitted, None
+    return fitted.join(large, KEYS, "left_anti"), points.join(large, KEYS, "left_semi")
+
+
 def score(
     models: DataFrame,
     queries: DataFrame,

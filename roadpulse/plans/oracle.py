@@ -696,7 +696,7 @@ _NAMED = ["temperature", "niederschlag", "hour", "week_day"]
 _CLASSES = [1, 2, 3, 4]
 
 
-def _cut_ctes(level: int, rows: str) -> dict[str, str]:
+def _cut_ctes(level: int | str, rows: str) -> dict[str, str]:
     """Best cut of each node of a level: `rows` holds the training points with their node."""
     counts = ", ".join(f"sum(case when label = {c} then n else 0 end) as c{c}" for c in _CLASSES)
     values = " union all ".join(
@@ -713,7 +713,7 @@ def _cut_ctes(level: int, rows: str) -> dict[str, str]:
     return {
         f"values_{level}": values,
         f"best_{level}": f"""
-  select station_id, target, node, f, (v + following) / 2 as threshold, purity - ({squares}) / cast({total} as double) as lost from (
+  select station_id, target, node, f, v, following, (v + following) / 2 as threshold, purity - ({squares}) / cast({total} as double) as lost from (
     select *, row_number() over {order} as place from (
       select *, {purity} as purity from (
         select *, lead(v) over {one} as following, {running} from values_{level})
@@ -781,3 +781,56 @@ group by 1, 2, 3""",
     "best_0",
     "best_1",
 )
+
+# The same trees over bins: every feature of a key is cut into 16 of about equal weight, and its number stands for the value.
+_CTES["bin_values"] = " union all ".join(
+    f"select station_id, target, {i} as f, {name} as v, sum(n) as n from points where split = 'train' group by 1, 2, 4" for i, name in enumerate(_NAMED)
+)
+_NEEDS["bin_values"] = ["points"]
+_CTES["bin_rows"] = """
+  select station_id, target, f, v, dense_rank() over (partition by station_id, target, f order by part) - 1 as bin from (
+    select *, case when count(*) over (partition by station_id, target, f) <= 16
+        then row_number() over (partition by station_id, target, f order by v)
+        else floor(coalesce(sum(n) over (partition by station_id, target, f order by v rows between unbounded preceding and 1 preceding), 0) * 16
+          / sum(n) over (partition by station_id, target, f)) end as part
+    from bin_values)"""
+_NEEDS["bin_rows"] = ["bin_values"]
+_CTES["binned_points"] = (
+    "select p.station_id, p.target, p.label, "
+    + ", ".join(f"b{i}.bin as {name}" for i, name in enumerate(_NAMED))
+    + ", p.n, 0 as node from points p "
+    + " ".join(
+        f"join bin_rows b{i} on b{i}.station_id = p.station_id and b{i}.target = p.target and b{i}.f = {i} and b{i}.v = p.{name}"
+        for i, name in enumerate(_NAMED)
+    )
+    + " where p.split = 'train'"
+)
+_NEEDS["binned_points"] = ["points", "bin_rows"]
+_CTES |= _cut_ctes("b0", "binned_points")
+_NEEDS["values_b0"], _NEEDS["best_b0"] = ["binned_points"], ["values_b0"]
+_CTES["binned_lower"] = f"""
+  select p.* exclude (node), case when {_SIDE} then 2 else 1 end as node
+  from binned_points p join best_b0 b on b.station_id = p.station_id and b.target = p.target"""
+_NEEDS["binned_lower"] = ["binned_points", "best_b0"]
+_CTES |= _cut_ctes("b1", "binned_lower")
+_NEEDS["values_b1"], _NEEDS["best_b1"] = ["binned_lower"], ["values_b1"]
+_add(
+    "histogram_tree",
+    f"""
+, cuts as (select station_id, target, node, f, v, following from best_b0 union all select station_id, target, node, f, v, following from best_b1),
+spans as (select station_id, target, f, bin, min(v) as low, max(v) as high from bin_rows group by all),
+numbered_b as (select *, 1 + 2 * row_number() over (partition by station_id, target order by node) as lower from best_b1),
+ends as (
+  select station_id, target, 0 as node from (select distinct station_id, target from binned_points) anti join best_b0 using (station_id, target)
+  union all select distinct l.station_id, l.target, l.node from binned_lower l anti join best_b1 b using (station_id, target, node)
+  union all select station_id, target, unnest([lower, lower + 1]) from numbered_b)
+select c.station_id, c.target, c.node, {_NAME_OF.replace(" f ", " c.f ")} as feature, round((a.high + b.low) / 2, 6) as threshold
+from cuts c join spans a on a.station_id = c.station_id and a.target = c.target and a.f = c.f and a.bin = c.v
+  join spans b on b.station_id = c.station_id and b.target = c.target and b.f = c.f and b.bin = c.following
+union all
+select station_id, target, cast(node as integer), null, 0.0 from ends""",
+    "bin_rows",
+    "binned_lower",
+    "best_b0",
+    "best_b1",
+)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from roadpulse import schemas
 from roadpulse.functions import calendar, labels, numbers, text
-from roadpulse.operators import ensemble, filters, forecasting, keyed, metrics, neighbours, neural, sampling, scaling, serving, trees
+from roadpulse.operators import ensemble, filters, forecasting, histogram_trees, keyed, metrics, neighbours, neural, sampling, scaling, serving, trees
 from roadpulse.operators.keyed import KEYS
 from roadpulse.plans import scoring, training
 from roadpulse.session import cut_lineage, shared_folder
@@ -515,9 +515,7 @@ def mse(spark, d):
     return metrics.mean_squared_error(star.panel(spark, d), ["station_id"], "count_1", "count_2")
 
 
-@query
-def simple_tree(spark, d):
-    models = trees.fit_simple(training.tree_points(_points(spark, d), SETTINGS))
+def _nodes(models: DataFrame) -> DataFrame:
     nodes = F.arrays_zip("feature", "threshold")
     return models.select(*KEYS, F.posexplode(nodes).alias("node", "split")).select(
         *KEYS, "node", F.get(F.array(*[F.lit(f) for f in schemas.FEATURES]), F.nullif("split.feature", F.lit(-1))).alias("feature"),
@@ -525,6 +523,17 @@ def simple_tree(spark, d):
     )
 
 
+@query
+def simple_tree(spark, d):
+    return _nodes(trees.fit_simple(training.tree_points(_points(spark, d), SETTINGS)))
+
+
+@query
+def histogram_tree(spark, d):
+    """Trees of depth 2 on 16 bins a feature, grown without any task that holds a key."""
+    return _nodes(histogram_trees.fit_simple(_points(spark, d).where(F.col("split") == "train"), bins=16))
+
+
 @query
 def tree_fit_metrics(spark, d):
     points = _points(spark, d)

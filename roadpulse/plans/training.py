@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.operators import ensemble, filters, keyed, metrics, neighbours, neural, sampling, scaling, trees
+from roadpulse.operators import ensemble, filters, histogram_trees, keyed, metrics, neighbours, neural, sampling, scaling, trees
 from roadpulse.operators.keyed import KEYS
 from roadpulse.schemas import COUNT_TARGETS, FEATURES, LEVEL_TARGETS
 from roadpulse.session import cut_lineage
@@ -20,8 +20,9 @@ class Settings:
     neighbours: int = 4
     epochs: int = 10
     budget: int = 200_000
-    """Distinct points of a key from which trees are fitted on quantile steps (keyed.bounded_points): a bound on the labelled
-    rows of a classifier. Neighbours, networks and all scores use the exact points."""
+    """Distinct points up to which one task fits a key's trees on exact values. Trees of larger keys are grown on bins by all tasks
+    (histogram_trees), with limits searched on quantile steps (keyed.bounded_points). No row is left out, and
+    neighbours, networks and all scores use the exact points."""
     split_first: bool = True
     """False resamples before the split, as older runs did: copies of a row then sit on both sides."""
 
@@ -66,14 +67,21 @@ def train_levels(points: DataFrame, settings: Settings) -> Trained:
     each feature adds to the trees; `points` are used many times and should be written before."""
     queries = points.select(*KEYS, *FEATURES).distinct()
     fitted = cut_lineage(tree_points(points, settings))
-    simple = cut_lineage(trees.fit_simple(fitted))
-    tree = cut_lineage(trees.fit_optimised(fitted, settings.seed))
-    forest = cut_lineage(trees.fit_forest(fitted, settings.n_trees, settings.seed))
+    best = cut_lineage(trees.best_settings(trees.search(fitted, settings.seed)).select(*KEYS, "max_depth", "min_leaf", "min_split"))
+    small, large = keyed.by_size(fitted, points.where(F.col("split") == "train"), settings.budget)
+    simple = trees.fit_simple(small)
+    tree = trees.fit(small, best)
+    forest = trees.fit_forest(small, settings.n_trees, settings.seed)
+    if large is not None:
+        simple = simple.unionByName(histogram_trees.fit_simple(large))
+        tree = tree.unionByName(histogram_trees.fit(large, best, seed=settings.seed))
+        forest = forest.unionByName(histogram_trees.fit_forest(large, settings.n_trees, settings.seed))
+    simple, tree, forest = cut_lineage(simple), cut_lineage(tree), cut_lineage(forest)
     memory = points.where(F.col("split") == "train").select(*KEYS, *FEATURES, "label", "n")
 
     voted = cut_lineage(neighbours.predict(memory, queries, KEYS, settings.neighbours))
-    best = best_neighbours(points, voted, settings.neighbours)
-    chosen = chosen_neighbours(voted, best, settings.neighbours)
+    near = best_neighbours(points, voted, settings.neighbours)
+    chosen = chosen_neighbours(voted, near, settings.neighbours)
     on = [*KEYS, *FEATURES]
     predictions = {
         "simple_tree": trees.predict(simple, queries, FEATURES),
@@ -92,7 +100,7 @@ def train_levels(points: DataFrame, settings: Settings) -> Trained:
         shares = trees.importances(model)
         named = F.concat(F.lit("importance of "), F.col("feature"))
         report = report.unionByName(shares.select(*KEYS, F.lit(name).alias("model"), F.lit("train").alias("split"), named.alias("metric"), F.col("importance").alias("value")))
-    kept = {"tree": tree, "forest": forest, "neighbours": memory.join(best.select(*KEYS, "k"), KEYS)}
+    kept = {"tree": tree, "forest": forest, "neighbours": memory.join(near.select(*KEYS, "k"), KEYS)}
     return Trained(kept, report)
 
 
