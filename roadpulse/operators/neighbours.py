@@ -2,42 +2,97 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.schemas import FEATURES
+from roadpulse.session import cut_lineage
 
-SIDES = [4.0**e for e in range(-3, 7)]
-"""Cell sides of the grids, from below the resolution of the readings to beyond their range. A last grid puts all
-points of a key into one cell."""
+LEAF = 64
+"""Points of a leaf at most."""
+PARTS = 64
+"""Children of a node at most."""
 
-_CELLS = [f"cell_{f}" for f in FEATURES]
+_ROOT = "0"
 
 
-def _cell(value: Column, side: Column) -> Column:
-    return F.floor(value / side)
+@dataclass(frozen=True)
+class Tree:
+    """A k-d partition tree per key.
 
+    `points` are the training points with their `leaf`. `nodes` has a row per inner node with its `children`: their name, the lowest
+    and highest value of each feature, and how many rows they hold. `depth` is the number of levels below the roots.
+    """
 
-def _in_all_grids(points: DataFrame) -> DataFrame:
-    """One row per point and grid; the number of grids is fixed."""
-    grids = [
-        F.struct(F.lit(i).alias("grid"), *[_cell(F.col(f), F.lit(side)).alias(c) for f, c in zip(FEATURES, _CELLS)])
-        for i, side in enumerate(SIDES)
-    ]
-    whole = F.struct(F.lit(len(SIDES)).alias("grid"), *[F.lit(0).cast("bigint").alias(c) for c in _CELLS])
-    return points.select("*", F.inline(F.array(*grids, whole)))
-
-
-def _in_used_grids(train: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
-    """Training points as `train_<feature>`, a row per grid that some query of the key asks: few of all grids, so a point
-    travels a few times only. Size estimates do not see these copies, so a broadcast is ruled out."""
-    used = asked.groupBy(*keys).agg(F.collect_set("grid").alias("grids"))
-    sides = F.array(*[F.lit(s) for s in SIDES])
-    copies = train.join(used, keys).withColumn("grid", F.explode("grids")).withColumn("side", F.get(sides, F.col("grid")))
-    placed = copies.select(
-        "*", *[F.when(F.col("side").isNull(), F.lit(0).cast("bigint")).otherwise(_cell(F.col(f), F.col("side"))).alias(c) for f, c in zip(FEATURES, _CELLS)]
-    )
-    return placed.drop("grids", "side").withColumnsRenamed({f: f"train_{f}" for f in FEATURES}).hint("merge")
+    points: DataFrame
+    nodes: DataFrame | None
+    depth: int
+
+
+def partition(train: DataFrame, keys: list[str], leaf: int = LEAF, parts: int = PARTS) -> Tree:
+    """Cut each key's points into leaves of at most `leaf` points, whatever the key's size and however close they lie.
+
+    A round cuts every node that is too large at quantiles of its widest feature into up to `parts` children, so the rounds are
+    the logarithm of the largest key. Points are distinct but for their label, of which there are few: fewer than `leaf`.
+    """
+    points = train.select(*keys, *FEATURES, "label", "n", F.lit(_ROOT).alias("leaf"), F.lit(True).alias("fresh"))
+    levels: list[DataFrame] = []
+    while True:
+        spans = F.array(*[F.struct((F.max(f) - F.min(f)).alias("span"), F.lit(-i).alias("f")) for i, f in enumerate(FEATURES)])
+        sizes = points.where("fresh").groupBy(*keys, "leaf").agg(F.count("*").alias("size"), F.array_max(spans)["f"].alias("f"))
+        large = cut_lineage(sizes.where(F.col("size") > leaf).withColumn("f", -F.col("f")))
+        if large.isEmpty():
+            break
+        value = F.get(F.array(*FEATURES), F.col("f"))
+        steps = [(i + 1) / parts for i in range(parts - 1)]
+        inside = points.where("fresh").join(large, [*keys, "leaf"]).withColumn("value", value)
+        cuts = inside.groupBy(*keys, "leaf", "size", "f").agg(
+            F.percentile_approx("value", steps, 1000).alias("steps"), F.min("value").alias("low"), F.max("value").alias("high")
+        )
+        # Twice as many parts as needed at least, so that most children are leaves.
+        stride = F.greatest(F.lit(1), F.floor(F.lit(parts * leaf) / (2 * F.col("size")))).cast("int")
+        taken = F.filter("steps", lambda v, i: ((i + 1) % stride == 0) & (v < F.col("high")))
+        middle = F.array((F.col("low") + F.col("high")) / 2)
+        cuts = cuts.select(*keys, "leaf", "f", F.when(F.size(taken) > 0, F.array_distinct(taken)).otherwise(middle).alias("cuts"))
+        below = F.size(F.filter("cuts", lambda c: c < value))
+        child = F.concat_ws(".", "leaf", below.cast("string"))
+        placed = points.join(cuts, [*keys, "leaf"], "left")
+        points = cut_lineage(
+            placed.select(*keys, *FEATURES, "label", "n", F.col("leaf").alias("node"), F.when(F.col("cuts").isNotNull(), child).otherwise(F.col("leaf")).alias("leaf"), F.col("cuts").isNotNull().alias("fresh"))
+        )
+        boxes = points.where("fresh").groupBy(*keys, "node", "leaf").agg(
+            F.array(*[F.min(f) for f in FEATURES]).alias("low"), F.array(*[F.max(f) for f in FEATURES]).alias("high"), F.sum("n").alias("rows")
+        )
+        levels.append(cut_lineage(boxes.groupBy(*keys, "node").agg(F.collect_list(F.struct("leaf", "low", "high", "rows")).alias("children"))))
+        points = points.drop("node")
+    nodes = None
+    for level in levels:
+        nodes = level if nodes is None else nodes.unionByName(level)
+    return Tree(points.drop("fresh"), nodes, len(levels))
+
+
+def _gaps(child: Column, farthest: bool) -> Column:
+    """Squared distance from the query to the nearest or farthest point of a child's box."""
+    total = F.lit(0.0)
+    for i, f in enumerate(FEATURES):
+        low, high = F.get(child["low"], F.lit(i)) - F.col(f), F.col(f) - F.get(child["high"], F.lit(i))
+        gap = F.greatest(F.abs(low), F.abs(high)) if farthest else F.greatest(low, high, F.lit(0.0))
+        total = total + gap * gap
+    return total
+
+
+def _reached(k: int) -> Column:
+    """A bound on the squared k-th distance: the least reach of boxes that hold k rows together; null if all hold fewer."""
+    reaches = F.array_sort(F.transform("children", lambda c: F.struct(_gaps(c, True).alias("reach"), c["rows"].alias("rows"))))
+    none = F.struct(F.lit(0).cast("bigint").alias("rows"), F.lit(None).cast("double").alias("reach"))
+
+    def add(s: Column, c: Column) -> Column:
+        enough = s["rows"] >= k
+        return F.struct((s["rows"] + c["rows"]).alias("rows"), F.when(enough, s["reach"]).otherwise(c["reach"]).alias("reach"))
+
+    return F.aggregate(reaches, none, add, lambda s: F.when(s["rows"] >= k, s["reach"]))
 
 
 def _square() -> Column:
@@ -49,46 +104,44 @@ def _square() -> Column:
     return total
 
 
-def nearest(train: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
+def nearest(train: DataFrame, queries: DataFrame, keys: list[str], k: int, leaf: int = LEAF) -> DataFrame:
     """The k nearest training rows of each query, as `(query, square, label, n, before)`.
 
     `train` holds distinct points `(keys, features, label, n)`, `queries` distinct points `(keys, features)`.
     Equal distances go to the smaller label. A point stands for `n` rows and `before` rows come ahead of it.
 
-    1. Nested grids know the number of rows in each cell. A query's home is the finest cell around it with k rows.
-    2. The k-th distance within the home bounds the k-th distance overall.
-    3. All cells within that bound are visited, in a grid about as coarse as the bound (3 cells per dimension at
-       most), and their points measured. So the pairs measured follow the number of near points, not the key's size.
+    1. Training points lie in the leaves of a partition tree.
+    2. A query goes down to the leaf nearest to it. The boxes that it passes, and the points of that leaf, bound its k-th distance.
+    3. It goes down again to every leaf within that bound and meets the points there. So the pairs measured follow the
+       number of near points, not the key's size, and nothing depends on how close points lie.
     """
     query = [*keys, *FEATURES]
-    cell = [*keys, "grid", *_CELLS]
-    sizes = _in_all_grids(train.select(*query, "n")).groupBy(*cell).agg(F.sum("n").alias("cell_rows")).hint("merge")
+    tree = partition(train, keys, leaf)
     order = Window.partitionBy(*query).orderBy("square", "label")
-
-    # The last grid always qualifies: a key with fewer than k rows gives all of them.
-    roomy = (F.col("cell_rows") >= k) | (F.col("grid") == len(SIDES))
-    homes = (
-        _in_all_grids(queries.select(*query))
-        .join(sizes, cell)
-        .where(roomy)
-        .groupBy(*query)
-        .agg(F.min_by(F.struct("grid", *_CELLS), "grid").alias("home"))
-        .select(*query, "home.*")
-    )
-    bounded = (
-        homes.join(_in_used_grids(train, homes, keys), cell)
-        .select(*query, "label", _square().alias("square"))
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= k)
-        .groupBy(*query)
-        .agg(F.max("square").alias("bound_square"))
-    )
-
-    within = _cells_within(bounded)
+    points = tree.points.withColumnsRenamed({f: f"train_{f}" for f in FEATURES})
+
+    home = queries.select(*query, F.lit(_ROOT).alias("leaf"), F.lit(None).cast("double").alias("reach"))
+    for _ in range(tree.depth):
+        inner = home.join(tree.nodes.withColumnRenamed("node", "leaf"), [*keys, "leaf"], "left")
+        near = F.array_min(F.transform("children", lambda c: F.struct(_gaps(c, False).alias("gap"), c["leaf"].alias("leaf"))))["leaf"]
+        home = inner.select(*query, F.coalesce(near, F.col("leaf")).alias("leaf"), F.least(F.col("reach"), _reached(k)).alias("reach"))
+    home = cut_lineage(home)
+    # The k-th of the home leaf's points, where it has so many.
+    met = home.join(points, [*keys, "leaf"]).select(*query, "reach", "label", _square().alias("square"))
+    met = met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).groupBy(*query)
+    bounds = met.agg(F.max("reach").alias("reach"), F.when(F.count("*") == k, F.max("square")).alias("square"))
+    # The slack keeps rounding from losing a leaf at the rim; the measured squares decide.
+    bound = F.least("reach", "square") * (1 + 1e-9) + 1e-9
+    within = cut_lineage(bounds.select(*query, F.lit(_ROOT).alias("leaf"), bound.alias("bound_square")))
+    for _ in range(tree.depth):
+        inner = within.join(tree.nodes.withColumnRenamed("node", "leaf"), [*keys, "leaf"], "left")
+        hit = F.filter("children", lambda c: F.col("bound_square").isNull() | (_gaps(c, False) <= F.col("bound_square")))
+        names = F.coalesce(F.transform(hit, lambda c: c["leaf"]), F.array("leaf"))
+        within = inner.select(*query, F.explode(names).alias("leaf"), "bound_square")
     measured = (
-        within.join(_in_used_grids(train, within, keys), cell)
+        within.join(points, [*keys, "leaf"])
         .select(*query, "bound_square", "label", "n", _square().alias("square"))
-        .where(F.col("square") <= F.col("bound_square"))
+        .where(F.col("bound_square").isNull() | (F.col("square") <= F.col("bound_square")))
     )
     closest = measured.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -99,29 +152,6 @@ def nearest(train: DataFrame, queries: DataFrame, keys: list[str], k: int) -> Da
     )
 
 
-def _cells_within(bounded: DataFrame) -> DataFrame:
-    """One row per query and cell that reaches into the ball of `bound_square` around it."""
-    # The slack keeps rounding from losing a cell at the rim; the measured squares decide.
-    reach = bounded.withColumn("reach", F.sqrt("bound_square") * (1 + 1e-9) + 1e-9)
-    sides = F.array(*[F.lit(s) for s in SIDES])
-    reach = reach.withColumn("grid", F.size(F.filter(sides, lambda s: s < F.col("reach"))))
-    reach = reach.withColumn("side", F.get(sides, F.col("grid"))).withColumn("used", F.lit(0.0))
-    whole = F.col("side").isNull()
-    top = {"hour": 23, "week_day": 6}
-    for f, c in zip(FEATURES, _CELLS):
-        first, last = (_cell(F.col(f) + sign * F.col("reach"), F.col("side")) for sign in (-1, 1))
-        if f in top:
-            first, last = F.greatest(first, F.lit(0)), F.least(last, _cell(F.lit(float(top[f])), F.col("side")))
-        span = F.when(whole, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(first, last))
-        gap = F.greatest(F.col(c) * F.col("side") - F.col(f), F.col(f) - (F.col(c) + 1) * F.col("side"), F.lit(0.0))
-        reach = (
-            reach.withColumn(c, F.explode(span))
-            .withColumn("used", F.col("used") + F.coalesce(gap * gap, F.lit(0.0)))
-            .where(F.col("used") <= F.col("reach") * F.col("reach"))
-        )
-    return reach.drop("reach", "side", "used")
-
-
 def vote(neighbours: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Most frequent label among the first 1..k rows, as `predicted_1`..`predicted_k`; ties go to the smaller label."""
     query = [*keys, *FEATURES]

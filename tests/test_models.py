@@ -1,6 +1,7 @@
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +215,28 @@ def test_ensemble_order(spark):
     side = ensemble.aligned(frames, ["id"])
     assert ensemble.vote(side, ensemble.TRAINING_ORDER).first().ensemble == 4
     assert ensemble.vote(side, ensemble.SCORING_ORDER).first().ensemble == 2
+
+
+def test_crowded_points_lie_in_small_leaves(spark):
+    """100,000 points within 1/64 of each other, and a key of equal values: no leaf holds more than its bound."""
+    draw = np.random.default_rng(11)
+    close = draw.random((100_000, 2)) / 64
+    rows = [(2, "TRAFFIC_1", float(a), float(b), 3.0, 1.0, 1 + i % 4, 1) for i, (a, b) in enumerate(close)]
+    rows += [(5, "TRAFFIC_1", 1.0, 0.0, 3.0, 1.0, label, 5000) for label in (1, 2, 3)]
+    schema = "station_id int, target string, temperature double, niederschlag double, hour double, week_day double, label int, n long"
+    train = spark.createDataFrame(pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")]), schema)
+    tree = neighbours.partition(train, KEYS)
+    sizes = tree.points.groupBy(*KEYS, "leaf").count()
+    assert sizes.agg(F.max("count")).first()[0] <= neighbours.LEAF and tree.points.count() == len(rows)
+    assert tree.nodes.agg(F.max(F.size("children"))).first()[0] <= neighbours.PARTS and 2 <= tree.depth <= 3
+    asked = [(2, "TRAFFIC_1", *q, 3.0, 1.0) for q in [(0.001, 0.002), (0.015, 0.0), (3.0, -1.0), (0.008, 0.008)]] + [(5, "TRAFFIC_1", 0.0, 0.0, 0.0, 0.0)]
+    queries = spark.createDataFrame(asked, schema.partition(", label")[0])
+    got = {}
+    for r in neighbours.nearest(train, queries, KEYS, 3).collect():
+        got.setdefault((r.station_id, r.temperature, r.niederschlag), []).append((r.square, r.label))
+    for s, _, a, b, *_ in asked[:-1]:
+        square = (close[:, 0] - a) ** 2 + (close[:, 1] - b) ** 2
+        best = sorted((square[i], 1 + i % 4) for i in np.argsort(square)[:3])
+        assert [label for _, label in sorted(got[s, a, b])] == [label for _, label in best]
+        assert np.allclose([v for v, _ in sorted(got[s, a, b])], [v for v, _ in best])
+    assert got[5, 0.0, 0.0] == [(1 + 9 + 1, 1)]
