@@ -834,3 +834,18 @@ select station_id, target, cast(node as integer), null, 0.0 from ends""",
     "best_b0",
     "best_b1",
 )
+
+_add(
+    "model_versions",
+    """
+, twice as (
+  select station_id, 'COUNT_1' as target, count_1 as c, false as later from panel
+  union all select station_id, 'COUNT_2', count_2, false from panel
+  union all select station_id, 'COUNT_1', count_1, true from facts where not later and station_id % 2 = 0
+  union all select station_id, 'COUNT_2', count_2, true from facts where not later and station_id % 2 = 0)
+select station_id, target, min(c) as low, max(c) as high, case when later then 2 else 1 end as saved_in
+from twice group by station_id, target, later
+qualify row_number() over (partition by station_id, target order by later desc) = 1""",
+    "panel",
+    "facts",
+)

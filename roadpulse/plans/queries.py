@@ -156,6 +156,17 @@ def model_table(spark, d):
     return loaded.select(*KEYS, "low", "high", "model_name")
 
 
+@query
+def model_versions(spark, d):
+    """Scalers of all stations saved, then those of every second station once more from the history alone: which rows are
+    current, and which save they come from."""
+    folder = _folder(spark)
+    for rows in (star.panel(spark, d), star.history(spark, d).where(F.col("station_id") % 2 == 0)):
+        scalers = scaling.fit_minmax(sampling.long_targets(rows, schemas.COUNT_TARGETS), KEYS, "label")
+        stored.save_models(scalers, folder, "scaler_number_vehicles")
+    return stored.store(folder, "scaler_number_vehicles").load(spark).select(*KEYS, "low", "high", "saved_in")
+
+
 # --- projections and filters ------------------------------------------------------------------------------------------
 
 

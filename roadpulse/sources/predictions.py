@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from roadpulse import schemas
 from roadpulse.functions import calendar, labels
+from roadpulse.session import cut_lineage
 from roadpulse.sources.history import resolve
+from roadpulse.sources.snapshots import path_exists
 
 
 def export_columns(predictions: DataFrame) -> DataFrame:
@@ -65,10 +67,22 @@ def read_prediction_files(
 
 
 def write_prediction_table(predictions: DataFrame, path: str) -> None:
-    """Parquet by zone and day: few large files however many stations, and a refreshed zone-day replaces itself."""
+    """Parquet by zone and day: few large files however many stations. A refreshed station-day replaces itself, and the
+    other stations of its zone and day stay.
+
+    Only the zones and days at hand are read back and written again; Spark swaps them when the job commits.
+    """
+    spark = predictions.sparkSession
+    rows = predictions.withColumn("day", F.to_date("ts"))
+    if path_exists(spark, path):
+        rows = cut_lineage(rows)
+        held = spark.read.parquet(path)
+        touched, renewed = rows.select("weather_index", "day").distinct(), rows.select("station_id", "weather_index", "day").distinct()
+        kept = held.join(touched, ["weather_index", "day"], "left_semi").join(renewed, ["station_id", "weather_index", "day"], "left_anti")
+        # Written aside first: a table is not read while it is replaced.
+        rows = cut_lineage(rows.unionByName(kept, allowMissingColumns=True))
     (
-        predictions.withColumn("day", F.to_date("ts"))
-        .repartition("weather_index", "day", F.pmod(F.hash("station_id"), F.lit(16)))
+        rows.repartition("weather_index", "day", F.pmod(F.hash("station_id"), F.lit(16)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("weather_index", "day")

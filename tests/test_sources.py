@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadpulse.functions import labels
 from roadpulse.operators import filters, serving
-from roadpulse.sources import bulletins, history, models, panel, predictions
+from roadpulse.sources import bulletins, history, models, panel, predictions, snapshots
 
 TODAY = dt.date(2024, 1, 25)
 
@@ -125,13 +125,53 @@ def test_model_table(spark, tmp_path):
     assert models.load_models(spark, store, "tree", ["TRAFFIC_1"]).first().payload == 1.5
     assert models.load_models(spark, store, "tree").count() == 2
     wanted = spark.createDataFrame([(2,), (5,)], "station_id int")
-    assert [tuple(r) for r in models.missing_models(wanted, {"tree": df, "forest": df}).collect()] == [(5, "tree"), (5, "forest")]
+    partial = df.unionByName(spark.createDataFrame([(5, "TRAFFIC_1", 0.5)], df.schema))
+    gaps = {tuple(r) for r in models.missing_models(wanted, {"tree": df, "forest": partial, "history": df}).collect()}
+    assert gaps == {(5, "TRAFFIC_1", "tree"), (5, "TRAFFIC_2", "tree"), (5, "TRAFFIC_2", "forest"), (5, None, "history")}
     with pytest.raises(models.ModelMissing):
         models.load_models(spark, store, "dummy")
     with pytest.raises(models.ModelMissing):
         models.load_models(spark, store, "tree", ["COUNT_1"])
 
 
+def test_saving_one_station_keeps_the_others(spark, tmp_path):
+    path = str(tmp_path / "models")
+    rows = [(s, t, float(s)) for s in (2, 3, 4) for t in ("TRAFFIC_1", "TRAFFIC_2")]
+    df = spark.createDataFrame(rows, "station_id int, target string, payload double")
+    assert models.save_models(df, path, "tree") == 1
+    assert models.save_models(df.where("station_id = 3 and target = 'TRAFFIC_2'").withColumn("payload", F.lit(9.5)), path, "tree") == 2
+    want = {**{(s, t): v for s, t, v in rows}, (3, "TRAFFIC_2"): 9.5}
+    assert {(r.station_id, r.target): r.payload for r in models.load_models(spark, path, "tree").collect()} == want
+    with pytest.raises(Exception):
+        models.save_models(df.withColumn("payload", F.raise_error(F.lit("broken")).cast("double")), path, "tree")
+    assert {(r.station_id, r.target): r.payload for r in models.load_models(spark, path, "tree").collect()} == want
+    assert models.save_models(df.limit(0), path, "tree") == 3 and models.load_models(spark, path, "tree").count() == 6
+
+
+def test_two_writers_do_not_lose_a_save(spark, tmp_path):
+    store = snapshots.Store(str(tmp_path / "store"), ("key",))
+    one, other = (spark.createDataFrame([(k, v)], "key int, value int") for k, v in ((1, 10), (2, 20)))
+    store.save(one)
+    store._commit(spark, 2, store._commits(spark)[-1][1])  # another writer commits while this one is at work
+    with pytest.raises(snapshots.SaveConflict):
+        store._commit(spark, 2, "mine")
+    store.save(other)
+    assert {(r.key, r.value, r.saved_in) for r in store.load(spark).collect()} == {(1, 10, 1), (2, 20, 3)}
+    (tmp_path / "store" / "commits" / "0000000004").write_text("")  # begun and not ended
+    with pytest.raises(snapshots.SaveConflict):
+        store.load(spark)
+
+
+def test_writing_one_station_of_a_zone_keeps_the_others(spark, tmp_path):
+    out = str(tmp_path / "table")
+    df = _predictions(spark)
+    predictions.write_prediction_table(df, out)
+    predictions.write_prediction_table(df.where("station_id = 13 and to_date(ts) = '2024-01-26'").withColumn("count_1", F.lit(0)), out)
+    rows = spark.read.parquet(out)
+    assert rows.count() == 96 and rows.where("station_id = 2 and count_1 > 0").count() == 47
+    assert rows.where("station_id = 13 and day = '2024-01-26' and count_1 > 0").isEmpty()
+
+
 def test_panel_levels(spark):
     at = dt.datetime(2024, 1, 1, 5)
     readings = [(2, at + dt.timedelta(hours=h, minutes=m), 1 + m % 2) for h in range(4) for m in range(2 * h + 1)]
