@@ -145,3 +145,35 @@ def test_network_loss_is_over_the_rows(spark):
 def test_eligible_drops_single_rows(inputs):
     observations, _ = inputs
     assert filters.eligible(observations).where("station_id = 13").isEmpty()
+
+
+def test_an_older_document_in_a_later_batch_changes_nothing(spark, tmp_path):
+    """Two zones over three batches and a restart from the checkpoint."""
+    import os
+
+    landing, checkpoint = tmp_path / "landing", str(tmp_path / "checkpoint")
+    landing.mkdir()
+    spark.conf.set(refresh._PROVIDER, refresh._ROCKS)
+    passed = []
+
+    def land(**files):
+        for name, landed_at in files.items():
+            path = landing / f"{name.removeprefix('z')}.json"
+            path.write_text(json.dumps({"name": name}))
+            os.utime(path, (landed_at, landed_at))
+        query = (
+            refresh.newest(refresh.landed(spark, str(landing)))
+            .writeStream.outputMode("update")
+            .foreachBatch(lambda batch, _: passed.extend((r.weather_index, r.file_name) for r in batch.collect()))
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+        out, passed[:] = sorted(passed), []
+        return out
+
+    assert land(z1_b=2000, z1_a=1000, z2_a=1000) == [(1, "1_b.json"), (2, "2_a.json")]
+    assert land(z1_late=1500) == []
+    assert land(z1_c=2000, z2_b=3000, zx_no_zone=9000) == [(1, "1_c.json"), (2, "2_b.json")]
+    assert land() == []
