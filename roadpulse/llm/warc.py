@@ -68,8 +68,9 @@ def _charset(header: str, payload: bytes) -> str:
     found = found or re.search(r"<meta[^>]*charset\s*=\s*[\"']?([\w.:-]+)", payload[:4096].decode("ascii", "ignore"), re.I)
     name = found[1].lower() if found else "utf-8"
     try:
-        "".encode(name)
-    except LookupError:
+        # Names that are no text encoding, or that know no replacement character, count as unknown.
+        b"a\xff".decode(name, "replace")
+    except (LookupError, ValueError, TypeError):
         return "utf-8"
     return name
 
@@ -79,6 +80,8 @@ def derived(record: str | None, target: str | None, date: str | None, header: st
     header, payload = header or "", payload or b""
     charset = _charset(header, payload)
     text = payload.decode(charset, "replace")
+    if charset != "utf-8":
+        text = text.encode("utf-8", "replace").decode()  # some encodings yield halves of surrogate pairs
     payload_digest = own_digest or digest(payload)
     root = parse(text)
     title = next((" ".join("".join(n.children).split()) for n in walk(root) if n.tag == "title"), "")

@@ -91,3 +91,11 @@ def test_extra_columns_nulls_and_empty_tables(spark, stages):
         assert stage(spark, docs, sf).count() <= 4
         assert stage(spark, docs.limit(0), sf).count() == 0
     assert corpus_pipeline.drop_near_duplicates(spark, docs, sf).columns == docs.columns
+
+
+def test_the_last_stage_keeps_further_columns(spark, sf):
+    docs = spark.createDataFrame([("text one", 1, "kept", 5), (None, 2, "too", 6)], "text string, doc_id long, extra string, n_tokens int")
+    made = corpus_pipeline.tokenize(spark, docs, sf)
+    rows = {r["doc_id"]: r for r in made.collect()}
+    assert made.columns[:4] == docs.columns and rows[1]["extra"] == "kept" and rows[2]["n_tokens"] == 6
+    assert rows[1]["n_tokens_"] == len(rows[1]["ids"]) // 4 > 0 and rows[2]["n_tokens_"] == 0

@@ -43,6 +43,18 @@ def test_digests_headers_and_charsets_are_kept(spark):
     assert "�" in bytes(made["c", "conversion"]["block"]).decode()
 
 
+def test_charsets_that_cannot_decode_pages(spark):
+    """Names that no text is written in, in the header or the page: read as utf-8 or as they are, and never a crash."""
+    names = ["undefined", "idna", "punycode", "rot13", "hex", "zlib", "unicode_escape", "utf_7", "utf-16", "x" * 300]
+    payload = "<p>Größe \\ud800 \\x</p>".encode() + b"\xff\xfe"
+    rows = [response(f"h{n}", payload, f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={n}\r\n\r\n") for n in names]
+    rows += [response(f"m{n}", f"<meta charset={n}>".encode() + payload, "") for n in names]
+    made = {(r["refers_to"], r["record_type"]): r for r in derived(spark, rows)}
+    assert len(made) == 4 * len(names)
+    for n in ("undefined", "idna", "rot13", "x" * 300):
+        assert "Größe" in bytes(made[f"h{n}", "conversion"]["block"]).decode() and "Größe" in bytes(made[f"m{n}", "conversion"]["block"]).decode()
+
+
 def test_hard_rows(spark):
     rows = [(None,) * 7, response("x", b""), response("x", b""), response("long", b"<p>" + b"w " * 400_000)]
     made = derived(spark, rows)
