@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadpulse.llm import byte_bpe, decontamination, language_id, ngram_join, toxicity
-from roadpulse.llm.common import read
+from roadpulse.llm.common import free_name, read
 from roadpulse.llm.queries import language_model, toxicity_model
 from roadpulse.session import shared_folder, ship_package
 
@@ -41,9 +41,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each whole text, little-endian unsigned 32-bit integers, and their number."""
-    encoded = byte_bpe.encode(docs.select("doc_id", "text", "lang", "source", "n_chars"))
-    return encoded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    """Token ids of each whole text, little-endian unsigned 32-bit integers, and their number, beside all columns of `docs` (a taken
+    name gets an underscore)."""
+    encoded = byte_bpe.encode(docs)
+    return encoded.withColumn(free_name(encoded, "n_tokens"), (F.octet_length(encoded.columns[-1]) / 4).cast("long"))
 
 
 def _shipped(stage: Stage) -> Stage:
