@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -81,6 +82,14 @@ def map_text(df: DataFrame, text: str, result: T.StructType, make: object, *args
     return df.mapInArrow(over, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. A worker serves one stage after another, and keeps what the last one has freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def portions(batch: pa.RecordBatch, place: int, most: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in slices whose texts have about `most` bytes together; one longer text is a slice of its own."""
     sizes = np.cumsum([n or 0 for n in pc.binary_length(batch.column(place)).to_pylist()])

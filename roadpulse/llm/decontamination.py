@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import free_name, from_varint, tasks, varint, words
+from roadpulse.llm.common import free_name, from_varint, give_back, portions, tasks, varint, words
 from roadpulse.session import cut_lineage
 
 WINDOW = 10
 #: Words of a block; one longer document is a block of its own.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 #: Windows that meet a block in one task.
 CHUNK_WINDOWS = 20_000
 #: The term under which a block keeps where its documents begin; no word is empty.
@@ -43,30 +43,42 @@ class Index:
     identifier: str
 
 
-def _block(texts: list[list[bytes]]) -> tuple[list[bytes], list[int], list[bytes]]:
-    """Terms of a block in order, how often each stands, and its packed places; the documents' starts come first."""
-    numbers: dict[bytes, int] = {}
-    pieces, starts, place = [], [], 0
-    for found in texts:
-        starts.append(place)
-        for w in found:
-            if w not in numbers:
-                numbers[w] = len(numbers)
-        terms = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
-        pieces.append(terms << 32 | np.arange(place, place + len(found)))
-        place += len(found) + 1
-    keyed = np.sort(np.concatenate(pieces)) if pieces else np.zeros(0, np.int64)
-    term, at = keyed >> 32, keyed & 0xFFFFFFFF
-    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-    gaps = np.diff(at, prepend=0)
-    gaps[first] = at[first]
-    data, ends = varint(gaps)
-    stop = np.append(first[1:], len(at)) if len(first) else first
-    bounds = np.concatenate([[0], ends])
-    raw = data.tobytes()
-    packed = [raw[a:b] for a, b in zip(bounds[first].tolist(), bounds[stop].tolist(), strict=True)]
-    head = varint(np.diff(np.array(starts, np.int64), prepend=0))[0].tobytes()
-    return [STARTS, *numbers], [len(starts), *(stop - first).tolist()], [head, *packed]
+class _Block:
+    """A block in the making. Words become numbers as their document comes in, so that no text is held."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.pieces: list[np.ndarray] = []
+        self.ids: list[object] = []
+        self.size = 0
+
+    def add(self, key: object, found: list[bytes]) -> None:
+        numbers = self.numbers
+        self.pieces.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int32, len(found)))
+        self.ids.append(key)
+        self.size += len(found)
+
+    def packed(self) -> tuple[list[bytes], list[int], list[bytes], list[int]]:
+        """Terms in order, how often each stands, and its packed places; the documents' starts come first. And the
+        documents' numbers of words."""
+        lengths = np.array([len(p) for p in self.pieces], np.int64)
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        term = np.concatenate(self.pieces).astype(np.int64)
+        self.pieces = []
+        keyed = term << 32 | (np.arange(len(term)) + np.repeat(np.arange(len(lengths)), lengths))
+        del term
+        keyed.sort()
+        term, at = keyed >> 32, keyed & 0xFFFFFFFF
+        first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
+        gaps = np.diff(at, prepend=0)
+        gaps[first] = at[first]
+        data, ends = varint(gaps)
+        stop = np.append(first[1:], len(at)) if len(first) else first
+        bounds = np.concatenate([[0], ends])
+        raw = data.tobytes()
+        packed = [raw[a:b] for a, b in zip(bounds[first].tolist(), bounds[stop].tolist(), strict=True)]
+        head = varint(np.diff(starts, prepend=0))[0].tobytes()
+        return [STARTS, *self.numbers], [len(starts), *(stop - first).tolist()], [head, *packed], lengths.tolist()
 
 
 def places(packed: bytes) -> np.ndarray:
@@ -84,24 +96,23 @@ def build_index(docs: DataFrame, identifier: str = "doc_id", text: str = "text")
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, block = TaskContext.get().partitionId(), 0
-        held, ids, size = [], [], 0
+        give_back()
+        part, number, block = TaskContext.get().partitionId(), 0, _Block()
         for batch in batches:
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = words(t)
-                held.append(found)
-                ids.append(key)
-                size += len(found)
-                if size >= BLOCK_WORDS or len(held) >= BLOCK_WORDS // 10:
-                    yield from rows(part, block, held, ids)
-                    held, ids, size, block = [], [], 0, block + 1
-        if held:
-            yield from rows(part, block, held, ids)
+            for portion in portions(batch, 1):
+                for key, t in zip(portion.column(0).to_pylist(), portion.column(1).to_pylist(), strict=True):
+                    block.add(key, words(t))
+                    if block.size >= BLOCK_WORDS or len(block.ids) >= BLOCK_WORDS // 10:
+                        yield from rows(part, number, block)
+                        number, block = number + 1, _Block()
+        if block.ids:
+            yield from rows(part, number, block)
 
     kind = pa.field("id", _arrow_kind(source))
 
-    def rows(part: int, block: int, held: list, ids: list) -> Iterator[pa.RecordBatch]:
-        terms, counts, packed = _block(held)
+    def rows(part: int, block: int, made: _Block) -> Iterator[pa.RecordBatch]:
+        ids = made.ids
+        terms, counts, packed, lengths = made.packed()
         for start in range(0, max(len(terms), len(ids)), 100_000):
             t, c, p = (x[start : start + 100_000] for x in (terms, counts, packed))
             own = ids[start : start + 100_000]
@@ -110,7 +121,7 @@ def build_index(docs: DataFrame, identifier: str = "doc_id", text: str = "text")
             arrays = [
                 pa.array([part] * (n + m), pa.int32()), pa.array([block] * (n + m), pa.int32()),
                 pa.array([*t, *[None] * m], pa.binary()),
-                pa.array([*c, *[len(held[s]) for s in slots]], pa.int64()),
+                pa.array([*c, *lengths[start : start + 100_000]], pa.int64()),
                 pa.array([*p, *[None] * m], pa.binary()), pa.array([*[None] * n, *slots], pa.int32()),
                 pa.array([*[None] * n, *own], kind.type),
             ]
