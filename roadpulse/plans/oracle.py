@@ -262,8 +262,8 @@ _add(
 select station_id, traffic_1 as "TRAFFIC_1", traffic_2 as "TRAFFIC_2", cast(day(ts) as integer) as "DAY",
   cast(month(ts) as integer) as "MONTH", cast(year(ts) as integer) as "YEAR", hour as "HOUR",
   count_1 as "COUNT_1", count_2 as "COUNT_2"
-from facts where later""",
-    "facts",
+from panel""",
+    "panel",
 )
 ORACLE["assembled_predictions"] = ORACLE["prediction_export"]
 _add("station_code", "select station_id, station_index, lpad(cast(station_id as varchar), 8, '0') as station_code from stations", "stations")
@@ -410,8 +410,8 @@ _add(
     "heatmap_colours",
     f"select obs_id, direction, {_case('level', _COLOURS)} as colour, "
     + ", ".join(f"{_case('level', values)} as {name}" for name, values in zip("rgb", _RGB))
-    + f" from ({_LONG}) where ts >= timestamp '2024-01-25 00:00:00'",
-    "facts",
+    + f" from ({_LONG.replace('from facts', 'from panel')})",
+    "panel",
 )
 _add(
     "day_headers",
@@ -508,6 +508,18 @@ _FIT = ", ".join(
     for c in ("temperature", "niederschlag")
 )
 _add("zscore_fit", f"select station_id, {_FIT} from panel group by 1", "panel")
+_VALUES = ", ".join(f"array_to_string(list_sort(list(distinct {c})), ',') as {c}_values" for c in ("hour", "week_day"))
+_add("incremental_zscore", f"select station_id, count(*) as n_rows, {_FIT}, {_VALUES} from panel group by 1", "panel")
+_ZONES = "select station_id, weather_index from stations where weather_index in (select weather_index from daily)"
+_REASONS = "case station_id % 5 when 1 then 'not json' when 2 then 'empty' when 3 then 'no forecasts' else 'unreadable date' end"
+_add("rejected_bulletins", f"select station_id, weather_index, {_REASONS} as reason from ({_ZONES}) where station_id % 5 <> 0", "stations", "daily")
+_add(
+    "landed_bulletins",
+    "select station_id, weather_index, days from stations join (select weather_index, cast(count(*) as integer) as days from daily group by 1) "
+    "using (weather_index) where station_id % 5 = 0",
+    "stations",
+    "daily",
+)
 _SCALED = (
     "select complete.*, " + ", ".join(f"({c} - m_{c}) / s_{c} as {c}_z" for c in ("temperature", "niederschlag")) + " from complete join "
     "(select station_id, "
@@ -571,6 +583,15 @@ select obs_id, target, label, 'right' as side from
     "level_long",
     "resampled",
 )
+ORACLE["range_diff"] = ORACLE["resample_diff"]
+_LEVELS = "select obs_id, traffic_1, traffic_2 from"
+_add(
+    "revised_levels",
+    f"select *, 'left' as side from ({_LEVELS} panel except all {_LEVELS} facts) "
+    f"union all select *, 'right' as side from ({_LEVELS} facts except all {_LEVELS} panel)",
+    "panel",
+    "facts",
+)
 _add("knn_predict", "select * from neighbours", "neighbours")
 _BY_K = " union all ".join(
     f"select station_id, target, {k} as k, p.label, p.n, predicted_{k} as predicted "
@@ -619,12 +640,12 @@ select station_id, lpad(cast(station_id as varchar), 8, '0') as station_code, ts
     "panel",
 )
 _add("station_file", "select * exclude (station_index) from stations", "stations")
-_add("prediction_files", "select station_id, ts, traffic_1, traffic_2, count_1, count_2 from facts where later", "facts")
+_add("prediction_files", "select station_id, ts, traffic_1, traffic_2, count_1, count_2 from panel", "panel")
 _add(
     "prediction_table",
     "select station_id, weather_index, cast(cast(ts as date) as varchar) as day, hour, traffic_1, traffic_2, count_1, count_2 "
-    "from facts join stations using (station_id) where later",
-    "facts",
+    "from panel join stations using (station_id)",
+    "panel",
     "stations",
 )
 _add(
@@ -767,6 +788,7 @@ select station_id, target, split, round_even(sum(case when label = predicted the
 from leaves join decided using (station_id, target, node) group by 1, 2, 3""",
     "leaves",
 )
+ORACLE["tree_scores_native"] = ORACLE["tree_fit_metrics"]
 _add(
     "tree_importances",
     """

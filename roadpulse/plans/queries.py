@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from roadpulse import schemas
 from roadpulse.functions import calendar, labels, numbers, text
-from roadpulse.operators import ensemble, filters, forecasting, histogram_trees, keyed, metrics, neighbours, neural, sampling, scaling, serving, trees
+from roadpulse.operators import difference, ensemble, filters, forecasting, histogram_trees, keyed, metrics, moments, neighbours, neural, sampling, scaling, serving, trees
 from roadpulse.operators.keyed import KEYS
 from roadpulse.plans import scoring, training
 from roadpulse.session import cut_lineage, shared_folder
@@ -92,9 +92,37 @@ def bulletin_keys(spark, d):
     return bulletins.key_report(_parsed(spark, d))
 
 
+def _landed(spark: SparkSession, d: str) -> DataFrame:
+    """A document of its zone per station; of five stations one's is whole, the others' are cut, null, without days or undated."""
+    documents = star.stations(spark, d).select("station_id", "weather_index").join(star.bulletins(spark, d), "weather_index")
+    damage = F.col("station_id") % 5
+    json = (
+        F.when(damage == 0, F.col("json"))
+        .when(damage == 1, F.left("json", F.lit(40)))
+        .when(damage == 3, F.lit('{"forecasts": []}'))
+        .when(damage == 4, F.replace("json", F.lit("T00:00:00"), F.lit(" noon")))
+    )
+    return documents.select("station_id", "weather_index", json.alias("json"))
+
+
+@query
+def rejected_bulletins(spark, d):
+    return bulletins.rejected(_landed(spark, d)).select("station_id", "weather_index", "reason")
+
+
+@query
+def landed_bulletins(spark, d):
+    """Documents landed with the broken ones apart: the days that the accepted ones give."""
+    folder = _folder(spark)
+    bulletins.land(_landed(spark, d), folder)
+    accepted = spark.read.parquet(folder).where(F.col("kind") == "accepted")
+    days = F.size(F.from_json("json", schemas.BULLETIN)["forecasts"])
+    return accepted.select("station_id", "weather_index", days.alias("days"))
+
+
 @query
 def prediction_export(spark, d):
-    return predictions.export_columns(star.predictions(spark, d))
+    return predictions.export_columns(star.panel(spark, d))
 
 
 def _folder(spark: SparkSession) -> str:
@@ -132,7 +160,7 @@ def station_file(spark, d):
 def prediction_files(spark, d):
     """Predictions written as station files and read back."""
     folder = _folder(spark)
-    predictions.write_prediction_files(star.predictions(spark, d), folder)
+    predictions.write_prediction_files(star.panel(spark, d), folder)
     return predictions.read_prediction_files(spark, folder)
 
 
@@ -141,7 +169,7 @@ def prediction_table(spark, d):
     """Predictions written as the table by zone and day, and read back."""
     folder = _folder(spark)
     zones = star.stations(spark, d).select("station_id", "weather_index")
-    predictions.write_prediction_table(star.predictions(spark, d).join(zones, "station_id"), folder)
+    predictions.write_prediction_table(star.panel(spark, d).join(zones, "station_id"), folder)
     rows = spark.read.parquet(folder)
     return rows.select("station_id", "weather_index", F.col("day").cast("string").alias("day"), "hour", "traffic_1", "traffic_2", "count_1", "count_2")
 
@@ -313,7 +341,7 @@ def heatmap_cells(spark, d):
 
 @query
 def heatmap_colours(spark, d):
-    cells = filters.by_direction(star.predictions(spark, d).select("obs_id", "traffic_1", "traffic_2", "count_1", "count_2"))
+    cells = filters.by_direction(star.panel(spark, d).select("obs_id", "traffic_1", "traffic_2", "count_1", "count_2"))
     rgb = labels.level_rgb(F.col("level"))
     return cells.select("obs_id", "direction", labels.level_colour_class(F.col("level")).alias("colour"), rgb["r"].alias("r"), rgb["g"].alias("g"), rgb["b"].alias("b"))
 
@@ -402,6 +430,18 @@ def zscore_fit(spark, d):
     return fitted.select("station_id", *[F.round(c, 8).alias(c) for c in fitted.columns if c != "station_id"])
 
 
+@query
+def incremental_zscore(spark, d):
+    """Moments of the history's days stored, those of each later day added, and combined into the scalers of all."""
+    folder, kinds = _folder(spark), (["station_id"], ["temperature", "niederschlag"], ["hour", "week_day"])
+    for days in (star.history(spark, d), star.predictions(spark, d)):
+        moments.save_days(moments.daily_moments(days, *kinds), folder)
+    fitted = moments.combine(moments.load_days(spark, folder), *kinds)
+    shown = [F.round(f"{c}_{part}", 8).alias(f"{c}_{part}") for c in kinds[1] for part in ("mean", "std")]
+    listed = [F.array_join(F.col(f"{c}_values").cast("array<string>"), ",").alias(f"{c}_values") for c in kinds[2]]
+    return fitted.select("station_id", "n_rows", *shown, *listed)
+
+
 @query
 def zscore_apply(spark, d):
     rows = _rows(spark, d)
@@ -472,6 +512,20 @@ def resample_diff(spark, d):
     return sampling.differing_rows(rows, _resampled(spark, d).select("obs_id", "target", "label"))
 
 
+@query
+def range_diff(spark, d):
+    """The rows of resample_diff, found through checksums of ranges of observations."""
+    rows = sampling.long_targets(_rows(spark, d), schemas.LEVEL_TARGETS).select("obs_id", "target", "label")
+    return difference.range_diff(rows, _resampled(spark, d).select("obs_id", "target", "label"), "obs_id")
+
+
+@query
+def revised_levels(spark, d):
+    """Where the levels of the fact view differ from those of the whole panel, whose peaks are other ones."""
+    columns = ["obs_id", "traffic_1", "traffic_2"]
+    return difference.range_diff(cut_lineage(star.panel(spark, d).select(*columns)), cut_lineage(_facts(spark, d).select(*columns)), "obs_id")
+
+
 # --- models and scores ------------------------------------------------------------------------------------------------
 
 
@@ -554,6 +608,15 @@ def tree_fit_metrics(spark, d):
     return metrics.accuracy(guessed, [*KEYS, "split"], weight="n")
 
 
+@query
+def tree_scores_native(spark, d):
+    """The scores of tree_fit_metrics, by trees walked in the JVM."""
+    points = _points(spark, d)
+    models = cut_lineage(trees.fit_simple(training.tree_points(points, SETTINGS)))
+    guessed = points.join(trees.predict_native(models, points), [*KEYS, *schemas.FEATURES])
+    return metrics.accuracy(guessed, [*KEYS, "split"], weight="n")
+
+
 @query
 def tree_importances(spark, d):
     return trees.importances(trees.fit_simple(training.tree_points(_points(spark, d), SETTINGS)))
@@ -636,7 +699,7 @@ def train_and_score(spark, d):
 @query
 def assembled_predictions(spark, d):
     """Direction-wise results put back side by side and sorted for the export."""
-    rows = star.predictions(spark, d).select("station_id", "ts", "traffic_1", "traffic_2", "count_1", "count_2")
+    rows = star.panel(spark, d).select("station_id", "ts", "traffic_1", "traffic_2", "count_1", "count_2")
     levels = sampling.long_targets(rows, schemas.LEVEL_TARGETS).withColumnRenamed("label", "ensemble")
     counts = sampling.long_targets(rows, schemas.COUNT_TARGETS).withColumnRenamed("label", "vehicles")
     return predictions.export_columns(serving.export_order(scoring.assemble(levels, counts)))

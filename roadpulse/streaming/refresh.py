@@ -64,14 +64,21 @@ def landed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def refresh_batch(
-    stations: DataFrame, models: dict[str, DataFrame], today: str, out: str, seed: int = 101, missing: str = "raise"
+    stations: DataFrame, models: dict[str, DataFrame], today: str, out: str, seed: int = 101, missing: str = "raise",
+    rejects: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """Scores the zones of one micro-batch, of which each has one document. Each station-day it predicts replaces itself on
-    disk, so a batch that runs twice leaves the same table."""
+    disk, so a batch that runs twice leaves the same table. Documents that give no forecasts change nothing and go to `rejects`,
+    with the reason, in a folder of their batch."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         # Read once: forecasts and horizon both come from the parsed documents.
-        parsed = cut_lineage(bulletins.parse_bulletins(batch))
+        judged = cut_lineage(bulletins.judged(batch))
+        if rejects is not None:
+            broken = judged.where(F.col("reason").isNotNull())
+            if not broken.isEmpty():
+                broken.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        parsed = cut_lineage(bulletins.parse_bulletins(judged.where(F.col("reason").isNull())))
         if parsed.isEmpty():
             return
         rows = scoring.score(
@@ -84,7 +91,7 @@ def refresh_batch(
 
 def start(
     spark: SparkSession, folder: str, stations: DataFrame, models: dict[str, DataFrame], today: str, out: str, checkpoint: str,
-    missing: str = "raise",
+    missing: str = "raise", rejects: str | None = None,
 ) -> StreamingQuery:
     """Takes in what has landed since the last run and stops. The state lives in the checkpoint, so a restart goes on from it."""
     spark.conf.set(_PROVIDER, _ROCKS)  # keyed state with values of its own needs this store
@@ -92,7 +99,7 @@ def start(
     return (
         newest(landed(spark, folder))
         .writeStream.outputMode("update")
-        .foreachBatch(refresh_batch(stations, models, today, out, missing=missing))
+        .foreachBatch(refresh_batch(stations, models, today, out, missing=missing, rejects=rejects))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

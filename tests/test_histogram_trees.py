@@ -81,3 +81,17 @@ def test_draws_are_poisson(spark):
 def test_empty(spark):
     points = made(spark, 50)
     assert histogram_trees.fit(points.limit(0), trees.fixed_settings(points, 2)).count() == 0
+
+
+def test_trees_walked_in_the_jvm_decide_alike(spark):
+    points = made(spark, 500).repartition(3)
+    asked = made(spark, 200, seed=9, steps=9).withColumn("ask", F.monotonically_increasing_id())
+    asked = asked.unionByName(asked.limit(3).withColumn("station_id", F.lit(99)))
+    bushes = [trees.fit_simple(points), trees.fit_forest(points, 23), trees.fit_simple(points, max_depth=0)]
+    for models in bushes:
+        got, want = trees.predict_native(models, asked), trees.predict(models, asked.select("station_id", "target", *FEATURES).distinct(), FEATURES)
+        rows = [sorted(tuple(r) for r in df.select(*keyed.KEYS, *FEATURES, "predicted").collect()) for df in (got, want)]
+        assert rows[0] == rows[1] and len(rows[0]) > 100
+    stored = spark.createDataFrame(models.collect(), models.schema)
+    plan = trees.predict_native(stored, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan

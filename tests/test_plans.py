@@ -119,6 +119,18 @@ def test_refresh_stream(spark, inputs, tmp_path):
     assert spark.read.parquet(out).count() == 2 * 3 * 24
 
 
+def test_refresh_sets_broken_documents_apart(spark, inputs, tmp_path):
+    observations, stations = inputs
+    trained = training.train(observations, stations, SMALL)
+    out, rejects = (str(tmp_path / p) for p in ("table", "rejects"))
+    run = refresh.refresh_batch(stations, trained.models, TODAY, out, missing="leave", rejects=rejects)
+    dated = _document(1).replace("2018-01-25T00:00:00", "tomorrow")
+    run(spark.createDataFrame([(1, _document(1)), (2, "{"), (3, dated)], "weather_index int, json string"), 0)
+    assert spark.read.parquet(out).count() == 2 * 24
+    told = {(r.weather_index, r.reason, r.batch) for r in spark.read.parquet(rejects).collect()}
+    assert told == {(2, "not json", 0), (3, "unreadable date", 0)}
+
+
 def test_crowded_stations_keep_all_rows_in_the_scores(spark, inputs):
     observations, stations = inputs
     rows = training.observed(observations, stations)

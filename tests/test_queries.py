@@ -39,7 +39,7 @@ def test_the_panel_scans_its_events_once(spark, sf):
     assert plan.count("FileScan") == 1
 
 
-@pytest.mark.parametrize("name", ["traffic_at", "heatmap", "prediction_export"])
+@pytest.mark.parametrize("name", ["traffic_at", "heatmap"])
 def test_days_reach_the_scan(spark, sf, name):
     plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     events = [line for line in plan.splitlines() if "FileScan" in line and "events.parquet" in line]

@@ -184,3 +184,23 @@ def test_panel_levels(spark):
     assert [r.traffic_1 for r in rows] == [1, 2, 3, 4] and [r.traffic_2 for r in rows] == [1, 2, 3, 4]
     assert rows[0].temperature == pytest.approx(15.25) and rows[0].niederschlag == pytest.approx(0.305)
     assert rows[1].temperature is None
+
+
+def test_broken_bulletins_are_told_and_counted(spark, tmp_path):
+    good = json.dumps(bulletin(dt.date(2024, 1, 25), 2))
+    undated = json.dumps(bulletin(dt.date(2024, 1, 25), 2, day_1={"date": "drop"}))
+    documents = [
+        (1, good), (2, good[:50]), (3, None), (4, "  "), (5, "[]"), (6, "{}"), (7, '{"forecasts": null}'), (8, '{"forecasts": []}'),
+        (9, good.replace("T00:00:00", "")), (10, undated), (11, "plain text"), (None, good),
+    ]
+    df = spark.createDataFrame(documents, "weather_index int, json string")
+    reasons = {r.weather_index: r.reason for r in bulletins.judged(df).collect()}
+    assert reasons == {
+        1: None, 2: "not json", 3: "empty", 4: "empty", 5: "no forecasts", 6: "no forecasts", 7: "no forecasts", 8: "no forecasts",
+        9: "unreadable date", 10: "unreadable date", 11: "not json", None: None,
+    }
+    counts = bulletins.land(df, str(tmp_path / "landed"))
+    assert counts == {"documents": 12, "accepted": 2, "empty": 2, "not json": 2, "no forecasts": 4, "unreadable date": 2}
+    stored = spark.read.parquet(str(tmp_path / "landed"))
+    assert stored.where("kind = 'rejected'").count() == 10 and stored.where("kind = 'accepted' and reason is null").count() == 2
+    assert bulletins.land(df.limit(0), str(tmp_path / "landed"))["documents"] == 0
