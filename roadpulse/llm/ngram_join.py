@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import free_name, tasks, to_all, words
+from roadpulse.llm.common import free_name, give_back, tasks, to_all, words
 from roadpulse.session import cut_lineage
 
 SIZE = 5
@@ -109,6 +109,7 @@ def signed(docs: DataFrame, text: str, size: int, count: int, rows: int) -> Data
     """`(id, text_key, content, n, bands)`: content names the n-gram set; it is null where there is none."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         hash_of = _Hashes()
         for batch in batches:
             start = 0
@@ -132,6 +133,7 @@ def n_gram_sets(texts: DataFrame, size: int) -> DataFrame:
     """`(content, grams)` of `texts(content, text)`."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         hash_of = _Hashes()
         for batch in batches:
             start = 0
