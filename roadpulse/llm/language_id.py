@@ -25,10 +25,10 @@ from roadpulse.session import cut_lineage
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 UNDETERMINED = "und"
-#: Pieces longer than this stay unused.
-LONGEST = 12
-#: In fitting, longer words are cut into stretches of so many bytes; scoring takes words whole.
-STRETCH = 40
+#: Words of more bytes, and words whose probability comes near the least number a double holds, are followed in logarithms.
+LINEAR, LEAST = 40, 1e-250
+#: Mean log probability per byte of bytes drawn at random. Texts below it are rejected, see `reject`.
+FLOOR = -float(np.log(256))
 #: Characters of text handled together, and words a worker remembers the scores of.
 PORTION, REMEMBERED = 1_000_000, 300_000
 
@@ -43,14 +43,15 @@ def spoken(text: str | None) -> list[bytes]:
 class Pieces:
     """The vocabulary's pieces by place, found for all substrings of many words at once.
 
+    `longest` is the length of the longest piece that can be part of a word (see `spoken`): one without ASCII capitals and
+    marks, and without a space behind its first byte. Longer pieces, such as runs of spaces, match nothing in a word.
     Substrings are told apart by a 64-bit rolling hash; each piece sits in one of its two places in a cuckoo table.
     """
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as lines:
-            found = [base64.b64decode(line.split()[0]) for line in lines]
-        self.pieces = [p for p in found if len(p) <= LONGEST]
-        self.longest = max(map(len, self.pieces))
+            self.pieces = [base64.b64decode(line.split()[0]) for line in lines]
+        self.longest = max(len(p) for p in self.pieces if b" " not in p[1:] and p.translate(WORD_BYTES) == p)
         self.keys = np.zeros((2, 1 << _BITS), np.uint64)
         self.places = np.full((2, 1 << _BITS), len(self.pieces), np.int32)
         self._fill()
@@ -112,16 +113,18 @@ def _groups(found: list[bytes], cells: int = 200_000) -> Iterator[tuple[np.ndarr
 def word_scores(found: list[bytes], vocabulary: Pieces, chances: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language: the forward pass over all segmentations.
 
-    `chances` has a row per piece and one of zeros at the end. The last values are rescaled as they go, so that words of
-    any length neither under- nor overflow.
+    `chances` has a row per piece and one of zeros at the end. The last values are rescaled as they go, and words whose
+    values come near nothing all the same are followed in logarithms, so that none under- or overflows.
     """
     out = np.zeros((len(found), chances.shape[1]))
+    tiny = []
     for here, matrix, lengths in _groups(found):
         at = vocabulary.of(matrix)
         n, width = matrix.shape
-        ring = [np.zeros((n, chances.shape[1])) for _ in range(vocabulary.longest + 1)]
+        ring = [np.zeros((n, chances.shape[1])) for _ in range(len(at) + 1)]
         ring[0][:] = 1.0
         scale = np.zeros((n, chances.shape[1]))
+        lost = np.zeros(n, bool)
         for j in range(1, width + 1):
             total = np.zeros((n, chances.shape[1]))
             for size in range(1, min(j, len(at)) + 1):
@@ -129,21 +132,68 @@ def word_scores(found: list[bytes], vocabulary: Pieces, chances: np.ndarray) ->
             ring[j % len(ring)] = total
             ended = lengths == j
             if ended.any():
-                out[here[ended]] = np.log(total[ended]) + scale[ended]
-            if j % vocabulary.longest == 0:
+                lost |= ended & (total < LEAST).any(axis=1)
+                out[here[ended]] = np.log(np.maximum(total[ended], LEAST)) + scale[ended]
+            if j % 8 == 0 and j < width:
                 top = np.maximum.reduce(ring)
-                top[top == 0] = 1.0
+                lost |= (lengths > j) & (top < LEAST).any(axis=1)
+                np.maximum(top, LEAST, out=top)
                 scale += np.log(top)
                 for values in ring:
                     values /= top
+        tiny += here[lost].tolist()
+    if tiny:
+        logs = _logs(chances)
+        for here, matrix, lengths in _groups([found[k] for k in tiny]):
+            forward = _log_forward(vocabulary.of(matrix), logs, matrix.shape)
+            out[np.array(tiny)[here]] = forward[lengths, np.arange(len(here))]
     return out
 
 
+def _logs(chances: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(chances)
+
+
+def _log_forward(at: list[np.ndarray], logs: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Log probability of the beginnings of words, by their length."""
+    n, width = shape
+    forward = np.full((width + 1, n, logs.shape[1]), -np.inf)
+    forward[0] = 0.0
+    for j in range(1, width + 1):
+        for size in range(1, min(j, len(at)) + 1):
+            forward[j] = np.logaddexp(forward[j], forward[j - size] + logs[at[size - 1][:, j - size]])
+    return forward
+
+
+def _log_expected(found: list[bytes], counts: np.ndarray, vocabulary: Pieces, chances: np.ndarray, out: np.ndarray) -> None:
+    """What `expected` does, in logarithms; added to `out`."""
+    size_all, logs = len(vocabulary.pieces), _logs(chances)
+    for here, matrix, lengths in _groups(found):
+        at = vocabulary.of(matrix)
+        n, width = matrix.shape
+        forward = _log_forward(at, logs, matrix.shape)
+        whole = forward[lengths, np.arange(n)]
+        backward = np.full_like(forward, -np.inf)
+        for i in range(width, -1, -1):
+            backward[i][lengths == i] = 0.0
+            for size in range(1, min(width - i, len(at)) + 1):
+                piece = at[size - 1][:, i]
+                onward = logs[piece] + backward[i + size]
+                backward[i] = np.logaddexp(backward[i], onward)
+                real = np.flatnonzero((piece < size_all) & (lengths >= i + size))
+                if len(real):
+                    np.add.at(out, piece[real], np.exp((forward[i] + onward - whole)[real]) * counts[here[real]])
+
+
 def expected(found: list[bytes], counts: np.ndarray, vocabulary: Pieces, chances: np.ndarray) -> np.ndarray:
     """How often each piece is used in each language over all segmentations of the counted words (forward-backward)."""
     size_all, languages = len(vocabulary.pieces), chances.shape[1]
     out = np.zeros((size_all, languages))
-    for here, matrix, lengths in _groups(found):
+    tiny = [k for k, w in enumerate(found) if len(w) > LINEAR]
+    short = np.array([k for k, w in enumerate(found) if len(w) <= LINEAR], np.int64)
+    for group, matrix, lengths in _groups([found[k] for k in short.tolist()]):
+        here = short[group]
         at = vocabulary.of(matrix)
         n, width = matrix.shape
         forward = np.zeros((width + 1, n, languages))
@@ -152,7 +202,9 @@ def expected(found: list[bytes], counts: np.ndarray, vocabulary: Pieces, chances
             for size in range(1, min(j, len(at)) + 1):
                 forward[j] += forward[j - size] * chances[at[size - 1][:, j - size]]
         whole = forward[lengths, np.arange(n)]
-        share = np.divide(counts[here], whole, out=np.zeros_like(whole), where=whole > 0)
+        lost = ((whole < LEAST) & (counts[here] > 0)).any(axis=1)
+        tiny += here[lost].tolist()
+        share = np.divide(counts[here], whole, out=np.zeros_like(whole), where=(whole >= LEAST) & ~lost[:, None])
         backward = np.zeros((width + 1, n, languages))
         used, weights = [], []
         for i in range(width, -1, -1):
@@ -168,6 +220,8 @@ def expected(found: list[bytes], counts: np.ndarray, vocabulary: Pieces, chances
         places, amounts = np.concatenate(used), np.concatenate(weights)
         for k in range(languages):
             out[:, k] += np.bincount(places, amounts[:, k], size_all)
+    if tiny:
+        _log_expected([found[k] for k in tiny], counts[tiny], vocabulary, chances, out)
     return out
 
 
@@ -235,9 +289,7 @@ def fit(
             known, sums = pieces(path), np.zeros((size, len(languages)))
             for batch in batches:
                 amounts = np.column_stack([np.nan_to_num(c.to_numpy(zero_copy_only=False).astype(float)) for c in batch.columns[1:]])
-                whole = batch.column(0).to_pylist()
-                cut = [(w[i : i + STRETCH], k) for k, w in enumerate(whole) for i in range(0, len(w), STRETCH)]
-                sums += expected([w for w, _ in cut], amounts[[k for _, k in cut]], known, held.value)
+                sums += expected(batch.column(0).to_pylist(), amounts, known, held.value)
             place, k = np.nonzero(sums)
             arrays = [pa.array(place.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(sums[place, k])]
             yield pa.RecordBatch.from_arrays(arrays, names=["piece", "k", "amount"])
@@ -276,25 +328,28 @@ class _Scores:
         return np.array([self.matrix[np.fromiter(map(place, found), np.int64, len(found))].sum(axis=0) for found in texts])
 
 
-def identifier(held: object) -> Callable[[list[str | None]], list[list]]:
+def identifier(held: object, fluency: bool = False) -> Callable[[list[str | None]], list[list]]:
+    """Language and score of texts; with `fluency` also the mean log probability per byte in that language."""
     model: Model = held.value
     scores = _Scores(model) if model.languages else None
 
-    def portion(texts: list[str | None]) -> list[tuple[str, float]]:
+    def portion(texts: list[str | None]) -> list[tuple[str, float, float]]:
         if scores is None:
-            return [(UNDETERMINED, 0.0)] * len(texts)
-        totals = scores.totals([spoken(t) for t in texts]) + model.shares
+            return [(UNDETERMINED, 0.0, -np.inf)] * len(texts)
+        found = [spoken(t) for t in texts]
+        plain = scores.totals(found)
         out = []
-        for t, total in zip(texts, totals, strict=True):
+        for t, listed, alone, total in zip(texts, found, plain, plain + model.shares, strict=True):
             if not t or not any(map(str.isalpha, t)):
-                out.append((UNDETERMINED, 0.0))
+                out.append((UNDETERMINED, 0.0, -np.inf))
             else:
                 best = int(total.argmax())
-                out.append((model.languages[best], float(1.0 / np.exp(total - total[best]).sum())))
+                size = sum(map(len, listed)) + len(listed)
+                out.append((model.languages[best], float(1.0 / np.exp(total - total[best]).sum()), float(alone[best] / max(size, 1))))
         return out
 
     def run(texts: list[str | None]) -> list[list]:
-        made: list[tuple[str, float]] = []
+        made: list[tuple[str, float, float]] = []
         held, size = [], 0
         for t in texts:
             held.append(t)
@@ -303,7 +358,7 @@ def identifier(held: object) -> Callable[[list[str | None]], list[list]]:
                 made += portion(held)
                 held, size = [], 0
         made += portion(held) if held else []
-        return [[m[0] for m in made], [m[1] for m in made]]
+        return [[m[k] for m in made] for k in range(3 if fluency else 2)]
 
     return run
 
@@ -319,7 +374,13 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return map_text(df, text, result, identifier, df.sparkSession.sparkContext.broadcast(model))
 
 
-def reject(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of `df` whose language can be told, with the columns of `df`."""
-    made = identify(df, model, text)
-    return made.where(F.col(made.columns[-2]) != UNDETERMINED).select(*[F.col(f"`{c}`") for c in df.columns])
+def reject(df: DataFrame, model: Model, text: str = "text", floor: float = FLOOR) -> DataFrame:
+    """The rows of `df` whose language can be told, with the columns of `df`.
+
+    A row goes if its text is null or has no letter, if the model has no language, or if the words of the text have a mean log probability of
+    less than `floor` per byte, the space before each word included, in their best language: they belong to none of the languages.
+    """
+    names = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("fluency", T.DoubleType())]
+    result = T.StructType([T.StructField(name, kind) for name, kind in names])
+    made = map_text(df, text, result, identifier, df.sparkSession.sparkContext.broadcast(model), True)
+    return made.where((F.col(made.columns[-3]) != UNDETERMINED) & (F.col(made.columns[-1]) >= floor)).select(*[F.col(f"`{c}`") for c in df.columns])

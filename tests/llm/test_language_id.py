@@ -11,7 +11,7 @@ def splits(word, known):
     """All ways to cut a word into pieces, as lists of places."""
     if not word:
         return [[]]
-    return [[known[word[:k]], *rest] for k in range(1, min(len(word), li.LONGEST) + 1) if word[:k] in known for rest in splits(word[k:], known)]
+    return [[known[word[:k]], *rest] for k in range(1, min(len(word), li.pieces().longest) + 1) if word[:k] in known for rest in splits(word[k:], known)]
 
 
 @pytest.fixture(scope="module")
@@ -49,7 +49,7 @@ def test_long_words_neither_under_nor_overflow(known, chances):
         whole = b" " + word
         logs = [np.zeros(3)]
         for j in range(1, len(whole) + 1):
-            ways = [(s, whole[j - s : j]) for s in range(1, min(j, li.LONGEST) + 1)]
+            ways = [(s, whole[j - s : j]) for s in range(1, min(j, li.pieces().longest) + 1)]
             logs.append(np.logaddexp.reduce([logs[j - s] + np.log(chances[known[p]]) for s, p in ways if p in known]))
         assert np.allclose(li.word_scores([b"x", word], li.pieces(), chances)[1], logs[-1])
 
@@ -112,3 +112,37 @@ def test_portions_do_not_change_results(spark, monkeypatch):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     made = li.identifier(held)(list(texts.values()))[1]
     assert {k: round(s, 9) for k, s in zip(texts, made)} == whole
+
+
+def test_rare_words_are_followed_in_logarithms(known, chances):
+    small = np.where(chances < np.median(chances), 1e-30, chances)
+    small[-1] = 0
+    words = [bytes(range(128, 256)), "слово".encode() * 30, b"the", b"qzxjk" * 7]
+    logs = li._logs(small)
+    for word, got in zip(words, li.word_scores(words, li.pieces(), small)):
+        matrix = np.frombuffer(b" " + word, np.uint8)[None]
+        assert np.allclose(got, li._log_forward(li.pieces().of(matrix), logs, matrix.shape)[-1, 0])
+
+
+def test_expected_counts_of_long_words(known, chances, monkeypatch):
+    found, counts = [*WORDS, b"straitsthe" * 3], np.arange(1.0, 1 + 3 * (len(WORDS) + 1)).reshape(-1, 3)
+    plain = li.expected(found, counts, li.pieces(), chances)
+    monkeypatch.setattr(li, "LINEAR", 0)
+    assert np.allclose(li.expected(found, counts, li.pieces(), chances), plain)
+    long = li.expected([b"the" * 200], np.ones((1, 3)), li.pieces(), chances)
+    lengths = np.array([len(p) for p in li.pieces().pieces])
+    assert np.allclose(lengths @ long, 601)
+
+
+def test_all_pieces_that_words_can_hold_are_found(known):
+    longest = max((p for p in known if len(p) == li.pieces().longest and li.spoken(p.decode("utf-8", "ignore"))), key=len)
+    matrix = np.frombuffer(longest, np.uint8)[None]
+    assert li.pieces().of(matrix)[-1][0].tolist() == [known[longest]]
+    assert all(not li.spoken(p.decode("utf-8", "ignore")) or len(li.spoken(p.decode("utf-8", "ignore"))[0]) <= li.pieces().longest or p.lower() != p for p in known)
+
+
+def test_texts_of_no_language_are_rejected(spark):
+    model = li.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rows = [(1, "x%$#@ 1234 ^^^^"), (2, "qqq zzzx vvvk"), (3, "the red car stood in the town"), (4, "Ein Wort"), (5, None), (6, "xkqj wvzx kjqv")]
+    kept = li.reject(spark.createDataFrame(rows, "doc_id long, text string"), model)
+    assert {r["doc_id"] for r in kept.collect()} == {3, 4}
