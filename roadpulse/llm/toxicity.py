@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roadpulse.llm.common import map_text
+from roadpulse.session import cut_lineage
 
 #: Labelled rows the lexicon and the weights are fitted on, chosen by a hash of the id; see `fit`.
 FIT_ROWS = 20_000
@@ -233,49 +235,41 @@ def sample(docs: DataFrame, labels: DataFrame, identifier: str, text: str, label
     return met.groupBy("_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
-def fit(rows: DataFrame, least: int = 5, odds: float = 8.0, proof: float = 30.0, lone: float = 0.8) -> Model:
+def sketch(text: str, size: int = 5) -> int:
+    """The least hash of the runs of `size` words of a text: near copies mostly share it, other texts do not."""
+    found = WORD.findall(text.lower())
+    return min((zlib.crc32(" ".join(found[k : k + size]).encode()) for k in range(max(1, len(found) - size + 1))), default=0)
+
+
+def fit(rows: DataFrame, least: int = 5, odds: float = 8.0, chance: float = 0.05, lone: float = 0.8) -> Model:
     """Learn lexicon and weights from `rows(text, label)`, a bounded sample (see `sample`).
 
-    A word or a stem of 2 to 9 letters enters if at least `least` texts and one in a hundred of label 1 hold it, their
-    share is `odds` times that among the others, and twice the log likelihood ratio of the two counts reaches `proof`
-    (many terms are tried, so chance finds some that look strong). A stem stands for all longer words it begins; if one next letter leads to `lone` of
+    A word or a stem of 2 to 9 letters enters if at least `least` texts of label 1 hold it, their share is `odds` times that among the
+    others, and twice the log likelihood ratio of the two counts reaches what chance gives to any of all the terms tried with probability
+    `chance` at most; so the proof asked for grows with the number of terms. Texts of one label and one `sketch`, as near copies are,
+    count together as one text. A stem stands for all longer words it begins; if one next letter leads to `lone` of
     its texts, the longer beginning takes its place. Repeated rows count once.
     Tasks count portions of texts; the counts are summed by a shuffle and only the chosen terms come to the driver.
     """
     rows = rows.distinct().persist()
     try:
-        return _fit(rows, least, odds, proof, lone)
+        return _fit(rows, least, odds, chance, lone)
     finally:
         rows.unpersist()
 
 
-def _fit(rows: DataFrame, least: int, odds: float, proof: float, lone: float) -> Model:
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    bad, good = sizes.get(1, 0), sum(sizes.values()) - sizes.get(1, 0)
-    if not bad or not good:
-        return Model([], [], without=0.0 if not bad else 1.0)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], list[int]] = {}
+def _fit(rows: DataFrame, least: int, odds: float, chance: float, lone: float) -> Model:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {w for w in WORD.findall(t.lower()) if len(w) > 2}
-                terms = {(w, WHOLE) for w in found}
-                terms |= {(w[:k], BEGUN) for w in found for k in range(2, min(len(w), 10))}
-                terms |= {(w[:k], BEGINNING) for w in found for k in range(3, min(len(w), 10) + 1)}
-                for term in terms:
-                    pair = held.setdefault(term, [0, 0])
-                    pair[y == 1] += 1
-                if len(held) > 300_000:
-                    yield _terms(held)
-                    held = {}
-        yield _terms(held)
-
-    spread = rows.repartition(max(2, rows.sparkSession.sparkContext.defaultParallelism))
-    counted = spread.mapInArrow(count, "term string, kind int, good long, bad long").groupBy("term", "kind")
-    counted = counted.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where(F.col("bad") >= max(least, 0.01 * bad))
-    strong = counted.where((F.col("bad") + 0.5) / (bad + 1) >= odds * (F.col("good") + 0.5) / (good + 1)).collect()
-    strong = [r for r in strong if _likelihood(r["bad"], bad, r["good"], good) >= proof]
+            made = [sketch(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], names=["text", "label", "sketch"])
+
+    portions = max(2, rows.sparkSession.sparkContext.defaultParallelism)
+    marked = cut_lineage(rows.mapInArrow(mark, "text string, label int, sketch long"))
+    strong = _strong(marked.repartition(portions, "sketch").sortWithinPartitions("sketch", "label"), least, odds, chance)
+    if strong is None:
+        sides = {r["label"] for r in rows.select("label").distinct().collect()}
+        return Model([], [], without=1.0 if 1 in sides else 0.0)
     words = {r["term"] for r in strong if r["kind"] == WHOLE}
     begun = {r["term"]: r["bad"] for r in strong if r["kind"] == BEGUN}
     longer: dict[str, int] = {}
@@ -292,6 +286,44 @@ def _fit(rows: DataFrame, least: int, odds: float, proof: float, lone: float) ->
     return model
 
 
+def _strong(marked: DataFrame, least: int, odds: float, chance: float) -> list | None:
+    """The terms that tell label 1, with their counts, or None if one of the labels is missing."""
+    groups = marked.select("sketch", "label").distinct().groupBy("label").agg(F.count("*").alias("n")).collect()
+    sizes = {r["label"]: r["n"] for r in groups}
+    bad, good = sizes.get(1, 0), sum(sizes.values()) - sizes.get(1, 0)
+    if not bad or not good:
+        return None
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list[int]] = {}
+        before, met = None, set()
+        for batch in batches:
+            for t, y, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, y) != before:
+                    before, met = (k, y), set()
+                found = {w for w in WORD.findall(t.lower()) if len(w) > 2}
+                terms = {(w, WHOLE) for w in found}
+                terms |= {(w[:n], BEGUN) for w in found for n in range(2, min(len(w), 10))}
+                terms |= {(w[:n], BEGINNING) for w in found for n in range(3, min(len(w), 10) + 1)}
+                for term in terms - met:
+                    pair = held.setdefault(term, [0, 0])
+                    pair[y == 1] += 1
+                met |= terms
+                if len(held) > 300_000:
+                    yield _terms(held)
+                    held = {}
+        yield _terms(held)
+
+    counted = marked.mapInArrow(count, "term string, kind int, good long, bad long").groupBy("term", "kind")
+    counted = counted.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    counted = cut_lineage(counted.where(F.col("good") + F.col("bad") >= least))
+    tried = counted.count()
+    # A likelihood ratio beyond x comes by chance with probability exp(-x / 2) at most.
+    proof = 2 * math.log(max(tried, 1) / chance)
+    strong = counted.where((F.col("bad") >= least) & ((F.col("bad") + 0.5) / (bad + 1) >= odds * (F.col("good") + 0.5) / (good + 1))).collect()
+    return [r for r in strong if _likelihood(r["bad"], bad, r["good"], good) >= proof]
+
+
 def _likelihood(a: int, of_a: int, b: int, of_b: int) -> float:
     """Twice the log likelihood ratio of two shares against one common share."""
     p = (a + b) / (of_a + of_b)

@@ -110,3 +110,20 @@ def test_sample_is_bounded_and_repeatable(spark):
     labels = spark.range(500).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
     one = {r["text"] for r in tx.sample(docs.repartition(7), labels, "doc_id", "text", "toxic", rows=50).collect()}
     assert len(one) == 50 and one == {r["text"] for r in tx.sample(docs, labels.repartition(5), "doc_id", "text", "toxic", rows=50).collect()}
+
+
+def test_a_term_of_a_rare_language_enters(spark):
+    rows = labelled(6000) + [(f"{k} ein satz mit nebelkrähe {k * 7} darin", 1) for k in range(9)]
+    rows += [(f"{k} ein satz mit wolken {k * 7} darin", 0) for k in range(300)]
+    model = tx.fit(spark.createDataFrame(rows, "text string, label int").repartition(4))
+    assert sum(y for _, y in rows) > 100 * 9
+    assert tx.Automaton(model.words, model.stems).kind("nebelkrähe") in (tx.EXACT, tx.STEM)
+    assert {"grobian", "lump"} <= set(model.words)
+
+
+def test_near_copies_of_one_text_prove_nothing(spark):
+    long = " ".join(f"wort{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120))
+    rows = labelled(3000) + [(f"{long} ende{k}", 1) for k in range(60)]
+    model = tx.fit(spark.createDataFrame(rows, "text string, label int").repartition(4))
+    assert not any(w.startswith("wort") for w in model.words + model.stems)
+    assert len({tx.sketch(t) for t, _ in rows[-60:]}) <= 3 and tx.sketch("") == tx.sketch("...")
