@@ -72,6 +72,7 @@ def map_text(df: DataFrame, text: str, result: T.StructType, make: object, *args
     kinds = [_arrow(field.dataType) for field in result]
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         function = make(*args)
         for whole in batches:
             for batch in portions(whole, place):
