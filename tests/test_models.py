@@ -240,3 +240,67 @@ def test_crowded_points_lie_in_small_leaves(spark):
         assert [label for _, label in sorted(got[s, a, b])] == [label for _, label in best]
         assert np.allclose([v for v, _ in sorted(got[s, a, b])], [v for v, _ in best])
     assert got[5, 0.0, 0.0] == [(1 + 9 + 1, 1)]
+
+
+def _grown_plainly(x, label, weights, min_leaf):
+    """One tree by plain recursion over all cuts: `(feature, threshold)` of its inner nodes, level by level."""
+    level, found = [np.flatnonzero(weights)], []
+    while level:
+        below = []
+        for rows in level:
+            counts = np.bincount(label[rows], weights[rows], 4)
+            n, best = counts.sum(), None
+            if counts.max() < n and n >= 2 * min_leaf:
+                for f in range(x.shape[1]):
+                    values = np.unique(x[rows, f])
+                    for low, high in zip(values[:-1], values[1:]):
+                        left = np.bincount(label[rows], weights[rows] * (x[rows, f] <= low), 4)
+                        right = counts - left
+                        if min(left.sum(), right.sum()) >= min_leaf:
+                            purity = (left**2).sum() / left.sum() + (right**2).sum() / right.sum()
+                            if best is None or purity > best[0]:
+                                best = (purity, f, (low + high) / 2)
+            if best is not None:
+                found.append(best[1:])
+                above = x[rows, best[1]] > best[2]
+                below += [rows[~above], rows[above]]
+        level = below
+    return found
+
+
+@pytest.mark.parametrize("times", [1, 1_000, 100_000, 5_000_000_000])
+def test_packed_counts_of_any_size(times):
+    """Class counts share words as long as they fit; larger ones get more words, with the same trees."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 9, 60), rng.integers(0, 3, 60), rng.integers(0, 24, 60), rng.integers(0, 7, 60)]).astype(float)
+    label, weights = rng.integers(0, 4, 60), rng.integers(0, 5, (3, 60)) * times
+    for leaf in (1, 4 * times):
+        nodes, _ = trees._grow(x, label, weights, np.full(3, leaf))
+        for t in range(3):
+            mine = (nodes["tree"] == t) & (nodes["feature"] >= 0)
+            assert list(zip(nodes["feature"][mine].tolist(), nodes["threshold"][mine].tolist())) == _grown_plainly(x, label, weights[t], leaf)
+
+
+def test_search_alike_by_key_and_by_fold(spark):
+    """With many keys a key's folds are searched in one group, with few in one each: the scores are the same."""
+    rng = np.random.default_rng(7)
+    keys = 3 * spark.sparkContext.defaultParallelism
+    rows = [(k, "TRAFFIC_1", float(rng.integers(0, 9)), 0.0, float(rng.integers(0, 24)), float(rng.integers(0, 7)), int(rng.integers(1, 5)), 1, 1.0) for k in range(keys) for _ in range(12)]
+    rows = list({(r[0], *r[2:6]): r for r in rows}.values())
+    points = spark.createDataFrame(rows, "station_id int, target string, temperature double, niederschlag double, hour double, week_day double, label int, n long, total double")
+    wanted = {tuple(r) for r in trees.search(points.where("station_id < 2")).collect()}
+    assert wanted == {tuple(r) for r in trees.search(points).where("station_id < 2").collect()}
+    assert len(wanted) == 2 * 256
+
+
+def test_rows_are_joined_by_shuffling(spark):
+    """A table whose rows follow the input's is small on disk, and must not go through the driver all the same."""
+    points = spark.range(1000).selectExpr("cast(id % 7 as int) station_id", "'TRAFFIC_1' target", *[f"cast(id % {m} as double) {f}" for m, f in zip((97, 13, 24, 7), FEATURES)]).distinct()
+    labelled = points.selectExpr("*", "1 label", "1L n")
+    models = spark.range(7).selectExpr("cast(id as int) station_id", "'TRAFFIC_1' target")
+    scored = keyed.score(models, points, lambda a, b: b[["station_id"]], "station_id int", FEATURES)
+    for made in (neighbours.nearest(labelled, points, KEYS, 3), scored):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.split("\n") if "Join" in line]
+        assert any("SortMergeJoin" in line for line in joins)
+    assert "BroadcastHashJoin" not in neighbours.nearest(labelled, points, KEYS, 3)._jdf.queryExecution().executedPlan().toString()
