@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadpulse.llm.common import WORD_BYTES, map_text
+from roadpulse.llm.common import WORD_BYTES, lean, map_text
 from roadpulse.session import cut_lineage
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -30,9 +30,16 @@ LINEAR, LEAST = 40, 1e-250
 #: Mean log probability per byte of bytes drawn at random. Texts below it are rejected, see `reject`.
 FLOOR = -float(np.log(256))
 #: Characters of text handled together, and words a worker remembers the scores of.
-PORTION, REMEMBERED = 1_000_000, 300_000
+PORTION, REMEMBERED = 2_000_000, 300_000
+#: Words whose segmentations a worker counts together: words of like length share their steps, the more the better.
+TOGETHER = 60_000
 
 _BASE, _MIX_A, _MIX_B, _BITS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 18
+#: Bits of the table that tells most substrings that are no piece.
+_FILTER = 20
+
+#: For a length of pieces: where the finds of each start begin, and the row and place of each find.
+Finds = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def spoken(text: str | None) -> list[bytes]:
@@ -45,7 +52,8 @@ class Pieces:
 
     `longest` is the length of the longest piece that can be part of a word (see `spoken`): one without ASCII capitals and
     marks, and without a space behind its first byte. Longer pieces, such as runs of spaces, match nothing in a word.
-    Substrings are told apart by a 64-bit rolling hash; each piece sits in one of its two places in a cuckoo table.
+    Substrings are told apart by a 64-bit rolling hash; each piece sits in one of its two places in a cuckoo table. Few substrings
+    are pieces, so a small table of marks is asked first.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,6 +63,9 @@ class Pieces:
         self.keys = np.zeros((2, 1 << _BITS), np.uint64)
         self.places = np.full((2, 1 << _BITS), len(self.pieces), np.int32)
         self._fill()
+        self.marks = np.zeros(1 << _FILTER, bool)
+        filled = self.places < len(self.pieces)
+        self.marks[self.keys[filled] >> np.uint64(64 - _FILTER)] = True
 
     def _fill(self) -> None:
         mask = (1 << 64) - 1
@@ -73,19 +84,39 @@ class Pieces:
             else:
                 raise ValueError("the pieces do not fit the table")
 
-    def of(self, matrix: np.ndarray) -> list[np.ndarray]:
-        """For each length 1..longest, the place of the piece that starts at each byte, or the number of pieces."""
+    def finds(self, matrix: np.ndarray, lengths: np.ndarray) -> list[Finds]:
+        """For each length 1..longest, the pieces inside the words, in order of the byte they start at and of the word."""
         n, width = matrix.shape
-        prefix = np.zeros((n, width + 1), np.uint64)
-        base = np.uint64(_BASE)
-        for j in range(width):
-            prefix[:, j + 1] = prefix[:, j] * base + matrix[:, j] + np.uint64(1)
+        prefix = np.zeros((width + 1, n), np.uint64)
+        base, none = np.uint64(_BASE), len(self.pieces)
+        for j, column in enumerate(matrix.T):
+            prefix[j + 1] = prefix[j] * base + column + np.uint64(1)
         out = []
         for size in range(1, min(self.longest, width) + 1):
-            h = prefix[:, size:] - prefix[:, :-size] * np.uint64(pow(_BASE, size, 1 << 64))
+            h = (prefix[size:] - prefix[:-size] * np.uint64(pow(_BASE, size, 1 << 64))).ravel()
+            at = np.flatnonzero(self.marks[h >> np.uint64(64 - _FILTER)])
+            start, row = np.divmod(at, n)
+            inside = lengths[row] >= start + size
+            if not inside.all():
+                at, start, row = at[inside], start[inside], row[inside]
+            h = h[at]
             a, b = (h * np.uint64(_MIX_A)) >> np.uint64(64 - _BITS), (h * np.uint64(_MIX_B)) >> np.uint64(64 - _BITS)
-            first = np.where(self.keys[0][a] == h, self.places[0][a], len(self.pieces))
-            out.append(np.where(self.keys[1][b] == h, self.places[1][b], first))
+            place = np.where(self.keys[0][a] == h, self.places[0][a], none)
+            place = np.where(self.keys[1][b] == h, self.places[1][b], place)
+            real = place < none
+            if not real.all():
+                start, row, place = start[real], row[real], place[real]
+            out.append((np.searchsorted(start, np.arange(width - size + 2)), row, place))
+        return out
+
+    def of(self, matrix: np.ndarray, lengths: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each length 1..longest, the place of the piece that starts at each byte, or the number of pieces."""
+        n, width = matrix.shape
+        out, lengths = [], np.full(n, width) if lengths is None else lengths
+        for size, (bounds, row, place) in enumerate(self.finds(matrix, lengths), 1):
+            found = np.full((n, width - size + 1), len(self.pieces), np.int32)
+            found[row, np.repeat(np.arange(width - size + 1), np.diff(bounds))] = place
+            out.append(found)
         return out
 
 
@@ -96,18 +127,35 @@ def pieces(path: str = VOCABULARY) -> Pieces:
 
 def _groups(found: list[bytes], cells: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places of words of like length, their bytes behind a space, padded to a matrix, and their lengths."""
-    lengths = np.array([len(w) + 1 for w in found], np.int64)
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) + 1
     order = np.argsort(lengths, kind="stable")
     start = 0
     while start < len(order):
-        stop = start + 1
-        while stop < len(order) and (stop - start + 1) * lengths[order[stop]] <= cells:
-            stop += 1
-        here = order[start:stop]
-        width = int(lengths[here[-1]])
-        packed = b"".join((b" " + found[i]).ljust(width, b"\0") for i in here.tolist())
-        yield here, np.frombuffer(packed, np.uint8).reshape(len(here), width), lengths[here]
-        start = stop
+        most = start + max(1, cells // int(lengths[order[start]]))
+        fits = lengths[order[start:most]] * np.arange(1, len(order[start:most]) + 1) <= cells
+        stop = start + (int(fits.argmin()) if not fits.all() else len(fits))
+        here = order[start : max(stop, start + 1)]
+        own = lengths[here]
+        width = int(own[-1])
+        flat = np.frombuffer(b" " + b" ".join([found[i] for i in here.tolist()]) + bytes(width), np.uint8)
+        place = np.arange(width)
+        matrix = flat[(np.cumsum(own) - own)[:, None] + place]
+        matrix[place >= own[:, None]] = 0
+        yield here, matrix, own
+        start += len(here)
+
+
+def _rows(values: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The rows at different places in rising order: all of them as they are."""
+    return values if len(row) == len(values) else values.take(row, 0)
+
+
+def _add(values: np.ndarray, row: np.ndarray, more: np.ndarray) -> None:
+    """Add to the rows at different places in rising order."""
+    if len(row) == len(values):
+        values += more
+    else:
+        values[row] = values.take(row, 0) + more
 
 
 def word_scores(found: list[bytes], vocabulary: Pieces, chances: np.ndarray) -> np.ndarray:
@@ -119,7 +167,7 @@ def word_scores(found: list[bytes], vocabulary: Pieces, chances: np.ndarray) ->
     out = np.zeros((len(found), chances.shape[1]))
     tiny = []
     for here, matrix, lengths in _groups(found):
-        at = vocabulary.of(matrix)
+        at = vocabulary.finds(matrix, lengths)
         n, width = matrix.shape
         ring = [np.zeros((n, chances.shape[1])) for _ in range(len(at) + 1)]
         ring[0][:] = 1.0
@@ -128,7 +176,10 @@ def word_scores(found: list[bytes], vocabulary: Pieces, chances: np.ndarray) ->
         for j in range(1, width + 1):
             total = np.zeros((n, chances.shape[1]))
             for size in range(1, min(j, len(at)) + 1):
-                total += ring[(j - size) % len(ring)] * chances[at[size - 1][:, j - size]]
+                bounds, row, place = at[size - 1]
+                one = slice(bounds[j - size], bounds[j - size + 1])
+                if one.stop > one.start:
+                    _add(total, row[one], _rows(ring[(j - size) % len(ring)], row[one]) * chances.take(place[one], 0))
             ring[j % len(ring)] = total
             ended = lengths == j
             if ended.any():
@@ -145,7 +196,7 @@ def word_scores(found: list[bytes], vocabulary: Pieces, chances: np.ndarray) ->
     if tiny:
         logs = _logs(chances)
         for here, matrix, lengths in _groups([found[k] for k in tiny]):
-            forward = _log_forward(vocabulary.of(matrix), logs, matrix.shape)
+            forward = _log_forward(vocabulary.of(matrix, lengths), logs, matrix.shape)
             out[np.array(tiny)[here]] = forward[lengths, np.arange(len(here))]
     return out
 
@@ -170,7 +221,7 @@ def _log_expected(found: list[bytes], counts: np.ndarray, vocabulary: Pieces, ch
     """What `expected` does, in logarithms; added to `out`."""
     size_all, logs = len(vocabulary.pieces), _logs(chances)
     for here, matrix, lengths in _groups(found):
-        at = vocabulary.of(matrix)
+        at = vocabulary.of(matrix, lengths)
         n, width = matrix.shape
         forward = _log_forward(at, logs, matrix.shape)
         whole = forward[lengths, np.arange(n)]
@@ -194,13 +245,16 @@ def expected(found: list[bytes], counts: np.ndarray, vocabulary: Pieces, chances
     short = np.array([k for k, w in enumerate(found) if len(w) <= LINEAR], np.int64)
     for group, matrix, lengths in _groups([found[k] for k in short.tolist()]):
         here = short[group]
-        at = vocabulary.of(matrix)
+        at = vocabulary.finds(matrix, lengths)
         n, width = matrix.shape
         forward = np.zeros((width + 1, n, languages))
         forward[0] = 1.0
         for j in range(1, width + 1):
             for size in range(1, min(j, len(at)) + 1):
-                forward[j] += forward[j - size] * chances[at[size - 1][:, j - size]]
+                bounds, row, place = at[size - 1]
+                row, place = row[bounds[j - size] : bounds[j - size + 1]], place[bounds[j - size] : bounds[j - size + 1]]
+                if len(row):
+                    _add(forward[j], row, _rows(forward[j - size], row) * chances.take(place, 0))
         whole = forward[lengths, np.arange(n)]
         lost = ((whole < LEAST) & (counts[here] > 0)).any(axis=1)
         tiny += here[lost].tolist()
@@ -210,13 +264,13 @@ def expected(found: list[bytes], counts: np.ndarray, vocabulary: Pieces, chances
         for i in range(width, -1, -1):
             backward[i][lengths == i] = 1.0
             for size in range(1, min(width - i, len(at)) + 1):
-                piece = at[size - 1][:, i]
-                onward = chances[piece] * backward[i + size]
-                backward[i] += onward
-                real = np.flatnonzero((piece < size_all) & (lengths >= i + size))
-                if len(real):
-                    used.append(piece[real])
-                    weights.append((forward[i] * onward * share)[real])
+                bounds, row, place = at[size - 1]
+                row, place = row[bounds[i] : bounds[i + 1]], place[bounds[i] : bounds[i + 1]]
+                if len(row):
+                    onward = chances.take(place, 0) * _rows(backward[i + size], row)
+                    _add(backward[i], row, onward)
+                    used.append(place)
+                    weights.append(_rows(forward[i], row) * onward * _rows(share, row))
         places, amounts = np.concatenate(used), np.concatenate(weights)
         for k in range(languages):
             out[:, k] += np.bincount(places, amounts[:, k], size_all)
@@ -250,7 +304,7 @@ def word_counts(rows: DataFrame, text: str, language: str) -> DataFrame:
         yield _counted(held)
 
     taken = rows.select(F.col(text).cast("string"), F.col(language).cast("string")).where(F.col(language).isNotNull())
-    return taken.mapInArrow(count, "language string, word binary, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
+    return taken.mapInArrow(lean(count), "language string, word binary, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
 
 
 def _counted(held: Counter) -> pa.RecordBatch:
@@ -287,15 +341,15 @@ def fit(
 
         def add(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             known, sums = pieces(path), np.zeros((size, len(languages)))
-            for batch in batches:
-                amounts = np.column_stack([np.nan_to_num(c.to_numpy(zero_copy_only=False).astype(float)) for c in batch.columns[1:]])
-                sums += expected(batch.column(0).to_pylist(), amounts, known, held.value)
+            for whole in _joined(batches, TOGETHER):
+                amounts = np.column_stack([np.nan_to_num(c.to_numpy(zero_copy_only=False).astype(float)) for c in whole.columns[1:]])
+                sums += expected(whole.column(0).to_pylist(), amounts, known, held.value)
             place, k = np.nonzero(sums)
             arrays = [pa.array(place.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(sums[place, k])]
             yield pa.RecordBatch.from_arrays(arrays, names=["piece", "k", "amount"])
 
         portions = wide.coalesce(max(spark.sparkContext.defaultParallelism, 1))
-        made = portions.mapInArrow(add, "piece int, k int, amount double").groupBy("piece", "k").agg(F.sum("amount").alias("amount"))
+        made = portions.mapInArrow(lean(add), "piece int, k int, amount double").groupBy("piece", "k").agg(F.sum("amount").alias("amount"))
         grown = made.toPandas()
         amounts = np.zeros((size, len(languages)))
         amounts[grown["piece"].to_numpy(), grown["k"].to_numpy()] = grown["amount"].to_numpy()
@@ -304,6 +358,18 @@ def fit(
     return Model(languages, shares, chances, path)
 
 
+def _joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches put together to tables of at least `rows` rows, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class _Scores:
     """Scores of words met before, as rows of one matrix; all are forgotten when the matrix is full."""
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,27 @@ def test_texts_of_no_language_are_rejected(spark):
     rows = [(1, "x%$#@ 1234 ^^^^"), (2, "qqq zzzx vvvk"), (3, "the red car stood in the town"), (4, "Ein Wort"), (5, None), (6, "xkqj wvzx kjqv")]
     kept = li.reject(spark.createDataFrame(rows, "doc_id long, text string"), model)
     assert {r["doc_id"] for r in kept.collect()} == {3, 4}
+
+
+def test_pieces_are_found_inside_words_only():
+    """The finds of a group are the pieces of each word, each once, whatever the padding."""
+    words, known = [b"a", b"the", b"strassenbahn", "gr\u00f6\u00dfe".encode()], li.pieces()
+    places = {p: k for k, p in enumerate(known.pieces)}
+    for here, matrix, lengths in li._groups(words):
+        made = set()
+        for size, (bounds, row, place) in enumerate(known.finds(matrix, lengths), 1):
+            for start in range(len(bounds) - 1):
+                made |= {(int(here[r]), start, size, int(p)) for r, p in zip(row[bounds[start] : bounds[start + 1]], place[bounds[start] : bounds[start + 1]])}
+        wanted = set()
+        for k in here.tolist():
+            word = b" " + words[k]
+            wanted |= {(k, i, j - i, places[word[i:j]]) for i in range(len(word)) for j in range(i + 1, len(word) + 1) if word[i:j] in places and j - i <= known.longest}
+        assert made == wanted
+
+
+def test_batches_are_counted_together():
+    """Fitting meets tables of many words, however small Spark's batches are."""
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 10))], names=["n"]) for k in range(0, 100, 10)]
+    made = list(li._joined(iter(batches), 35))
+    assert [t.num_rows for t in made] == [40, 40, 20] and sum((t.column(0).to_pylist() for t in made), []) == list(range(100))
+    assert list(li._joined(iter([]), 35)) == []
