@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import free_name, give_back, tasks, to_all, words
+from roadpulse.llm.common import free_name, lean, tasks, to_all, words
 from roadpulse.session import cut_lineage
 
 SIZE = 5
@@ -109,7 +109,6 @@ def signed(docs: DataFrame, text: str, size: int, count: int, rows: int) -> Data
     """`(id, text_key, content, n, bands)`: content names the n-gram set; it is null where there is none."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         hash_of = _Hashes()
         for batch in batches:
             start = 0
@@ -126,14 +125,13 @@ def signed(docs: DataFrame, text: str, size: int, count: int, rows: int) -> Data
                 start += len(part)
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text_key", text).mapInArrow(over, f"id {kind}, text_key binary, content binary, n long, bands array<long>")
+    return docs.select("id", "text_key", text).mapInArrow(lean(over), f"id {kind}, text_key binary, content binary, n long, bands array<long>")
 
 
 def n_gram_sets(texts: DataFrame, size: int) -> DataFrame:
     """`(content, grams)` of `texts(content, text)`."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
         hash_of = _Hashes()
         for batch in batches:
             start = 0
@@ -142,7 +140,7 @@ def n_gram_sets(texts: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(sets, pa.list_(pa.int64()))], names=["content", "grams"])
                 start += len(part)
 
-    return texts.select("content", "text").mapInArrow(over, "content binary, grams array<long>")
+    return texts.select("content", "text").mapInArrow(lean(over), "content binary, grams array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadpulse.llm.common import map_text
+from roadpulse.llm.common import lean, map_text
 from roadpulse.session import cut_lineage
 
 #: Labelled rows the lexicon and the weights are fitted on, chosen by a hash of the id; see `fit`.
@@ -265,7 +265,7 @@ def _fit(rows: DataFrame, least: int, odds: float, chance: float, lone: float) -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], names=["text", "label", "sketch"])
 
     portions = max(2, rows.sparkSession.sparkContext.defaultParallelism)
-    marked = cut_lineage(rows.mapInArrow(mark, "text string, label int, sketch long"))
+    marked = cut_lineage(rows.mapInArrow(lean(mark), "text string, label int, sketch long"))
     strong = _strong(marked.repartition(portions, "sketch").sortWithinPartitions("sketch", "label"), least, odds, chance)
     if strong is None:
         sides = {r["label"] for r in rows.select("label").distinct().collect()}
@@ -314,7 +314,7 @@ def _strong(marked: DataFrame, least: int, odds: float, chance: float) -> list |
                     held = {}
         yield _terms(held)
 
-    counted = marked.mapInArrow(count, "term string, kind int, good long, bad long").groupBy("term", "kind")
+    counted = marked.mapInArrow(lean(count), "term string, kind int, good long, bad long").groupBy("term", "kind")
     counted = counted.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     counted = cut_lineage(counted.where(F.col("good") + F.col("bad") >= least))
     tried = counted.count()
@@ -352,7 +352,7 @@ def _weigh(model: Model, rows: DataFrame, strength: float = 1.0) -> None:
             made = [features(t, kinds) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    made = rows.mapInArrow(make, "x array<double>, y int").toPandas()
+    made = rows.mapInArrow(lean(make), "x array<double>, y int").toPandas()
     without = made[made["x"].isnull()]
     model.without = float((without["y"].sum() + 0.5 * 0.05) / (len(without) + 0.5))
     hit = made[~made["x"].isnull()]

@@ -99,3 +99,19 @@ def test_the_last_stage_keeps_further_columns(spark, sf):
     rows = {r["doc_id"]: r for r in made.collect()}
     assert made.columns[:4] == docs.columns and rows[1]["extra"] == "kept" and rows[2]["n_tokens"] == 6
     assert rows[1]["n_tokens_"] == len(rows[1]["ids"]) // 4 > 0 and rows[2]["n_tokens_"] == 0
+
+
+def test_freed_memory_is_returned_before_and_after_a_task(monkeypatch):
+    """An idle worker must not hold what its last task has freed, so that is returned at the end too."""
+    from roadpulse.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("returned"))
+
+    def work(batches):
+        for batch in batches:
+            seen.append(batch)
+            yield batch
+
+    assert list(common.lean(work)(iter([1, 2]))) == [1, 2]
+    assert seen == ["returned", 1, 2, "returned"]
