@@ -10,7 +10,6 @@ import base64
 import heapq
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from roadpulse.llm.common import map_text
+from roadpulse.llm.common import kept, map_text
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -155,13 +154,13 @@ class Remembered(dict):
         return packed
 
 
-@lru_cache(maxsize=2)
+@kept
 def vocabulary(path: str = VOCABULARY) -> Vocabulary:
     """Kept by each worker between tasks."""
     return Vocabulary(path)
 
 
-@lru_cache(maxsize=2)
+@kept
 def _remembered(path: str) -> Remembered:
     return Remembered(vocabulary(path))
 

@@ -11,7 +11,6 @@ import base64
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadpulse.llm.common import WORD_BYTES, lean, map_text
+from roadpulse.llm.common import WORD_BYTES, kept, lean, map_text
 from roadpulse.session import cut_lineage
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -120,7 +119,7 @@ class Pieces:
         return out
 
 
-@lru_cache(maxsize=2)
+@kept
 def pieces(path: str = VOCABULARY) -> Pieces:
     return Pieces(path)
 

@@ -113,3 +113,21 @@ def test_empty_tables(spark):
     assert de.contamination(docs, items).count() == 0
     assert [tuple(r) for r in de.contamination(one, items).collect()] == [(1, 2, 0, [])]
     assert de.reject(docs, items).count() == 0
+
+
+def test_packing_a_block_takes_few_bytes_a_word():
+    import tracemalloc
+
+    from roadpulse.llm.decontamination import _Block
+
+    block = _Block()
+    for k in range(200):
+        block.add(k, [b"w%d" % (i * i % 3001) for i in range(1000)])
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        block.packed()
+        peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert peak < 70 * 200_000

@@ -115,3 +115,31 @@ def test_freed_memory_is_returned_before_and_after_a_task(monkeypatch):
 
     assert list(common.lean(work)(iter([1, 2]))) == [1, 2]
     assert seen == ["returned", 1, 2, "returned"]
+
+
+def test_a_worker_keeps_only_what_its_operator_uses():
+    from roadpulse.llm import common
+
+    def work(batches):
+        yield from batches
+
+    byte_bpe.vocabulary()
+    language_id.pieces()
+    list(common.lean(work, language_id.__name__)(iter([])))
+    assert byte_bpe.vocabulary.cache_info().currsize == 0 and language_id.pieces.cache_info().currsize == 1
+    list(common.lean(work)(iter([])))
+    assert language_id.pieces.cache_info().currsize == 0
+
+
+def test_stages_bound_the_batches(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    docs = spark.range(5000, numPartitions=1).selectExpr("id AS doc_id", "repeat('words of a text ', 3) AS text")
+    try:
+        for given, most in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS), ("300", 300)):
+            spark.conf.set(setting, given)
+            dict(corpus_pipeline.STAGES)["tokenization"](spark, docs, "")
+            sizes = docs.mapInPandas(lambda parts: (p[["doc_id"]].head(1).assign(doc_id=len(p)) for p in parts), "doc_id long").collect()
+            assert max(r["doc_id"] for r in sizes) == most and sum(r["doc_id"] for r in sizes) == 5000
+    finally:
+        spark.conf.set(setting, before)
