@@ -304,3 +304,23 @@ def test_rows_are_joined_by_shuffling(spark):
         joins = [line for line in plan.split("\n") if "Join" in line]
         assert any("SortMergeJoin" in line for line in joins)
     assert "BroadcastHashJoin" not in neighbours.nearest(labelled, points, KEYS, 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_pass_as_arrow_tables(spark, capsys):
+    """A key is small: turning its group into a pandas frame took longer than growing a tree or walking it."""
+    points = _points(spark, _rows(60, _by_hour, 10))
+    queries = points.select(*KEYS, *FEATURES).distinct()
+    model = trees.fit_simple(points)
+    for made in (model, trees.search(points), trees.predict(model, queries, FEATURES)):
+        made.explain()
+        plan = capsys.readouterr().out
+        assert "GroupsInArrow" in plan and "GroupsInPandas" not in plan
+
+
+def test_score_column_in_portions(spark):
+    points = _points(spark, _rows(100, _by_hour, 10))
+    model, queries = trees.fit_simple(points), points.select(*KEYS, *FEATURES).distinct()
+    other = queries.withColumn("station_id", F.col("station_id") + 1000)
+    cut = keyed.score_column(model, queries.unionByName(other), lambda m, q: [q.num_rows] * q.num_rows, "size int", [*KEYS, *FEATURES], FEATURES, rows_per_task=20)
+    rows = cut.collect()
+    assert len(rows) == queries.count() and max(r["size"] for r in rows) < 60  # a key without a model has no rows
