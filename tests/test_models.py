@@ -324,3 +324,18 @@ def test_score_column_in_portions(spark):
     cut = keyed.score_column(model, queries.unionByName(other), lambda m, q: [q.num_rows] * q.num_rows, "size int", [*KEYS, *FEATURES], FEATURES, rows_per_task=20)
     rows = cut.collect()
     assert len(rows) == queries.count() and max(r["size"] for r in rows) < 60  # a key without a model has no rows
+
+
+def test_a_tree_is_the_same_whichever_are_grown_with_it(spark):
+    """How many keys there are and how large they are decides which trees are grown together, never what they are."""
+    points = _points(spark, _rows(150, _noise, 7))
+    settings = trees.fixed_settings(points, None)
+    made = [trees.fit(points, settings, 12, True, 2, blocks=blocks, cells=cells).orderBy("tree").collect() for blocks, cells in ((1, 2_000_000), (3, 2_000_000), (1, 700))]
+    assert made[0] == made[1] == made[2] and len(made[0]) == 12
+    other = points.unionByName(points.withColumn("station_id", F.explode(F.sequence(F.lit(100), F.lit(130)))))
+    assert trees.fit_forest(points, 40).orderBy("tree").collect() == trees.fit_forest(other, 40).where("station_id = 2").orderBy("tree").collect()
+
+
+def test_a_search_does_not_depend_on_what_is_grown_together(spark):
+    points = _points(spark, _rows(120, _noise, 3))
+    assert {tuple(r) for r in trees.search(points).collect()} == {tuple(r) for r in trees.search(points, cells=500).collect()}

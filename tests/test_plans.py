@@ -147,6 +147,17 @@ def test_crowded_stations_keep_all_rows_in_the_scores(spark, inputs):
     assert all(r.value > 0.9 for r in good.collect())
 
 
+def test_training_does_not_switch_by_a_keys_size(spark, inputs):
+    """Models and scores are those of the exact points, whatever the budget of bounded points."""
+    rows = training.observed(*inputs).where("station_id = 100")
+    points = training.level_points(rows, SMALL).localCheckpoint()
+    wide, tight = (training.train_levels(points, training.Settings(n_trees=5, budget=budget)) for budget in (200_000, 50))
+    for name in ("tree", "forest"):
+        models = [{tuple(map(str, r)) for r in one.models[name].collect()} for one in (wide, tight)]
+        assert models[0] == models[1] and len(models[0]) == (2 if name == "tree" else 10)
+    assert {tuple(r) for r in wide.metrics.collect()} == {tuple(r) for r in tight.metrics.collect()}
+
+
 def test_network_loss_is_over_the_rows(spark):
     """Two rows with equal features and different counts: their spread is part of the loss."""
     rows = [(2, "COUNT_1", "train", 0.0, 0.0, 1, 1, label, 1, 0, 10, 0.5) for label in (0, 10)]
