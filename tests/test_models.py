@@ -339,3 +339,29 @@ def test_a_tree_is_the_same_whichever_are_grown_with_it(spark):
 def test_a_search_does_not_depend_on_what_is_grown_together(spark):
     points = _points(spark, _rows(120, _noise, 3))
     assert {tuple(r) for r in trees.search(points).collect()} == {tuple(r) for r in trees.search(points, cells=500).collect()}
+
+
+def test_models_are_dealt_to_their_queries_once(spark):
+    """A forest is larger than its queries: only what few keys of several portions need is joined to it, and without a shuffle."""
+    points = _points(spark, _rows(100, _by_hour, 10))
+    queries = points.select(*KEYS, *FEATURES).distinct()
+    queries = spark.createDataFrame(queries.collect(), queries.schema)
+    model = spark.createDataFrame(trees.fit_simple(points).collect(), trees.MODEL)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = trees.predict(model, queries, FEATURES)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 1
+        lost = model.unionByName(model.withColumn("station_id", F.lit(None).cast("int")))
+        asked = queries.unionByName(queries.withColumn("station_id", F.lit(None).cast("int")))
+        assert trees.predict(lost, asked, FEATURES).count() == queries.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_forest_metrics_writes_no_trees(spark, sf, monkeypatch):
+    from roadpulse.plans import queries
+
+    written, cut = [], queries.cut_lineage
+    monkeypatch.setattr(queries, "cut_lineage", lambda df: written.append(df.columns) or cut(df))
+    queries.QUERIES["forest_metrics"](spark, sf)
+    assert written and not any("threshold" in columns for columns in written)
